@@ -11,6 +11,7 @@ Documents are independent: one pass in Python, no shuffle, whole texts.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -158,10 +159,11 @@ def units(text: str) -> list[tuple[int, int]]:
 def quotations(text: str) -> list[tuple[int, int]]:
     """(open, after close) of outermost paired quotes; unpaired ones are ordinary marks."""
     out, i, n = [], 0, len(text)
+    absent: set[str] = set()  # closers of which no more follow
     while i < n:
         c = text[i]
         close = PAIRS.get(c) or ('"' if c == '"' else None)
-        if close:
+        if close and close not in absent:
             j = i + 1
             while True:
                 at = min((k for k in (text.find(x, j) for x in close) if k >= 0), default=-1)
@@ -173,6 +175,7 @@ def quotations(text: str) -> list[tuple[int, int]]:
                 out.append((i, at + 1))
                 i = at + 1
                 continue
+            absent.add(close)
         i += 1
     return out
 
@@ -246,7 +249,7 @@ STILL = _re(r"(?:are|is|was|were|before signing|of|session|market|open|close|per
 def decide(p: Place) -> bool:
     """Whether a sentence ends at the candidate."""
     text, mark = p.text, p.text[p.mark]
-    tail = text[p.start:p.end].rstrip(CLOSERS + "  ")
+    tail = text[max(p.start, p.end - 80):p.end].rstrip(CLOSERS + "  ")
     if mark == "…" or tail.endswith("..."):
         for left, right, verdict in ELLIPSIS:
             if left.search(tail) and (right is None or right.match(p.right)):
@@ -264,7 +267,7 @@ def decide(p: Place) -> bool:
         if left.search(p.left) and (right is None or right.match(p.right)):
             if verdict is None:
                 if regex.search(r"\d\.$", p.left):
-                    if not text[p.start:p.mark].strip("  (0123456789\n\r\t"):
+                    if p.mark - p.start < 12 and not text[p.start:p.mark].strip("  (0123456789\n\r\t"):
                         return False  # nothing but the number so far
                     continue
                 return p.small and not STILL.match(p.right)
@@ -286,12 +289,12 @@ def after_quotation(text: str, start: int, opened: int, end: int, small: bool) -
     p = Place(text, start, end - 1, end, small)
     if p.after >= len(text):
         return True
-    head = text[start:opened].strip()
+    head = text[max(start, opened - 80):opened].strip()
     if p.right[0] in ",，、;；:：—–-)」』）" or (p.right[0] in ".。!?！？"):
         return False
     if regex.match(CARRYING_ON, p.right):
         return False
-    front = not regex.sub(r"^[^:：\n]{1,24}[:：]$", "", head).strip("-*+•  #0123456789.")
+    front = opened - start < 80 and not regex.sub(r"^[^:：\n]{1,24}[:：]$", "", head).strip("-*+•  #0123456789.")
     if regex.match(r"\p{Hangul}", p.right) and not p.spaced:
         return False
     if regex.match(ZH_SPEAKING, p.right) and regex.search(r"\p{Han}", p.right) and front:
@@ -342,14 +345,20 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 def _within(unit: str, small: bool) -> list[tuple[int, int]]:
     quotes = quotations(unit)
+    opened = [s for s, _ in quotes]
+
+    def quoted(at: int) -> bool:
+        i = bisect_left(opened, at) - 1
+        return i >= 0 and at < quotes[i][1]
+
     greek = regex.search(r"\p{Greek}", unit) is not None
     cuts: list[int] = []
     start = 0
     points: list[tuple[int, str, int, int]] = [(e, "quote", s, e) for s, e in quotes]
     for m in _MARKS.finditer(unit):
-        if not any(s < m.start() < e for s, e in quotes):
+        if not quoted(m.start()):
             points.append((m.end(), "mark", m.start(), m.end()))
-    points += [(m.start(), "thai", m.start(), m.start()) for m in _THAI_GAP.finditer(unit) if not any(s < m.start() < e for s, e in quotes)]
+    points += [(m.start(), "thai", m.start(), m.start()) for m in _THAI_GAP.finditer(unit) if not quoted(m.start())]
     for end, kind, a, b in sorted(points):
         if end <= start:
             continue
@@ -359,7 +368,7 @@ def _within(unit: str, small: bool) -> list[tuple[int, int]]:
                 continue
         elif kind == "mark":
             if unit[a] == ";":
-                if not (greek and regex.search(r"\p{Greek}", unit[start:a])):
+                if not (greek and regex.search(r"\p{Greek}", unit[max(start, a - 400):a])):
                     continue
             elif end < len(unit):
                 last = a + len(regex.match(rf"[{regex.escape(TERMINAL)}]+", unit[a:b]).group()) - 1
