@@ -66,10 +66,11 @@ def run_groups(files: DataFrame, trade_fields: DataFrame) -> DataFrame:
     with none and has no row. Captures of two runs that share a shorter capture
     are one run.
     """
-    held = files.select("run_id", "instrument", "trades").where("run_id is not null")
-    trades = unified_records(held, trade_fields).select("run_id", F.struct(F.coalesce("entry", F.lit("")).alias("a"), F.coalesce("exit", F.lit("")).alias("b")).alias("t"))
-    lists = trades.where("t.a != '' or t.b != ''").groupBy("run_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    keyed = held.select("run_id", contract_key("instrument").alias("c")).where("c is not null").join(lists, "run_id")
+    held = files.select("run_id", "instrument", "trades").where("run_id is not null").distinct()
+    held = held.withColumn("file", F.md5(F.to_json(F.struct("run_id", "instrument", F.md5("trades").alias("t")))))
+    trades = unified_records(held, trade_fields, "file").select("file", F.struct(F.coalesce("entry", F.lit("")).alias("a"), F.coalesce("exit", F.lit("")).alias("b")).alias("t"))
+    lists = trades.where("t.a != '' or t.b != ''").groupBy("file").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    keyed = held.select("run_id", "file", contract_key("instrument").alias("c")).where("c is not null").join(lists, "file")
     # Running hash: element n covers the first n trades, so all prefixes cost one pass over the list.
     step = lambda acc, t: F.concat(acc, F.array(F.md5(F.concat_ws("|", F.element_at(acc, -1), t["a"], t["b"]))))
     keyed = keyed.select("run_id", F.slice(F.aggregate("ts", F.array(F.md5("c")), step), 2, 1_000_000_000).alias("prefixes"))
