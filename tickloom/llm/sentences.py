@@ -34,6 +34,8 @@ LEADING = {
     "hi": "डॉ श्री श्रीमती प्रो पं सं",
     "ar": "د أ م ص ج",
 }
+#: Those of them that are ordinary words or units too: only in front of a number.
+NUMBERED = frozenset("cap ch chap vol sec art abs fig figs p pp n nos s st str mt col gen rev av tel ref dept kap tab abb eq sect str ste c ap lt no".split())
 #: A period after them ends a sentence if what follows can begin one.
 CLOSING = {
     "en": "etc ltd inc co corp plc llc jr sr a.m p.m u.s u.k e.u u.n ph.d sec min hrs hr max dev s.d est",
@@ -88,11 +90,13 @@ STRONG = [
     regex.compile(r"\s*--\s?\p{Lu}"),                                  # signature
     regex.compile(r"\s*(?:Best|Thanks|Regards|Cheers|Saludos|Gracias|Merci|Cordialement|Grüße|Danke|Abraços|Obrigado)\b[,!]?\s\p{Lu}\p{L}*\s*$"),
 ]
+#: Of these not even a wrapped text has one inside a sentence.
+LISTED = regex.compile(r"\s*(?:[-*+•]\s+\p{Lu}\p{Ll}|#{1,6}\s+\p{L}|v\d+(?:\.\d+)+\s*\(\d{4}-\d\d-\d\d\)\s*$)")
 #: These start a unit only behind a line that is itself complete: the same shapes occur
 #: where a text was broken before an ordinal or an initial.
 WEAK = [regex.compile(r"\s*(?:(?:\d{1,3}[.)]|\(\p{L}\))\s+\p{L}|(?:\d{1,2}(?:\.\d{1,2})+\.?|\p{Lu}[.)])\s+[\p{Lu}\p{Lo}])")]
 #: A line like this is code and never divided.
-CODE = regex.compile(r"(?!.*[.!?]\s+\p{Lu}\p{Ll})(?!(?:[^()]|\([^()]*\))*\)(?:[^()]|\([^()]*\))*$)\s*(?:(?:if|for|while|def|return|import|run|let|var|const)\b.*(?:[\[\](){};=]|--\w).*|[\w.\[\]]+\s*(?:=|\+=|-=|:=)\s*\S.*|[\w.]+\(.*\)\s*;?|\w+=\S+;.*)\s*$")
+CODE = regex.compile(r"(?!.*[.!?]\s+\p{Lu}\p{Ll})(?!(?:[^()]|\([^()]*\))*\)(?:[^()]|\([^()]*\))*$)\s*(?:(?:if|for|while|def|return|import|run|let|var|const)\b.*(?:\w\[|\w\(|\s--\w).*|[\w.\[\]]+\s*(?:=|\+=|-=|:=)\s*\S.*|[\w.]+\(.*\)\s*;?|\w+=\S+;.*)\s*$")
 #: Key and value on one line, never divided.
 KEYED = regex.compile(r"\s*[\p{Lu}\p{Lo}][\p{L}\p{M}. ]{0,30}?\s*(?:[:=：]|\.{4,})\s*[-+$€£]?\s*[\d][\d.,\s%$€£: ]*$")
 #: A first line like this is a greeting or a heading.
@@ -146,7 +150,7 @@ def units(text: str) -> list[tuple[int, int]]:
             begin = None
         elif begin is None:
             begin = at
-        elif divided or (CODE.match(lines[i - 1][1]) and not CODE.match(body) and regex.match(r"\p{Lu}\p{Ll}|\p{Lo}", body)) or (i - 1 == first and OPENING.match(lines[first][1]) and not body[0].islower() and body[0] not in "$€"):
+        elif divided or LISTED.match(body) or (CODE.match(lines[i - 1][1]) and not CODE.match(body) and regex.match(r"\p{Lu}\p{Ll}|\p{Lo}", body)) or (i - 1 == first and OPENING.match(lines[first][1]) and not body[0].islower() and body[0] not in "$€"):
             out.append((begin, at))
             begin = at
     if begin is not None:
@@ -262,7 +266,7 @@ def decide(p: Place) -> bool:
         if p.end != p.mark + 1:
             return p.first.isupper() or regex.match(r"\p{Lo}", p.first) is not None
         before = text[max(p.start, p.mark - 2):p.mark]
-        return bool(regex.match(r"(?:\p{Ll}\p{Ll}|\d|.[)\]%])$", before[-2:]) or regex.match(r"\d$", before[-1:])) and bool(regex.match(r"\p{Lu}(?:[\p{Ll}'’  ]|\p{Lu}{2} \d)", p.right)) and not regex.search(r"\.\w+$", text[max(p.start, p.mark - 12):p.mark].rpartition(" ")[2])
+        return bool(regex.match(r"(?:\p{Ll}\p{Ll}|\d|.[)\]%])$", before[-2:]) or regex.match(r"\d$", before[-1:])) and bool(regex.match(r"\p{Lu}(?:[\p{Ll}'’  ]|\p{Lu}{2} \d)", p.right)) and not regex.search(r"\.\p{L}\w*$", text[max(p.start, p.mark - 12):p.mark].rpartition(" ")[2])
     for left, right, verdict in PERIOD:
         if left.search(p.left) and (right is None or right.match(p.right)):
             if verdict is None:
@@ -277,9 +281,13 @@ def decide(p: Place) -> bool:
         if word in ("min", "max", "est", "dev", "sec", "sr", "s.d", "hr", "др") and not regex.search(r"\d[  \n]*\p{L}+\.$", p.left):
             return False
         return not p.lower or (p.small and not STILL.match(p.right))
-    if word in _LEAD:
+    unit = regex.search(r"\d[ \u00a0\n]*\p{Ll}\.$", p.left) is not None
+    if word in NUMBERED and not regex.match(r"\p{N}|[IVXLC]{2,}\b", p.right):
+        if not (word == "st" and p.first.isupper()) and not (len(word) == 1 and not unit):
+            return not (p.lower and not p.small and len(word) < 3) or unit
+    elif word in _LEAD and not unit:
         return False
-    if len(word) == 1 and not regex.match(r"[\p{Thai}\p{Han}\p{Hangul}]", word) and not regex.search(r"\d\s?\p{Ll}\.$", p.left):
+    if len(word) == 1 and not regex.match(r"[\p{Thai}\p{Han}\p{Hangul}]", word) and not unit:
         return False  # an initial, not a unit behind a number
     return not p.lower or p.small or len(word) != 2
 
