@@ -430,8 +430,36 @@ def _replay(name: str) -> Query:
     return lambda spark, d: P.replay(_trades(spark, d), RULE_SETS[name])
 
 
+def replay_sql(r: dict) -> str:
+    """The walk of one rule set as a recursion over each account's trades."""
+    null = lambda v: "NULL" if v is None else str(v)
+    intra, strict, eod = r["hwm"] == "intraday", r["breach"] == "intraday", r["hwm"] == "eod"
+    cap = "NULL" if r["lock"] is None else str(r["start"] + r["lock"])
+    broken = f"greatest(hwm - bal - lo, fall) >= {r['max_dd']} AND ({cap} IS NULL OR bal + lo <= {cap})" if intra else f"bal + lo <= least(hwm - {r['max_dd']}, {cap})"
+    need = str(r["target"]) if r["consistency"] is None else f"greatest({r['target']}, best / {r['consistency']})"
+
+    def closed(source: str, closing: str, rest: str) -> str:
+        inner = f"SELECT *, {closing} AS cl FROM {source}"
+        mid = f"SELECT * REPLACE (days + CASE WHEN cl THEN 1 ELSE 0 END AS days, CASE WHEN cl AND {eod} THEN greatest(hwm, bal) ELSE hwm END AS hwm, CASE WHEN cl THEN greatest(best, bal - opn) ELSE best END AS best) FROM ({inner})"
+        return f"SELECT * REPLACE (CASE WHEN cl AND bal - {r['start']} >= {need} AND days >= {r['min_days']} THEN 'passed' ELSE outcome END AS outcome, CASE WHEN cl AND bal - {r['start']} >= {need} AND days >= {r['min_days']} THEN 'target' ELSE reason END AS reason{rest}) FROM ({mid})"
+
+    joined = "(SELECT w.*, t.d AS td, t.pnl_c AS pnl, least(t.mae_c, t.pnl_c) AS lo, greatest(t.mfe_c, t.pnl_c) AS hi, greatest(coalesce(t.fall_c, t.mfe_c - t.mae_c), -least(t.mae_c, t.pnl_c)) AS fall, (w.d IS NULL OR w.d <> t.d) AS fresh FROM w JOIN trades_c t ON t.account = w.account AND t.trade_no = w.k + 1)"
+    s1 = closed(joined, "fresh AND d IS NOT NULL AND outcome = 'open'", ", CASE WHEN fresh THEN bal ELSE opn END AS opn, CASE WHEN fresh THEN FALSE ELSE paused END AS paused")
+    s2 = f"SELECT *, outcome = 'open' AND NOT paused AS act FROM ({s1})"
+    s3 = f"SELECT *, act AND {strict} AND ({broken}) AS br FROM ({s2})"
+    s4 = f"SELECT * REPLACE (CASE WHEN act AND NOT br AND {intra} THEN greatest(hwm, bal + hi) ELSE hwm END AS hwm, CASE WHEN act THEN least(low, bal + lo) ELSE low END AS low, CASE WHEN act AND NOT br THEN bal + pnl ELSE bal END AS bal) FROM ({s3})"
+    s5 = f"SELECT *, act AND NOT br AND NOT {strict} AND bal <= least(hwm - {r['max_dd']}, {cap}) AS cb FROM ({s4})"
+    s6 = f"SELECT *, act AND NOT br AND NOT cb AND {null(r['day_loss'])} IS NOT NULL AND bal - opn <= -coalesce({null(r['day_loss'])}, 0) AS dl FROM ({s5})"
+    out = f"CASE WHEN br OR cb OR (dl AND NOT {r['soft']}) THEN 'busted' ELSE outcome END, CASE WHEN br THEN 'inside the trade' WHEN cb THEN 'at the close' WHEN dl AND NOT {r['soft']} THEN 'day loss' ELSE reason END, paused OR (dl AND {r['soft']}), n + CASE WHEN act THEN 1 ELSE 0 END"
+    z = f"CAST({r['start']} AS BIGINT)"
+    last = closed("(SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM trades_c t WHERE t.account = w.account AND t.trade_no = w.k + 1))", "d IS NOT NULL AND outcome = 'open'", "")
+    return f"""WITH RECURSIVE {TRADES}, w AS (SELECT DISTINCT account, CAST(0 AS BIGINT) AS k, CAST(NULL AS DATE) AS d, {z} AS bal, {z} AS hwm, {z} AS low, CAST(0 AS BIGINT) AS best, CAST(0 AS BIGINT) AS days, {z} AS opn, 'open' AS outcome, '' AS reason, FALSE AS paused, CAST(0 AS BIGINT) AS n FROM trades_c
+UNION ALL SELECT account, k + 1, td, bal, hwm, low, best, days, opn, {out} FROM ({s6}))
+SELECT account, outcome, reason, days, n AS n_trades, bal AS balance_c, low AS low_water_c, best AS best_day_c FROM ({last})"""
+
+
 for _name in RULE_SETS:
-    query(f"o114_replay_{_name}")(_replay(_name))
+    query(f"o114_replay_{_name}", replay_sql(RULE_SETS[_name]))(_replay(_name))
 
 
 @query("o115_bootstrap")
@@ -570,6 +598,19 @@ def o137(spark, d):
     return _text(C.audit(_adjusted(spark, d), 40), "cal_day")
 
 
+@query("o107_window_break")
+def o107(spark, d):
+    from .operators.window_break import BreakRules, window_break
+    rules = BreakRules(window_s=14_400, candle_s=3_600, hold_s=600, extension=0.1, min_range=2, stop_mult=1.0, per_window=2)
+    return _text(window_break(_ticks(spark, d), _bars(spark, d), HOUR, rules), "cal_day")
+
+
+@query("o138_continuous", f"""WITH {ADJ} SELECT CAST(cal_day AS VARCHAR) AS cal_day, count(*) AS n, CAST(arg_min(px_ticks + offset_, seq) AS DOUBLE) AS o, CAST(max(px_ticks + offset_) AS DOUBLE) AS h, CAST(min(px_ticks + offset_) AS DOUBLE) AS l, CAST(arg_max(px_ticks + offset_, seq) AS DOUBLE) AS c FROM aj GROUP BY aj.cal_day""")
+def o138(spark, d):
+    """The stitched series by day: front contract, measured roll, adjusted prices."""
+    return _text(_adjusted(spark, d).groupBy("cal_day").agg(F.count(F.lit(1)).alias("n"), F.min_by("px_adj", "seq").alias("o"), F.max("px_adj").alias("h"), F.min("px_adj").alias("l"), F.max_by("px_adj", "seq").alias("c")), "cal_day")
+
+
 # ---- sweeps, statistics, ledger ----------------------------------------------------------
 
 #: Sweep of the crossing averages: fast and slow lengths.

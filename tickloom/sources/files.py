@@ -21,6 +21,7 @@ TIME_BYTES = {0: (0, 0), 1: (1, 1), 2: (2, 1), 3: (4, 1), 4: (8, 1), 5: (1, 10_0
 VOLUME_BYTES = {1: (1, 1), 2: (1, 100), 3: (1, 500), 4: (1, 1000), 5: (2, 1), 6: (4, 1), 7: (8, 1)}
 QUOTE_SCALE = {0: 1, 1: 1, 2: 2, 3: 2, 4: 3, 5: 3}
 HEADER = struct.Struct("<4xddq")
+DEPTH_SLOT = "<didddddiqqq"
 
 
 class _Bytes:
@@ -107,7 +108,6 @@ def file_day(name: str) -> Column:
 def depth_headers(spark: SparkSession, path: str) -> DataFrame:
     """(path, depth_events, tape_volume, mean_depth_size) of replay files' headers: 44
     slots of 80 bytes; slots 10 and 11 hold depth, slot 2 the tape."""
-    slot = struct.Struct("<didddddiqqq")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.substring(F.col("content"), 1, 3520).alias("content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +116,7 @@ def depth_headers(spark: SparkSession, path: str) -> DataFrame:
             for name, c in zip(batch["path"], batch["content"]):
                 if len(c) < 3520:
                     continue
-                held = [slot.unpack_from(c, n * 80) for n in (10, 11, 2)]
+                held = [struct.unpack_from(DEPTH_SLOT, c, n * 80) for n in (10, 11, 2)]
                 n, v = held[0][1] + held[1][1], held[0][10] + held[1][10]
                 rows.append((name, n, held[2][10], round(v / n, 2) if n else 0.0))
             yield pd.DataFrame(rows, columns=["path", "depth_events", "tape_volume", "mean_depth_size"])
