@@ -13,6 +13,7 @@ from __future__ import annotations
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,9 @@ TERMINAL = ".!?…。！？؟।॥｡．‼⁇⁈⁉۔։።။"
 WIDE = "。！？｡．"
 EMOJI = r"(?:[\p{Extended_Pictographic}--[0-9#*©®™]]|[\U0001F1E6-\U0001F1FF]{2})(?:️|[\U0001F3FB-\U0001F3FF]|‍\p{Extended_Pictographic})*"
 V1 = regex.V1
+_rx = cache(regex.compile)
+_OPENERS = regex.compile("[\"" + "".join(PAIRS) + "]")
+_TERMINALS = regex.compile(rf"[{regex.escape(TERMINAL)}]+")
 _EMOJI_RUN = regex.compile(rf"(?:[^\S\n\r]*{EMOJI})+", V1)
 _EMOJI_ONE = regex.compile(EMOJI, V1)
 _LINE = regex.compile(r"[^\n\r\v\f\u0085  ]*(?:\r\n|[\n\r\v\f\u0085  ]|$)")
@@ -107,8 +111,8 @@ def _ends_sentence(line: str) -> bool:
     line = _EMOJI_RUN.sub("", line).rstrip().rstrip(CLOSERS + "“ \u00a0")
     if not line or line[-1] not in TERMINAL + ";":
         return False
-    last = regex.search(r"([\p{L}\p{M}.]+|\b\d{1,2})\.$", line)
-    return last is None or not (len(last[1]) == 1 and not regex.search(r"\d\s?\p{Ll}\.$", line) or last[1].isdigit() or unicodedata.normalize("NFC", last[1]).lower() in _LEAD)
+    last = _rx(r"([\p{L}\p{M}.]+|\b\d{1,2})\.$").search(line)
+    return last is None or not (len(last[1]) == 1 and not _rx(r"\d\s?\p{Ll}\.$").search(line) or last[1].isdigit() or unicodedata.normalize("NFC", last[1]).lower() in _LEAD)
 
 
 def units(text: str) -> list[tuple[int, int]]:
@@ -133,7 +137,7 @@ def units(text: str) -> list[tuple[int, int]]:
         if any(p.match(body) for p in STRONG) or KEYED.match(body):
             return True
         if CODE.match(body):
-            return _ends_sentence(prior) or (CODE.match(prior) is not None and not regex.search(r"[;=<>(,+*-]$|//$|\b(?:target|out|from)$", prior))
+            return _ends_sentence(prior) or (CODE.match(prior) is not None and not _rx(r"[;=<>(,+*-]$|//$|\b(?:target|out|from)$").search(prior))
         if any(p.match(body) for p in WEAK):
             return _ends_sentence(prior) or any(p.match(prior) for p in STRONG + WEAK) or KEYED.match(prior) is not None or CODE.match(prior) is not None or (i - 1 == first and OPENING.match(prior) is not None)
         return False
@@ -150,7 +154,7 @@ def units(text: str) -> list[tuple[int, int]]:
             begin = None
         elif begin is None:
             begin = at
-        elif divided or LISTED.match(body) or (CODE.match(lines[i - 1][1]) and not CODE.match(body) and regex.match(r"\p{Lu}\p{Ll}|\p{Lo}", body)) or (i - 1 == first and OPENING.match(lines[first][1]) and not body[0].islower() and body[0] not in "$€"):
+        elif divided or LISTED.match(body) or (CODE.match(lines[i - 1][1]) and not CODE.match(body) and _rx(r"\p{Lu}\p{Ll}|\p{Lo}").match(body)) or (i - 1 == first and OPENING.match(lines[first][1]) and not body[0].islower() and body[0] not in "$€"):
             out.append((begin, at))
             begin = at
     if begin is not None:
@@ -164,23 +168,24 @@ def quotations(text: str) -> list[tuple[int, int]]:
     """(open, after close) of outermost paired quotes; unpaired ones are ordinary marks."""
     out, i, n = [], 0, len(text)
     absent: set[str] = set()  # closers of which no more follow
-    while i < n:
-        c = text[i]
-        close = PAIRS.get(c) or ('"' if c == '"' else None)
-        if close and close not in absent:
-            j = i + 1
-            while True:
-                at = min((k for k in (text.find(x, j) for x in close) if k >= 0), default=-1)
-                if at >= 0 and close == "’" and at + 1 < n and text[at + 1].isalpha() and text[at - 1].isalpha():
-                    j = at + 1  # an apostrophe
-                    continue
-                break
-            if at >= 0:
-                out.append((i, at + 1))
-                i = at + 1
+    while (m := _OPENERS.search(text, i)) is not None:
+        begin = m.start()
+        close = PAIRS.get(text[begin], '"')
+        i = begin + 1
+        if close in absent:
+            continue
+        j = i
+        while True:
+            at = min((k for k in (text.find(x, j) for x in close) if k >= 0), default=-1)
+            if at >= 0 and close == "’" and at + 1 < n and text[at + 1].isalpha() and text[at - 1].isalpha():
+                j = at + 1  # an apostrophe
                 continue
+            break
+        if at < 0:
             absent.add(close)
-        i += 1
+        else:
+            out.append((begin, at + 1))
+            i = at + 1
     return out
 
 
@@ -202,7 +207,7 @@ class Place:
         self.first = text[k] if k < len(text) else ""
         self.left = text[max(start, end - 60):end]
         self.right = text[after:after + 60]
-        m = regex.search(r"[\p{L}\p{M}][\p{L}\p{M}.\-]*$|\p{L}$", text[max(start, mark - 30):mark])
+        m = _rx(r"[\p{L}\p{M}][\p{L}\p{M}.\-]*$|\p{L}$").search(text[max(start, mark - 30):mark])
         self.word = unicodedata.normalize("NFC", m.group()).lower() if m else ""
 
     @property
@@ -210,11 +215,11 @@ class Place:
         """Whether a lower-case letter follows in the script of what precedes."""
         if not self.first.islower():
             return False
-        letters = regex.findall(r"\p{L}", self.left)
+        letters = _rx(r"\p{L}").findall(self.left)
         if not letters or letters[-1].upper() == letters[-1].lower():
             return not letters
-        same = lambda c: "L" if regex.match(r"\p{Latin}", c) else "C" if regex.match(r"\p{Cyrillic}", c) else "G"
-        return same(letters[-1]) == same(self.first) or not regex.search(r"[\p{Cyrillic}\p{Greek}]", self.left)
+        same = lambda c: "L" if _rx(r"\p{Latin}").match(c) else "C" if _rx(r"\p{Cyrillic}").match(c) else "G"
+        return same(letters[-1]) == same(self.first) or not _rx(r"[\p{Cyrillic}\p{Greek}]").search(self.left)
 
 
 def _re(p: str) -> regex.Pattern:
@@ -264,13 +269,13 @@ def decide(p: Place) -> bool:
     if not p.spaced and p.after < len(text):
         # No blank behind the period: only a word's end against a capital begins a sentence.
         if p.end != p.mark + 1:
-            return p.first.isupper() or regex.match(r"\p{Lo}", p.first) is not None
+            return p.first.isupper() or _rx(r"\p{Lo}").match(p.first) is not None
         before = text[max(p.start, p.mark - 2):p.mark]
-        return bool(regex.match(r"(?:\p{Ll}\p{Ll}|\d|.[)\]%])$", before[-2:]) or regex.match(r"\d$", before[-1:])) and bool(regex.match(r"\p{Lu}(?:[\p{Ll}'’  ]|\p{Lu}{2} \d)", p.right)) and not regex.search(r"\.\p{L}\w*$", text[max(p.start, p.mark - 12):p.mark].rpartition(" ")[2])
+        return bool(_rx(r"(?:\p{Ll}\p{Ll}|\d|.[)\]%])$").match(before[-2:]) or _rx(r"\d$").match(before[-1:])) and bool(_rx(r"\p{Lu}(?:[\p{Ll}'’  ]|\p{Lu}{2} \d)").match(p.right)) and not _rx(r"\.\p{L}\w*$").search(text[max(p.start, p.mark - 12):p.mark].rpartition(" ")[2])
     for left, right, verdict in PERIOD:
         if left.search(p.left) and (right is None or right.match(p.right)):
             if verdict is None:
-                if regex.search(r"\d\.$", p.left):
+                if _rx(r"\d\.$").search(p.left):
                     if p.mark - p.start < 12 and not text[p.start:p.mark].strip("  (0123456789\n\r\t"):
                         return False  # nothing but the number so far
                     continue
@@ -278,16 +283,16 @@ def decide(p: Place) -> bool:
             return verdict
     word = p.word.strip(".")
     if word in _CLOSE and not (word in _LEAD and not p.first.isupper()):
-        if word in ("min", "max", "est", "dev", "sec", "sr", "s.d", "hr", "др") and not regex.search(r"\d[  \n]*\p{L}+\.$", p.left):
+        if word in ("min", "max", "est", "dev", "sec", "sr", "s.d", "hr", "др") and not _rx(r"\d[  \n]*\p{L}+\.$").search(p.left):
             return False
         return not p.lower or (p.small and not STILL.match(p.right))
-    unit = regex.search(r"\d[ \u00a0\n]*\p{Ll}\.$", p.left) is not None
-    if word in NUMBERED and not regex.match(r"\p{N}|[IVXLC]{2,}\b", p.right):
+    unit = _rx(r"\d[ \u00a0\n]*\p{Ll}\.$").search(p.left) is not None
+    if word in NUMBERED and not _rx(r"\p{N}|[IVXLC]{2,}\b").match(p.right):
         if not (word == "st" and p.first.isupper()) and not (len(word) == 1 and not unit):
             return not (p.lower and not p.small and len(word) < 3) or unit
     elif word in _LEAD and not unit:
         return False
-    if len(word) == 1 and not regex.match(r"[\p{Thai}\p{Han}\p{Hangul}]", word) and not unit:
+    if len(word) == 1 and not _rx(r"[\p{Thai}\p{Han}\p{Hangul}]").match(word) and not unit:
         return False  # an initial, not a unit behind a number
     return not p.lower or p.small or len(word) != 2
 
@@ -300,15 +305,15 @@ def after_quotation(text: str, start: int, opened: int, end: int, small: bool) -
     head = text[max(start, opened - 80):opened].strip()
     if p.right[0] in ",，、;；:：—–-)」』）" or (p.right[0] in ".。!?！？"):
         return False
-    if regex.match(CARRYING_ON, p.right):
+    if _rx(CARRYING_ON).match(p.right):
         return False
-    front = opened - start < 80 and not regex.sub(r"^[^:：\n]{1,24}[:：]$", "", head).strip("-*+•  #0123456789.")
-    if regex.match(r"\p{Hangul}", p.right) and not p.spaced:
+    front = opened - start < 80 and not _rx(r"^[^:：\n]{1,24}[:：]$").sub("", head).strip("-*+•  #0123456789.")
+    if _rx(r"\p{Hangul}").match(p.right) and not p.spaced:
         return False
-    if regex.match(ZH_SPEAKING, p.right) and regex.search(r"\p{Han}", p.right) and front:
+    if _rx(ZH_SPEAKING).match(p.right) and _rx(r"\p{Han}").search(p.right) and front:
         return False
     if p.lower:
-        word = regex.match(r"[\p{L}\p{M}]+", p.right)
+        word = _rx(r"[\p{L}\p{M}]+").match(p.right)
         spoken = word is not None and unicodedata.normalize("NFC", word.group()) in SPEAKING
         if not small or spoken:
             return False
@@ -323,10 +328,10 @@ _THAI_GAP = regex.compile(r"(?<=\p{Thai})[^\S\n\r]+(?=\S)|(?<=\p{Thai})\s*[\n\r]
 def small_style(text: str) -> bool:
     """Whether sentences of this stretch begin in lower case: its first letter does, or
     a letter behind a plain sentence end does."""
-    first = regex.search(r"\p{L}", text)
-    if first and first.group().islower() and not regex.match(r"\w*[\d_.(=]", text[first.start():]):
+    first = _rx(r"\p{L}").search(text)
+    if first and first.group().islower() and not _rx(r"\w*[\d_.(=]").match(text[first.start():]):
         return True
-    return any(unicodedata.normalize("NFC", m.group(1)).lower() not in _LEAD | _CLOSE for m in regex.finditer(r"(\p{L}{3,})[.!?]\s+\p{Ll}", text))
+    return any(unicodedata.normalize("NFC", m.group(1)).lower() not in _LEAD | _CLOSE for m in _rx(r"(\p{L}{3,})[.!?]\s+\p{Ll}").finditer(text))
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -337,7 +342,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     for lo, hi in units(text):
         unit = text[lo:hi]
         small = small_style(unit)
-        if CODE.match(regex.sub(r"\s+", " ", unit)) or KEYED.match(unit.strip()):
+        if CODE.match(_rx(r"\s+").sub(" ", unit)) or KEYED.match(unit.strip()):
             spans = [(0, len(unit))]
         else:
             spans = _within(unit, small)
@@ -359,7 +364,7 @@ def _within(unit: str, small: bool) -> list[tuple[int, int]]:
         i = bisect_left(opened, at) - 1
         return i >= 0 and at < quotes[i][1]
 
-    greek = regex.search(r"\p{Greek}", unit) is not None
+    greek = _rx(r"\p{Greek}").search(unit) is not None
     cuts: list[int] = []
     start = 0
     points: list[tuple[int, str, int, int]] = [(e, "quote", s, e) for s, e in quotes]
@@ -376,13 +381,13 @@ def _within(unit: str, small: bool) -> list[tuple[int, int]]:
                 continue
         elif kind == "mark":
             if unit[a] == ";":
-                if not (greek and regex.search(r"\p{Greek}", unit[max(start, a - 400):a])):
+                if not (greek and _rx(r"\p{Greek}").search(unit[max(start, a - 400):a])):
                     continue
             elif end < len(unit):
-                last = a + len(regex.match(rf"[{regex.escape(TERMINAL)}]+", unit[a:b]).group()) - 1
+                last = a + len(_TERMINALS.match(unit[a:b]).group()) - 1
                 wide = unit[last] in WIDE + "।॥…؟!?" or unit[last] == "."
                 p = Place(unit, start, last, b, small)
-                if not wide or not p.spaced and unit[last] in "!?" and not (p.first.isupper() or regex.match(r"\p{Lo}", p.first)):
+                if not wide or not p.spaced and unit[last] in "!?" and not (p.first.isupper() or _rx(r"\p{Lo}").match(p.first)):
                     continue
                 if not decide(p):
                     continue
