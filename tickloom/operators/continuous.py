@@ -70,3 +70,12 @@ def audit(series: DataFrame, step_ticks: int) -> DataFrame:
     w = Window.partitionBy("cal_day").orderBy("seq")
     rows = series.withColumn("late", (F.col("us") < F.lag("us").over(w)).cast("int")).withColumn("wide", (F.abs(F.col("px_adj") - F.lag("px_adj").over(w)) >= step_ticks).cast("int"))
     return rows.groupBy("cal_day").agg(F.coalesce(F.sum("late"), F.lit(0)).alias("unsorted"), F.coalesce(F.sum("wide"), F.lit(0)).alias("wide_steps"), F.count(F.lit(1)).alias("n"))
+
+
+def changed_inputs(old: DataFrame, new: DataFrame, key: list[str], print_: str) -> DataFrame:
+    """(key, status): inputs that are new, changed or gone against the last build, by
+    comparing one fingerprint per key."""
+    a = old.select(*key, F.col(print_).alias("_a"))
+    b = new.select(*key, F.col(print_).alias("_b"))
+    both = a.join(b, key, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b")))
+    return both.select(*key, F.when(F.col("_a").isNull(), "new").when(F.col("_b").isNull(), "gone").otherwise("changed").alias("status"))

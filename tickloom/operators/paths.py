@@ -151,3 +151,13 @@ def rollup(paths: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_paths"), share("passed").alias("p_pass"), share("busted").alias("p_bust"), share("open").alias("p_open"),
         F.round(F.avg(F.when(F.col("outcome") == "passed", F.col("days"))), 6).alias("mean_pass_day"),
         *[F.round(F.percentile("balance_c", F.lit(q / 100)), 2).alias(f"balance_p{q}") for q in (5, 50, 95)])
+
+
+def parametric_trades(grid: DataFrame, p: float, rr: float, risk_c: int, friction_c: int, seed: int = 7) -> DataFrame:
+    """Bernoulli trades for each (path, slot): won with probability p for rr times the
+    risk, else lost; half of the other side is given up on the way. Hash draws."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "path", "slot")), 1, 8), 16, 10).cast("long")
+    won = u < int(p * 2**32)
+    reward = int(round(rr * risk_c))
+    pnl = F.when(won, F.lit(reward)).otherwise(F.lit(-risk_c)) - friction_c
+    return grid.select("path", "slot", pnl.cast("long").alias("pnl_c"), F.when(won, -(risk_c // 2)).otherwise(-risk_c).cast("long").alias("mae_c"), F.when(won, reward).otherwise(reward // 2).cast("long").alias("mfe_c"))

@@ -473,6 +473,29 @@ def o119(spark, d):
     return grid.select("path", "day", P.day_draw("path", "day", "n", 7).alias("i"))
 
 
+@query("o46_changed_inputs", f"""WITH {TICKS}, a AS (SELECT contract, cal_day, sum(vol) AS v FROM ticks WHERE cal_day < DATE '2024-01-20' AND NOT (cal_day = DATE '2024-01-10' AND side = 1) GROUP BY ALL),
+b AS (SELECT contract, cal_day, sum(vol) AS v FROM ticks WHERE cal_day > DATE '2024-01-03' GROUP BY ALL)
+SELECT contract, CAST(cal_day AS VARCHAR) AS cal_day, CASE WHEN a.v IS NULL THEN 'new' WHEN b.v IS NULL THEN 'gone' ELSE 'changed' END AS status FROM a FULL JOIN b USING (contract, cal_day) WHERE a.v IS DISTINCT FROM b.v""")
+def o46(spark, d):
+    t = _ticks(spark, d)
+    old = B.daily_volume(t.where("cal_day < date'2024-01-20' and not (cal_day = date'2024-01-10' and side = 1)"))
+    new = B.daily_volume(t.where("cal_day > date'2024-01-03'"))
+    return _text(C.changed_inputs(old, new, ["contract", "cal_day"], "volume"), "cal_day")
+
+
+@query("o118_bernoulli", """WITH g AS (SELECT p AS path, s AS slot, CAST(('0x' || substr(md5(concat_ws(':', '7', p, s)), 1, 8)) AS BIGINT) < 1932735283 AS won FROM (SELECT unnest(range(300)) AS p) a, (SELECT unnest(range(20)) AS s) b)
+SELECT path, slot, CAST(CASE WHEN won THEN 40000 ELSE -20000 END - 500 AS BIGINT) AS pnl_c, CAST(CASE WHEN won THEN -10000 ELSE -20000 END AS BIGINT) AS mae_c, CAST(CASE WHEN won THEN 40000 ELSE 20000 END AS BIGINT) AS mfe_c FROM g""")
+def o118(spark, d):
+    grid = spark.range(300).select(F.col("id").alias("path")).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
+    return P.parametric_trades(grid, 0.45, 2.0, 20_000, 500)
+
+
+@query("o36_thin_sample", "WITH a AS (SELECT upper(trim(account)) AS account, count(DISTINCT CAST(exit_time AS DATE)) AS days FROM trades GROUP BY 1) SELECT account, days, days < 10 AS withheld, days >= 60 AS meaningful FROM a")
+def o36(spark, d):
+    rows = table(spark, d, "trades").groupBy(F.upper(F.trim("account")).alias("account")).agg(F.count_distinct(F.to_date("exit_time")).alias("days"))
+    return rows.select("account", "days", (F.col("days") < 10).alias("withheld"), (F.col("days") >= 60).alias("meaningful"))
+
+
 # ---- joins on executions and runs --------------------------------------------------------
 
 PAIRS = f"""{EXECUTIONS}, ex AS (SELECT *, lag(seq) OVER w AS ps, lag(us) OVER w AS pu, lag(action) OVER w AS pa, lag(is_entry) OVER w AS pe FROM executions WHERE is_entry OR is_exit WINDOW w AS (PARTITION BY account ORDER BY us, seq)),
