@@ -106,6 +106,10 @@ CASES = [
     ("Ποιος έτρεξε το 9b5;|Ο κ. Ulul έφυγε.|Προμήθειες κ.λπ. μειώνουν το κέρδος."),
     ("د. Maulfen يطلب السجلات.|لا.|كتب X: «انتهينا اليوم. نعود غدا.» ثم خرج."),
     ("डॉ. Rika ने रिपोर्ट माँगी है।|Zan ने लिखा, “आज बस। कल।” और चला गया।|क्यों?"),
+    ("아니다.|Wide는 \"오늘은 끝. 내일 다시 보자.\"라고 적었다.|손절은 0.2, 목표는 4,152.3에 두었다."),
+    ("O Sr. Malun saiu.|“Sem pressa. Basta.” escreveu Ulel.|Veja a pág. 3.|A perda máx. foi de 2 $."),
+    ("That is 2 % of the daily cap.|Set it to 31 s.|It took 3 min.|See fig. 3 and sec. 2.1 now."),
+    ("after 9:07, it stopped.|the log is lost.|did it? 😅|keep 3 lots."),
     ("EE. UU. abre a las 9.|¿Por qué?|La Sra. Ulel salió, p. ej. el martes."),
 ]
 
