@@ -10,9 +10,11 @@ import json
 from itertools import product
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.ranking import bucketed_prior
+
 
 def expected_max_t(n: int) -> float:
     """Expected largest of n standard normal values (Blom)."""
@@ -72,18 +74,16 @@ def fingerprint(record: dict) -> str:
 
 
 def chain(rows: DataFrame, seq: str, body: Column) -> DataFrame:
-    """Adds prev and hash of a ledger kept in order of ``seq`` when each hash covers the
-    prior record's body (two-step chain, computable without a serial pass)."""
-    w = Window.orderBy(seq)
-    h = F.substring(F.sha2(body, 256), 1, 16)
-    return rows.withColumn("own", h).withColumn("prev", F.coalesce(F.lag("own").over(w), F.lit("")))
+    """Adds own and prev of a ledger kept in order of ``seq`` when each record's hash
+    covers its body and links to the one before (computable without a serial pass)."""
+    hashed = rows.withColumn("own", F.substring(F.sha2(body, 256), 1, 16))
+    return bucketed_prior(hashed, [], seq, 65_536, {"own": "prev"}).withColumn("prev", F.coalesce("prev", F.lit("")))
 
 
 def chain_breaks(ledger: DataFrame, seq: str, body: Column) -> DataFrame:
     """Records whose hash or link does not hold: (seq, reason)."""
-    w = Window.orderBy(seq)
-    checked = ledger.withColumn("_h", F.substring(F.sha2(body, 256), 1, 16)).withColumn("_p", F.coalesce(F.lag("own").over(w), F.lit("")))
-    return checked.select(seq, F.when(F.col("_h") != F.col("own"), "edited").when(F.col("_p") != F.col("prev"), "broken link").alias("reason")).where("reason is not null")
+    checked = bucketed_prior(ledger.withColumn("_h", F.substring(F.sha2(body, 256), 1, 16)), [], seq, 65_536, {"own": "_p"})
+    return checked.select(seq, F.when(F.col("_h") != F.col("own"), "edited").when(F.coalesce("_p", F.lit("")) != F.col("prev"), "broken link").alias("reason")).where("reason is not null")
 
 
 def ledger_stats(ledger: DataFrame) -> DataFrame:

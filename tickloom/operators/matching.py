@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranking import bucketed_prior
+
 
 def pair_executions(executions: DataFrame, key: str = "account") -> DataFrame:
     """Entry and exit of each round trip.
@@ -14,10 +16,9 @@ def pair_executions(executions: DataFrame, key: str = "account") -> DataFrame:
     A row flagged both is an entry. Exits without entry are dropped.
     """
     rows = executions.where("is_entry or is_exit")
-    w = Window.partitionBy(key).orderBy("us", "seq")
-    prior = F.lag(F.struct("seq", "us", "action", "is_entry")).over(w)
-    rows = rows.withColumn("p", prior).where("not is_entry and p is not null and p.is_entry")
-    return rows.select(key, F.col("p.seq").alias("entry_seq"), F.col("seq").alias("exit_seq"), F.col("p.action").alias("entry_action"), F.col("action").alias("exit_action"), (F.col("us") - F.col("p.us")).alias("held_us"))
+    prior = {"seq": "p_seq", "us": "p_us", "action": "p_action", "is_entry": "p_entry"}
+    rows = bucketed_prior(rows, [key], "us", 86_400_000_000, prior, ("seq",)).where("not is_entry and p_entry")
+    return rows.select(key, F.col("p_seq").alias("entry_seq"), F.col("seq").alias("exit_seq"), F.col("p_action").alias("entry_action"), F.col("action").alias("exit_action"), (F.col("us") - F.col("p_us")).alias("held_us"))
 
 
 def side_check(pairs: DataFrame) -> DataFrame:
@@ -34,13 +35,11 @@ def attributed(pairs: DataFrame, bridge: DataFrame) -> DataFrame:
     return out.select("account", "entry_seq", "exit_seq", F.coalesce("se", "sx", F.lit("?")).alias("strategy"))
 
 
-def longest_prefix(names: DataFrame, prefixes: DataFrame, name: str, most: int = 64) -> DataFrame:
+def longest_prefix(names: DataFrame, prefixes: DataFrame, name: str) -> DataFrame:
     """Label of the longest prefix (case-blind) that begins each name; ties to the
     smaller prefix_no. An equi-join on the prefixes of each name, no theta join."""
     p = prefixes.select(F.upper("prefix").alias("px"), "label", "prefix_no").groupBy("px").agg(F.min_by("label", "prefix_no").alias("label"))
-    lengths = prefixes.select(F.length("prefix").alias("n")).distinct()
-    lens = F.array(*[F.lit(r["n"]) for r in lengths.limit(most).collect()]) if prefixes is not None else F.array()
-    probes = names.select(name, F.explode(lens).alias("n")).where(F.length(name) >= F.col("n")).withColumn("px", F.upper(F.substring(F.col(name), F.lit(1), F.col("n"))))
+    probes = names.select(name, F.explode(F.sequence(F.lit(1), F.length(name))).alias("n")).where(F.length(name) > 0).withColumn("px", F.upper(F.substring(F.col(name), F.lit(1), F.col("n"))))
     best = probes.join(p, "px").groupBy(name).agg(F.max_by("label", "n").alias("label"))
     return names.join(best, name, "left").withColumn("label", F.coalesce("label", F.lit("?")))
 

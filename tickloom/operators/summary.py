@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranking import bucketed_rank, running_sum
+
 
 def _r(c: Column, digits: int = 6) -> Column:
     return F.round(c.cast("double"), digits)
@@ -40,16 +42,14 @@ def run_summary(trades: DataFrame) -> DataFrame:
 
 def drawdown(trades: DataFrame) -> DataFrame:
     """Deepest fall of the running total of each account below its peak (or zero)."""
-    w = Window.partitionBy("account").orderBy("trade_no").rowsBetween(Window.unboundedPreceding, 0)
-    run = trades.withColumn("run", F.sum("pnl_c").over(w)).withColumn("peak", F.greatest(F.lit(0), F.max("run").over(w)))
+    run = running_sum(trades, ["account"], "d", "trade_no", "pnl_c")
     return run.groupBy("account").agg(F.min(F.least(F.lit(0), F.col("run") - F.col("peak"))).alias("max_drawdown_c"))
 
 
 def streaks(trades: DataFrame) -> DataFrame:
     """Longest runs of winning and of losing trades of each account."""
-    w = Window.partitionBy("account").orderBy("trade_no")
-    kind = F.signum(F.col("pnl_c").cast("double")).cast("int")
-    rows = trades.withColumn("k", kind).withColumn("island", F.row_number().over(w) - F.row_number().over(Window.partitionBy("account", "k").orderBy("trade_no")))
+    rows = trades.select("account", "trade_no", F.signum(F.col("pnl_c").cast("double")).cast("int").alias("k"))
+    rows = bucketed_rank(rows, ["account", "k"], "trade_no", 65_536, "of_kind").withColumn("island", F.col("trade_no") - F.col("of_kind"))
     runs = rows.groupBy("account", "k", "island").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy("account").agg(F.coalesce(F.max(F.when(F.col("k") > 0, F.col("n"))), F.lit(0)).alias("max_wins"), F.coalesce(F.max(F.when(F.col("k") < 0, F.col("n"))), F.lit(0)).alias("max_losses"))
 
@@ -73,8 +73,7 @@ def performance(trades: DataFrame) -> DataFrame:
 
 def daily_rows(trades: DataFrame) -> DataFrame:
     """Daily analysis of each account: totals, running total and drawdown walked by trade."""
-    w = Window.partitionBy("account").orderBy("trade_no").rowsBetween(Window.unboundedPreceding, 0)
-    run = trades.withColumn("run", F.sum("pnl_c").over(w)).withColumn("peak", F.greatest(F.lit(0), F.max("run").over(w)))
+    run = running_sum(trades, ["account"], "d", "trade_no", "pnl_c")
     return run.groupBy("account", "d").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pnl_c").alias("net_c"), F.max_by("run", "trade_no").alias("cum_c"), F.min(F.least(F.lit(0), F.col("run") - F.col("peak"))).alias("day_drawdown_c"),
         _r(F.avg(F.col("mfe_c") - F.col("pnl_c"))).alias("avg_etd_c"), F.max(fall_bound()).alias("max_fall_c"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranking import bucketed_rank
 from .tables import micros
 
 
@@ -54,8 +55,8 @@ def trades(lineitem: DataFrame) -> DataFrame:
         (F.greatest(x, F.lit(0)) + F.pmod(F.col("l_suppkey") * 53 + F.col("l_linenumber") * 997, F.lit(20_000))).alias("mfe_c"),
         (F.col("l_linestatus") == "O").alias("path_known"), F.col("l_linenumber").alias("ln"))
     fall = F.greatest(-F.col("mae_c"), div((F.col("mfe_c") - F.col("mae_c")) * (1 + F.pmod("ln", F.lit(3))), 3))
-    no = F.row_number().over(Window.partitionBy("account").orderBy("d", "o"))
-    return t.withColumn("fall_c", F.when(F.col("path_known"), fall)).withColumn("trade_no", no.cast("long")).drop("o", "ln")
+    t = t.withColumn("fall_c", F.when(F.col("path_known"), fall)).withColumn("day_no", F.unix_date("d"))
+    return bucketed_rank(t, ["account"], "day_no", 7, "trade_no", ties=("o",)).drop("o", "ln", "day_no")
 
 
 TRADES = """trades_c AS (
