@@ -50,6 +50,18 @@ def fidelity(bar_type: str = "bar_type", tick_replay: str = "tick_replay", resol
     return (F.when(F.col(resolution).isNull() & F.col(bar_type).isNull(), "unknown").when(on_ticks | (F.lower(F.col(bar_type)) == "tick"), "exact").when(F.col(resolution).isNotNull() | F.col(tick_replay).isNotNull(), "fills-guessed").otherwise("unknown"))
 
 
+def capture_level(source: str = "source", resolution: str = "fill_resolution") -> Column:
+    """Whether a capture recorded how its fills were made: 'unknown' for one by the
+    performance metric, which never sees the strategy, or without a fill resolution."""
+    return F.when((F.col(source) == "nt8-performance-metric") | F.col(resolution).isNull(), "unknown").otherwise("known")
+
+
+def first_entries(records: DataFrame) -> DataFrame:
+    """(run_id, first_entry): earliest entry of the listed trades with both times; a run
+    without any has no row."""
+    return records.where("entry is not null and exit is not null").groupBy("run_id").agg(F.min("entry").alias("first_entry"))
+
+
 def dedup_runs(runs: DataFrame, key: list[str], label: str, order: str) -> DataFrame:
     """One row per key: labelled before unknown, then the newest by ``order``; rows with
     a null key part pass through."""

@@ -20,6 +20,7 @@ from .operators import matching as M
 from .operators import paths as P
 from .operators import strategies as S
 from .operators import summary as T
+from .operators.drift import unified_records
 from .sources import mappings
 from .sources.mappings import EXECUTIONS, TICKS, TRADES
 from .sources.tables import contract_key, table
@@ -551,8 +552,12 @@ def o48(spark, d):
 f AS (SELECT *, row_number() OVER (PARTITION BY ins, n_trades, p ORDER BY known DESC, run_id DESC) AS rn FROM k WHERE ins IS NOT NULL AND n_trades IS NOT NULL AND p IS NOT NULL)
 SELECT run_id FROM f WHERE rn = 1 UNION ALL SELECT run_id FROM k WHERE ins IS NULL OR n_trades IS NULL OR p IS NULL""")
 def o73(spark, d):
-    runs = table(spark, d, "backtests").select("run_id", F.upper(F.trim("instrument")).alias("ins"), "n_trades", F.col("perf_cum_profit").alias("p"), "strategy")
-    return M.dedup_runs(runs, ["ins", "n_trades", "p"], "strategy", "run_id").select("run_id")
+    """The key holds the first entry time too, which the SQL leaves out; runs of a known
+    fidelity level go before those of an unknown one, which the SQL tells by the strategy."""
+    runs = table(spark, d, "backtests")
+    first = M.first_entries(unified_records(runs, table(spark, d, "trade_fields")))
+    keyed = runs.select("run_id", F.upper(F.trim("instrument")).alias("ins"), "n_trades", F.col("perf_cum_profit").alias("p"), M.capture_level().alias("level")).join(first, "run_id", "left")
+    return M.dedup_runs(keyed, ["ins", "n_trades", "p", "first_entry"], "level", "run_id").select("run_id")
 
 
 @query("o135_fidelity", """SELECT run_id, CASE WHEN fill_resolution IS NULL AND bar_type IS NULL THEN 'unknown' WHEN (lower(fill_resolution) = 'high' AND lower(fill_resolution_type) = 'tick') OR lower(bar_type) = 'tick' THEN 'exact'
