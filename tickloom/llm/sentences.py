@@ -90,19 +90,21 @@ STRONG = [
     regex.compile(r"\s*#{1,6}\s+\p{L}"),                                # marked heading
     regex.compile(r"\s*v\d+(?:\.\d+)+\b.*\(\d{4}-\d\d-\d\d\)\s*$"),    # version heading
     regex.compile(r"\s*\p{Lu}[\p{Latin}\p{Cyrillic}\p{Greek}\p{M}'’-]+:\s"),  # speaker
-    regex.compile(r"\s*\p{Lu}[\p{L}. ]{0,30}[^\S\n]\.{4,}"),           # key ..... value
+    regex.compile(r"\s*\p{Lu}[\p{L}.  ]{0,30}[^\S\n]\.{4,}"),           # key ..... value
     regex.compile(r"\s*--\s?\p{Lu}"),                                  # signature
     regex.compile(r"\s*(?:Best|Thanks|Regards|Cheers|Saludos|Gracias|Merci|Cordialement|Grüße|Danke|Abraços|Obrigado)\b[,!]?\s\p{Lu}\p{L}*\s*$"),
 ]
 #: Of these not even a wrapped text has one inside a sentence.
 LISTED = regex.compile(r"\s*(?:[-*+•]\s+\p{Lu}\p{Ll}|#{1,6}\s+\p{L}|v\d+(?:\.\d+)+\s*\(\d{4}-\d\d-\d\d\)\s*$)")
+#: Of these the line is the whole unit: headings, dotted leaders, signatures.
+WHOLE = [STRONG[1], STRONG[2], STRONG[4], STRONG[5], STRONG[6]]
 #: These start a unit only behind a line that is itself complete: the same shapes occur
 #: where a text was broken before an ordinal or an initial.
 WEAK = [regex.compile(r"\s*(?:(?:\d{1,3}[.)]|\(\p{L}\))\s+\p{L}|(?:\d{1,2}(?:\.\d{1,2})+\.?|\p{Lu}[.)])\s+[\p{Lu}\p{Lo}])")]
 #: A line like this is code and never divided.
 CODE = regex.compile(r"(?!.*[.!?]\s+\p{Lu}\p{Ll})(?!(?:[^()]|\([^()]*\))*\)(?:[^()]|\([^()]*\))*$)\s*(?:(?:if|for|while|def|return|import|run|let|var|const)\b.*(?:\w\[|\w\(|\s--\w).*|[\w.\[\]]+\s*(?:=|\+=|-=|:=)\s*\S.*|[\w.]+\(.*\)\s*;?|\w+=\S+;.*)\s*$")
 #: Key and value on one line, never divided.
-KEYED = regex.compile(r"\s*[\p{Lu}\p{Lo}][\p{L}\p{M}. ]{0,30}?\s*(?:[:=：]|\.{4,})\s*[-+$€£]?\s*[\d][\d.,\s%$€£: ]*$")
+KEYED = regex.compile(r"\s*[\p{Lu}\p{Lo}][\p{L}\p{M}.  ]{0,30}?\s*(?:[:=：]|\.{4,})\s*[-+$€£]?\s*[\d][\d.,\s%$€£: ]*$")
 #: A first line like this is a greeting or a heading.
 OPENING = regex.compile(r"\s*(?:\p{L}+[ \u00a0]){0,2}\p{Lu}\p{L}*\s*[,:،，]?\s*$|\s*\p{Lu}\p{Ll}+(?: \p{Ll}+){0,2}\s*$")
 
@@ -118,11 +120,12 @@ def _ends_sentence(line: str) -> bool:
 def units(text: str) -> list[tuple[int, int]]:
     """Spans that no sentence crosses.
 
-    Blank lines always divide. Single line breaks are of two kinds: if more of the
-    lines that start a unit stand behind a single break than behind a blank line, the
-    lines of the text are units and every break divides; else the text was wrapped
-    and a break is a blank, except behind a greeting or heading in the first line
-    and around code.
+    Blank lines always divide, and so do the breaks around key/value lines, marked
+    headings, dotted leaders and signatures and in front of speakers and list items.
+    The other single breaks are of two kinds: if more of the lines that start a unit
+    stand behind a single break than behind a blank line, the lines of the text are
+    units and every break divides; else the text was wrapped and a break is a blank,
+    except behind a greeting or heading in the first line and around code.
     """
     lines = []
     for m in _LINE.finditer(text):
@@ -142,8 +145,20 @@ def units(text: str) -> list[tuple[int, int]]:
             return _ends_sentence(prior) or any(p.match(prior) for p in STRONG + WEAK) or KEYED.match(prior) is not None or CODE.match(prior) is not None or (i - 1 == first and OPENING.match(prior) is not None)
         return False
 
+    def whole(i: int) -> bool:
+        """Whether the line is a unit, unless what follows carries it on in lower case."""
+        body = lines[i][1]
+        return (KEYED.match(body) is not None or any(p.match(body) for p in WHOLE)) and not lines[i + 1][1][:1].islower()
+
+    def shaped(i: int) -> bool:
+        """Whether the shapes of the lines around this break divide them, however the text is laid out."""
+        body = lines[i][1]
+        if STRONG[0].match(body) and not LISTED.match(body):  # else a minus or plus in a wrapped sentence
+            return whole(i - 1) or _ends_sentence(lines[i - 1][1])
+        return whole(i - 1) or KEYED.match(body) is not None or LISTED.match(body) is not None or any(p.match(body) for p in STRONG[1:])
+
     single = [i for i in range(1, len(lines)) if lines[i][1] and lines[i - 1][1]]
-    spaced = sum(any(p.match(lines[i][1]) for p in STRONG + WEAK) or bool(KEYED.match(lines[i][1]) or CODE.match(lines[i][1])) for i in range(1, len(lines)) if lines[i][1] and not lines[i - 1][1])
+    spaced = sum(any(p.match(lines[i][1]) for p in STRONG + WEAK) or bool(KEYED.match(lines[i][1]) or CODE.match(lines[i][1])) for i in range(first + 1, len(lines)) if lines[i][1] and not lines[i - 1][1])
     divided = sum(map(starts, single)) > spaced
     out: list[tuple[int, int]] = []
     begin = None
@@ -154,7 +169,7 @@ def units(text: str) -> list[tuple[int, int]]:
             begin = None
         elif begin is None:
             begin = at
-        elif divided or LISTED.match(body) or (CODE.match(lines[i - 1][1]) and not CODE.match(body) and _rx(r"\p{Lu}\p{Ll}|\p{Lo}").match(body)) or (i - 1 == first and OPENING.match(lines[first][1]) and not body[0].islower() and body[0] not in "$€"):
+        elif divided or shaped(i) or (CODE.match(lines[i - 1][1]) and not CODE.match(body) and _rx(r"\p{Lu}\p{Ll}|\p{Lo}").match(body)) or (i - 1 == first and OPENING.match(lines[first][1]) and not body[0].islower() and body[0] not in "$€"):
             out.append((begin, at))
             begin = at
     if begin is not None:
