@@ -8,9 +8,13 @@ best day may be, None). Money is in whole cents.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,40 +112,91 @@ def day_draw(path: str, day: str, n_days: str, seed: int) -> Column:
     return F.pmod(u, F.col(n_days))
 
 
-def bootstrap(pool: DataFrame, rules: dict, paths: int, days: int, seed: int = 7) -> DataFrame:
-    """Day-block bootstrap: each path draws ``days`` days of the pool with repetition
-    and is walked under the rules. Returns account, path, outcome, days, balance_c.
-
-    The pool's days are numbered per account; a path is one row until its draws are
-    joined to the packed days by (account, day), so paths spread over all tasks.
-    """
-    from pyspark.sql import Window
+@lru_cache(maxsize=8)
+def draw_block(seed: int, lo: int, hi: int, days: int) -> np.ndarray:
+    """The hashes of ``day_draw`` before the remainder: a row per path lo .. hi - 1. They
+    do not depend on the account, so a worker makes them once."""
+    u = [int.from_bytes(hashlib.md5(f"{seed}:{p}:{y}".encode()).digest()[:4], "big") for p in range(lo, hi) for y in range(days)]
+    return np.array(u, np.int64).reshape(hi - lo, days)
 
-    w = Window.partitionBy("account")
-    numbered = pool.withColumn("i", F.row_number().over(w.orderBy("d")) - 1).withColumn("n_days", F.count(F.lit(1)).over(w).cast("long"))
-    sizes = numbered.where("i = 0").select("account", "n_days")
-    draws = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
-    draws = draws.withColumn("i", day_draw("path", "day", "n_days", seed)).join(numbered.select("account", F.col("i").cast("long").alias("i"), "trades"), ["account", "i"])
 
-    def start() -> dict:
-        return {"w": Walk(rules), "key": None}
-
-    def step(state: dict, row: object) -> Iterator[tuple]:
-        state["key"] = (row.account, row.path)
-        w = state["w"]
-        if w.outcome == "open":
-            for t in row.trades:
-                t = t if isinstance(t, dict) else t.asDict()
-                w.trade(row.day, int(t["pnl_c"]), int(t["mae_c"]), int(t["mfe_c"]), int(t["fall_c"]))
-            w.end_day()
-            w.day = None
-        return iter(())
+def walk_paths(drawn: np.ndarray, begin: np.ndarray, width: np.ndarray, trades: dict[str, np.ndarray], r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``Walk`` over many paths side by side: outcome (0 open, 1 passed, 2 busted), days
+    and balance of each row of ``drawn``, which holds a pool day per day of the path.
 
-    def finish(state: dict) -> Iterator[tuple]:
-        w = state["w"]
-        yield *state["key"], w.outcome, w.days, int(w.bal)
+    Pool day i has the trades begin[i] .. begin[i] + width[i] - 1 of ``trades``.
+    """
+    n, pnl = len(drawn), trades["pnl_c"]
+    low, high = np.minimum(trades["mae_c"], pnl), np.maximum(trades["mfe_c"], pnl)
+    fall = np.maximum(trades["fall_c"], -low)
+    strict, cap = r["breach"] == "intraday", np.inf if r["lock"] is None else r["start"] + r["lock"]
+    floor = lambda h: np.full(len(h), -np.inf) if r["max_dd"] is None else np.minimum(h - r["max_dd"], cap)
+    bal, hwm = np.full(n, r["start"], np.int64), np.full(n, r["start"], np.int64)
+    best, days, outcome = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int8)
+    live = np.arange(n)
+    for day in range(drawn.shape[1]):
+        if not len(live):
+            break
+        first, size = begin[drawn[live, day]], width[drawn[live, day]]
+        opened, b, h = bal[live], bal[live], hwm[live]
+        bust, stopped = np.zeros(len(live), bool), np.zeros(len(live), bool)
+        for k in range(int(size.max())):
+            at = np.flatnonzero((size > k) & ~bust & ~stopped)
+            t, now, top = first[at] + k, b[at], h[at]
+            worst = now + low[t]
+            if r["hwm"] != "intraday":
+                broken = worst <= floor(top) if strict else np.zeros(len(at), bool)
+            else:
+                broken = (np.maximum(top - worst, fall[t]) >= r["max_dd"]) & (worst <= cap) if strict and r["max_dd"] is not None else np.zeros(len(at), bool)
+                top = np.where(broken, top, np.maximum(top, now + high[t]))
+            now = np.where(broken, now, now + pnl[t])
+            if not strict:
+                broken = now <= floor(top)
+            if r["day_loss"] is not None:
+                lost = ~broken & (now - opened[at] <= -r["day_loss"])
+                if r["soft"]:
+                    stopped[at] = lost
+                else:
+                    broken = broken | lost
+            b[at], h[at], bust[at] = now, top, broken
+        ends = ~bust
+        days[live[ends]] += 1
+        if r["hwm"] == "eod":
+            h = np.where(ends, np.maximum(h, b), h)
+        best[live[ends]] = np.maximum(best[live], b - opened)[ends]
+        bal[live], hwm[live], outcome[live[bust]] = b, h, 2
+        if r["target"] is not None:
+            need = r["target"] if r["consistency"] is None else np.maximum(r["target"], best[live] / r["consistency"])
+            passed = ends & (b - r["start"] >= need) & (days[live] >= r["min_days"])
+            outcome[live[passed]] = 1
+            ends = ends & ~passed
+        live = live[ends]
+    return outcome, days, bal
+
+
+def bootstrap(pool: DataFrame, rules: dict, paths: int, days: int, seed: int = 7, block: int = 5_000) -> DataFrame:
+    """Day-block bootstrap: each path draws ``days`` days of the pool with repetition
+    and is walked under the rules. Returns account, path, outcome, days, balance_c.
 
-    return ordered_fold(draws, ["account", "path"], ["day"], start, step, "account long, path int, outcome string, days long, balance_c long", finish)
+    The pool's days are numbered per account. A task walks ``block`` paths of an
+    account side by side over that account's packed days, so neither the draws nor
+    the paths' days are ever rows; accounts without a name have no paths.
+    """
+    def run(days_of: pa.Table) -> pa.Table:
+        days_of = days_of.sort_by("d").combine_chunks()
+        held = days_of.column("trades").combine_chunks()
+        held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
+        flat, width = held.flatten(), pc.list_value_length(held).to_numpy(zero_copy_only=False).astype(np.int64)
+        trades = {c: flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("pnl_c", "mae_c", "mfe_c", "fall_c")}
+        lo = int(days_of.column("block")[0].as_py()) * block
+        hi = min(paths, lo + block)
+        outcome, walked, bal = walk_paths(draw_block(seed, lo, hi, days) % len(width), np.cumsum(width) - width, width, trades, rules)
+        names = pa.DictionaryArray.from_arrays(pa.array(outcome), pa.array(["open", "passed", "busted"])).cast(pa.string())
+        return pa.table({"account": pa.array(np.full(hi - lo, days_of.column("account")[0].as_py()), pa.int64()), "path": pa.array(np.arange(lo, hi), pa.int32()), "outcome": names, "days": pa.array(walked), "balance_c": pa.array(bal)})
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((paths - 1) // block)))
+    rows = pool.where("account is not null").select(F.col("account").cast("long").alias("account"), "d", "trades", blocks.alias("block"))
+    return rows.groupBy("account", "block").applyInArrow(run, "account long, path int, outcome string, days long, balance_c long")
 
 
 def rollup(paths: DataFrame) -> DataFrame:

@@ -465,7 +465,7 @@ for _name in RULE_SETS:
 
 @query("o115_bootstrap")
 def o115(spark, d):
-    return P.rollup(P.bootstrap(T.day_pool(_trades(spark, d)), RULE_SETS["eod"], paths=40, days=60))
+    return P.rollup(P.bootstrap(T.day_pool(_trades(spark, d)), RULE_SETS["eod"], paths=20_000, days=90))
 
 
 @query("o119_day_draw", """SELECT p AS path, y AS day, CAST(('0x' || substr(md5(concat_ws(':', '7', p, y)), 1, 8)) AS BIGINT) % 540 AS i FROM (SELECT unnest(range(200)) AS p) a, (SELECT unnest(range(90)) AS y) b""")
