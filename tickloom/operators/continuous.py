@@ -64,7 +64,7 @@ def to_raw(prices: DataFrame, offsets: DataFrame) -> DataFrame:
     return prices.join(offsets.select("cal_day", "offset").distinct(), "cal_day").withColumn("px_raw", F.col("px_adj") - F.col("offset"))
 
 
-def audit(series: DataFrame, step_ticks: int) -> DataFrame:
+def audit(series: DataFrame, step_ticks: float) -> DataFrame:
     """Violations of a stitched series per day: unsorted times and intraday steps that
     are too wide."""
     w = Window.partitionBy("cal_day").orderBy("seq")
@@ -72,6 +72,34 @@ def audit(series: DataFrame, step_ticks: int) -> DataFrame:
     return rows.groupBy("cal_day").agg(F.coalesce(F.sum("late"), F.lit(0)).alias("unsorted"), F.coalesce(F.sum("wide"), F.lit(0)).alias("wide_steps"), F.count(F.lit(1)).alias("n"))
 
 
+def session_gaps(series: DataFrame) -> DataFrame:
+    """(cal_day, gap): step from the last price of a weekday to the first of the next one,
+    where the two are adjacent dates. One row per day; weekends and holidays give none."""
+    days = series.groupBy("cal_day").agg(F.min_by("px_adj", "seq").alias("first_px"), F.max_by("px_adj", "seq").alias("last_px"))
+    before = days.select(F.date_add("cal_day", 1).alias("cal_day"), F.col("last_px").alias("p"))
+    # weekday: 0 is Monday. Into Tuesday to Friday, so that both days are weekdays.
+    return days.join(before, "cal_day").where(F.weekday("cal_day").between(1, 4)).select("cal_day", F.abs(F.col("first_px") - F.col("p")).alias("gap"))
+
+
+def violations(series: DataFrame, front: DataFrame, spreads: DataFrame, step_ticks: float, gap_ticks: float, band: tuple[float, float]) -> DataFrame:
+    """(cal_day, problem, n, size): all that breaks a stitched series; none if it is sound.
+
+    unsorted: times that go back; wide step: intraday steps of step_ticks or more;
+    session gap: more than gap_ticks between consecutive weekdays, as a session on
+    the wrong contract shows; no spread, spread: a roll that was not measured, or
+    outside the band in either end. n counts them, size is the gap or the spread.
+    """
+    none = F.lit(None).cast("double")
+    daily = audit(series, step_ticks)
+    out = daily.where("unsorted > 0").select("cal_day", F.lit("unsorted").alias("problem"), F.col("unsorted").cast("long").alias("n"), none.alias("size"))
+    out = out.unionByName(daily.where("wide_steps > 0").select("cal_day", F.lit("wide step").alias("problem"), F.col("wide_steps").cast("long").alias("n"), none.alias("size")))
+    one = F.lit(1).cast("long").alias("n")
+    out = out.unionByName(session_gaps(series).where(F.col("gap") > gap_ticks).select("cal_day", F.lit("session gap").alias("problem"), one, F.col("gap").cast("double").alias("size")))
+    r = rolls(front).join(spreads, ["from_contract", "to_contract"], "left")
+    r = r.withColumn("problem", F.when(F.col("spread").isNull(), "no spread").when(~F.col("spread").between(*band), "spread")).where("problem is not null")
+    return out.unionByName(r.select("cal_day", "problem", one, F.col("spread").cast("double").alias("size")))
+
+
 def changed_inputs(old: DataFrame, new: DataFrame, key: list[str], print_: str) -> DataFrame:
     """(key, status): inputs that are new, changed or gone against the last build, by
     comparing one fingerprint per key."""

@@ -626,6 +626,28 @@ def o137(spark, d):
     return _text(C.audit(_adjusted(spark, d), 40), "cal_day")
 
 
+#: Least intraday step, largest gap between weekdays and roll spreads in ticks of 0.25 points: the reference's 150, 175 and 150 to 350 points.
+STEP, GAP, BAND = 600.0, 700.0, (600.0, 1400.0)
+
+
+@query("o137_violations", f"""WITH {ADJ}, ad AS (SELECT seq, us, cal_day, px_ticks + offset_ AS px FROM aj),
+l AS (SELECT cal_day, us < lag(us) OVER w AS late, abs(px - lag(px) OVER w) >= {STEP} AS wide FROM ad WINDOW w AS (PARTITION BY cal_day ORDER BY seq)),
+dy AS (SELECT cal_day, arg_min(px, seq) AS first_px, arg_max(px, seq) AS last_px FROM ad GROUP BY cal_day),
+gp AS (SELECT b.cal_day, abs(b.first_px - a.last_px) AS gap FROM dy b JOIN dy a ON a.cal_day + 1 = b.cal_day WHERE isodow(b.cal_day) <= 5 AND isodow(a.cal_day) <= 5),
+ro AS (SELECT cal_day, contract, lag(contract) OVER (ORDER BY cal_day) AS p FROM fr),
+rs AS (SELECT ro.cal_day, sp.spread FROM ro LEFT JOIN sp ON sp.from_contract = ro.p AND sp.to_contract = ro.contract WHERE ro.p <> ro.contract),
+v AS (SELECT cal_day, 'unsorted' AS problem, count(*) AS n, CAST(NULL AS DOUBLE) AS size FROM l WHERE late GROUP BY l.cal_day
+UNION ALL SELECT cal_day, 'wide step', count(*), NULL FROM l WHERE wide GROUP BY l.cal_day
+UNION ALL SELECT cal_day, 'session gap', 1, gap FROM gp WHERE gap > {GAP}
+UNION ALL SELECT cal_day, CASE WHEN spread IS NULL THEN 'no spread' ELSE 'spread' END, 1, spread FROM rs WHERE spread IS NULL OR spread < {BAND[0]} OR spread > {BAND[1]})
+SELECT CAST(cal_day AS VARCHAR) AS cal_day, problem, n, size FROM v""")
+def o137_violations(spark, d):
+    """All four checks of the reference; o137_audit keeps the counts of two of them per day."""
+    t = _two(spark, d)
+    front, spreads = C.front_contracts(B.daily_volume(t)), C.roll_spread(t, 3_600_000_000, 5)
+    return _text(C.violations(C.back_adjusted(t, front, spreads), front, spreads, STEP, GAP, BAND), "cal_day")
+
+
 @query("o107_window_break")
 def o107(spark, d):
     from .operators.window_break import BreakRules, window_break
