@@ -6,7 +6,7 @@ import ast
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import stats
@@ -51,7 +51,7 @@ def tape_status(ticks: DataFrame) -> DataFrame:
     return B.available_range(ticks)
 
 
-def backtest(ticks: DataFrame, name: str, period: str | int = "5m", params: dict | None = None, first: str | None = None, last: str | None = None, rules: X.FillRules = X.FillRules()) -> DataFrame:
+def backtest(ticks: DataFrame, name: str, period: str | int = "5m", params: dict | None = None, first: str | None = None, last: str | None = None, rules: X.FillRules = X.FillRules(), governor_day: Column | None = None) -> DataFrame:
     """Trades of a strategy: slice, bars, candidates, fills."""
     s = STRATEGIES[name]
     unknown = set(params or {}) - set(s.params)
@@ -60,7 +60,7 @@ def backtest(ticks: DataFrame, name: str, period: str | int = "5m", params: dict
     p = {k: v[0] for k, v in s.params.items()} | (params or {})
     seconds = B.parse_period(period)
     part = B.slice_range(ticks, first, last, rth=not s.full_session)
-    return X.resolve(part, s.build(part, B.numbered(B.build_bars(part, seconds)), seconds, p), rules)
+    return X.resolve(part, s.build(part, B.numbered(B.build_bars(part, seconds)), seconds, p), rules, governor_day)
 
 
 def run_summary(trades: DataFrame, point_value: float = 1.0, tick_size: float = 1.0, commission: float = 0.0) -> DataFrame:
@@ -70,7 +70,7 @@ def run_summary(trades: DataFrame, point_value: float = 1.0, tick_size: float =
         F.count(F.lit(1)).alias("n"), F.sum("money").alias("pnl"), F.avg((F.col("money") > 0).cast("int")).alias("win_rate"), F.max(F.col("fall") * tick_size * point_value).alias("max_fall"))
 
 
-def sweep(ticks: DataFrame, name: str, ranges: dict[str, list[float]], period: str | int = "5m", rules: X.FillRules = X.FillRules()) -> DataFrame:
+def sweep(ticks: DataFrame, name: str, ranges: dict[str, list[float]], period: str | int = "5m", rules: X.FillRules = X.FillRules(), governor_day: Column | None = None) -> DataFrame:
     """One row per combination: trades, result and verdict. The combination joins the
     contract key, so that all are resolved in one plan over the same ticks and bars."""
     spark = ticks.sparkSession
@@ -84,7 +84,7 @@ def sweep(ticks: DataFrame, name: str, ranges: dict[str, list[float]], period: s
         one = s.build(part, bars, seconds, p).withColumn("contract", F.concat_ws("#", F.lit(str(c["combo_no"])), "contract"))
         cands = one if cands is None else cands.unionByName(one, allowMissingColumns=True)
     keyed = part.withColumn("contract", F.concat_ws("#", F.explode(F.array(*[F.lit(str(c["combo_no"])) for c in combos])), "contract"))
-    done = X.resolve(keyed, cands, rules).withColumn("combo_no", F.split("contract", "#")[0].cast("long"))
+    done = X.resolve(keyed, cands, rules, governor_day).withColumn("combo_no", F.split("contract", "#")[0].cast("long"))
     daily = done.groupBy("combo_no", "cal_day").agg(F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("n"))
     rows = daily.groupBy("combo_no").agg(F.sum("n").alias("n"), F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("days"), F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("s"), F.avg((F.col("pnl") > 0).cast("double")).alias("positive"))
     t = F.when((F.col("days") >= 20) & (F.col("s") > 0), F.col("m") / (F.col("s") / F.sqrt("days")))

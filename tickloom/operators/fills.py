@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.fold import ordered_fold
@@ -139,39 +139,59 @@ def one_at_a_time(found: DataFrame, cooldown_min: int) -> DataFrame:
     return ordered_fold(found, ["contract"], ["entry_seq", "cand_no"], lambda: [-(2**62)], step, EXIT)
 
 
-def resolve(ticks: DataFrame, candidates: DataFrame, rules: FillRules = FillRules()) -> DataFrame:
-    """Trades of the candidates: EXIT and pnl in ticks."""
+def resolve(ticks: DataFrame, candidates: DataFrame, rules: FillRules = FillRules(), governor_day: Column | None = None) -> DataFrame:
+    """Trades of the candidates: EXIT and pnl in ticks. ``governor_day``, an expression on
+    ticks, is the day over which the governor adds up (default cal_day)."""
     if rules.day_target is not None or rules.day_loss is not None:
-        out = _governed(ticks, candidates, rules)
+        out = _governed(ticks, candidates, rules, governor_day)
     else:
         out = one_at_a_time(exits(ticks, candidates, rules), rules.cooldown_min)
     return out.withColumn("pnl", F.col("dir") * (F.col("exit_px") - F.col("fill")))
 
 
-def _governed(ticks: DataFrame, candidates: DataFrame, rules: FillRules) -> DataFrame:
-    """Serial walk of each contract-day with the day's running result; no trade of a
-    day holds back another day's, so the cooldown ends at midnight."""
-    cand = candidates.select("contract", "cal_day", F.col("entry_seq").alias("seq"), F.col("dir").cast("int").alias("dir"), F.col("stop").cast("double"), F.col("target").cast("double"))
-    days = cand.select("contract", "cal_day").distinct()
-    laid = ticks.select("contract", "cal_day", "seq", "us", "sod", "px_ticks").join(days, ["contract", "cal_day"], "left_semi").join(cand, ["contract", "cal_day", "seq"], "left")
+def session_day(open_sod: int = 64_800) -> Column:
+    """Day of the session that a tick is in, when sessions open at open_sod (18:00) of the date before."""
+    return F.date_add("cal_day", F.when(F.col("sod") >= open_sod, 1).otherwise(0))
 
-    def run(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values(["seq", "stop", "target"], ignore_index=True)
-        tape = day.drop_duplicates("seq", ignore_index=True)
-        seq, us, sod, px = (tape[c].to_numpy() for c in ("seq", "us", "sod", "px_ticks"))
-        rows, free, total, locked = [], -(2**62), 0.0, False
-        for no, c in enumerate(day[day["dir"].notna()].itertuples()):
-            i = int(np.searchsorted(seq, c.seq))
-            if locked or us[i] < free:
-                continue
-            got = walk(seq, us, sod, px, i, int(c.dir), c.stop, c.target, None, None, rules, total)
-            if not got:
-                continue
-            k, fill, out, reason, low, high, fall = got
-            rows.append((c.contract, c.cal_day, no, seq[i], us[i], int(c.dir), fill, seq[k], us[k], out, reason, low, high, fall))
-            free = us[k] + rules.cooldown_min * MINUTE_US
-            total += int(c.dir) * (out - fill)
-            locked = (rules.day_target is not None and total >= rules.day_target) or (rules.day_loss is not None and total <= -rules.day_loss)
+
+def _governed(ticks: DataFrame, candidates: DataFrame, rules: FillRules, governor_day: Column | None = None) -> DataFrame:
+    """Serial walk with the running result of the governor's day.
+
+    By cal_day each contract and day is walked alone, so the cooldown ends at midnight.
+    A day that the caller names may begin inside a date while a position is open: then
+    all days of a contract with candidates are one task's work and memory. A position
+    ends with its cal_day's ticks, as in exits, and counts for the day of its entry.
+    """
+    extra = [c for c in ("limit_px", "be_px") if c in candidates.columns]
+    fields = F.struct(*[F.col(c).cast("double").alias(c) for c in ("stop", "target", *extra)], F.col("dir").cast("int").alias("dir"))
+    cand = candidates.select("contract", "cal_day", F.col("entry_seq").alias("seq"), fields.alias("c")).groupBy("contract", "cal_day", "seq").agg(F.sort_array(F.collect_list("c")).alias("cands"))
+    days = cand.select("contract", "cal_day").distinct()
+    gday = F.col("cal_day") if governor_day is None else governor_day
+    laid = ticks.select("contract", "cal_day", gday.alias("gday"), "seq", "us", "sod", "px_ticks").join(days, ["contract", "cal_day"], "left_semi").join(cand, ["contract", "cal_day", "seq"], "left")
+
+    def run(held: pd.DataFrame) -> pd.DataFrame:
+        rows, free, total, locked, now = [], -(2**62), 0.0, False, None
+        for date, tape in held.groupby("cal_day", sort=True):
+            tape = tape.sort_values("seq", ignore_index=True)
+            seq, us, sod, px = (tape[c].to_numpy() for c in ("seq", "us", "sod", "px_ticks"))
+            for i, found in enumerate(tape["cands"]):
+                if found is None or not hasattr(found, "__len__"):
+                    continue
+                if now != tape["gday"][i]:
+                    now, total, locked = tape["gday"][i], 0.0, False
+                for no, c in enumerate(found):
+                    if locked or us[i] < free:
+                        continue
+                    c = c if isinstance(c, dict) else c.asDict()
+                    d = int(c["dir"])
+                    got = walk(seq, us, sod, px, i, d, c["stop"], c["target"], c.get("limit_px"), c.get("be_px"), rules, total)
+                    if not got:
+                        continue
+                    k, fill, out, reason, low, high, fall = got
+                    rows.append((tape["contract"].iloc[0], date, no, seq[i], us[i], d, fill, seq[k], us[k], out, reason, low, high, fall))
+                    free = us[k] + rules.cooldown_min * MINUTE_US
+                    total += d * (out - fill)
+                    locked = reason == "governor" or (rules.day_target is not None and total >= rules.day_target) or (rules.day_loss is not None and total <= -rules.day_loss)
         return pd.DataFrame(rows, columns=[x.split()[0] for x in EXIT.split(", ")])
 
-    return laid.groupBy("contract", "cal_day").applyInPandas(run, EXIT)
+    return laid.groupBy(*(["contract", "cal_day"] if governor_day is None else ["contract"])).applyInPandas(run, EXIT)
