@@ -6,7 +6,7 @@ import ast
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import stats
@@ -130,8 +130,43 @@ def check_source(source: str) -> list[str]:
 
 
 def lookahead_probe(ticks: DataFrame, build: Callable[[DataFrame], DataFrame], cut_day: str, shift: int = 37) -> int:
-    """Number of entries before ``cut_day`` that change when later prices are shifted."""
+    """Number of entries before ``cut_day`` that change when later prices are shifted; see
+    probe_entries for cuts inside days and for sides."""
     cut = F.lit(cut_day).cast("date")
     moved = ticks.withColumn("px_ticks", F.when(F.col("cal_day") >= cut, F.col("px_ticks") + shift).otherwise(F.col("px_ticks")))
     a, b = (build(t).where(F.col("cal_day") < cut) for t in (ticks, moved))
     return a.exceptAll(b).unionAll(b.exceptAll(a)).count()
+
+
+def probe_cuts(entries: DataFrame, cuts: int = 6) -> list[tuple[int, int]]:
+    """(cut_no, cut) of up to ``cuts`` cuts, each at the seq behind an entry: the entries'
+    first, last and those at even ranks between them. seq orders the ticks of all contracts."""
+    seqs = entries.select("entry_seq").distinct()
+    w = Window.orderBy("entry_seq")  # one row per entry
+    n = seqs.count()
+    ranks = sorted({i * (n - 1) // (cuts - 1) if cuts > 1 else 0 for i in range(min(n, cuts))} if n > cuts else range(n))
+    rows = seqs.withColumn("r", F.row_number().over(w) - 1).where(F.col("r").isin(ranks)).orderBy("r").collect()
+    return [(i, int(r["entry_seq"]) + 1) for i, r in enumerate(rows)]
+
+
+def perturbed(ticks: DataFrame, cut: int, shift: int = 100) -> DataFrame:
+    """Ticks with prices shifted and sides turned from seq ``cut`` on; times, and so the bars' bounds, stay."""
+    late = F.col("seq") >= cut
+    return ticks.withColumns({"px_ticks": F.when(late, F.col("px_ticks") + shift).otherwise(F.col("px_ticks")), "side": F.when(late, -F.col("side")).otherwise(F.col("side")).cast(ticks.schema["side"].dataType)})
+
+
+def probe_entries(ticks: DataFrame, build: Callable[[DataFrame], DataFrame], cuts: int = 6, shift: int = 100) -> DataFrame:
+    """(cut_no, cut, compared, differing): for cuts one tick behind sampled entries, the
+    entries up to the cut and how many of them change, come or go when all that is
+    behind it changes. No row means that there was no entry to test."""
+    base = build(ticks)
+    found = probe_cuts(base, cuts)
+    if not found:
+        return ticks.sparkSession.createDataFrame([], "cut_no int, cut long, compared long, differing long")
+    tag = lambda no, cut: F.struct(F.lit(no).alias("cut_no"), F.lit(cut).cast("long").alias("cut"))
+    rows = base.withColumn("_c", F.explode(F.array(*[tag(*c) for c in found]))).withColumn("_w", F.lit(1))
+    for no, cut in found:
+        rows = rows.unionByName(build(perturbed(ticks, cut, shift)).withColumn("_c", tag(no, cut)).withColumn("_w", F.lit(-1)))
+    # Equal entries of both runs cancel; what is left came, went or changed.
+    rows = rows.where("entry_seq < _c.cut").groupBy("_c", *base.columns).agg(F.sum("_w").alias("d"), F.count_if(F.col("_w") == 1).alias("n"))
+    return rows.groupBy("_c").agg(F.sum("n").alias("compared"), F.sum(F.abs("d")).alias("differing")).select("_c.cut_no", "_c.cut", "compared", "differing")

@@ -747,15 +747,25 @@ def o128(spark, d):
     return stats.chain_breaks(edited, "seq", F.col("body")).where("reason = 'edited'")
 
 
+#: Parameters with which the strategies enter on the sparse test ticks.
+PROBED = {"ma_cross": {"fast": 3, "slow": 8}, "orb": {"range_min": 60}, "range_break": {"lookback": 3, "min_range_ticks": 5, "max_range_ticks": 400}, "sweep_follow": {"min_volume": 20, "cluster_ms": 600_000}}
+
+
 @query("o139_lookahead_probe", "SELECT CAST(0 AS BIGINT) AS differing")
 def o139(spark, d):
-    """Prices behind a cut are shifted; entries before it must not change."""
-    ticks = _ticks(spark, d)
-    cut = F.lit("2024-01-16").cast("date")
-    shifted = ticks.withColumn("px_ticks", F.when(F.col("cal_day") >= cut, F.col("px_ticks") + 37).otherwise(F.col("px_ticks")))
-    entries = [S.ma_cross(B.numbered(B.build_bars(t, HOUR)), 3, 8, 40, 2.0).where(F.col("cal_day") < cut) for t in (ticks, shifted)]
-    both = entries[0].exceptAll(entries[1]).unionAll(entries[1].exceptAll(entries[0]))
-    return both.agg(F.count(F.lit(1)).alias("differing"))
+    """All registered strategies, with cuts one tick behind sampled entries from which
+    prices are shifted and sides turned; entries up to each cut must not change."""
+    from . import api
+    ticks, out = _ticks(spark, d), None
+    for name, s in api.STRATEGIES.items():
+        p = {k: v[0] for k, v in s.params.items()} | PROBED.get(name, {})
+
+        def build(t: DataFrame, s=s, p=p) -> DataFrame:
+            part = B.slice_range(t, rth=not s.full_session)
+            return s.build(part, B.numbered(B.build_bars(part, HOUR)), HOUR, p)
+        one = api.probe_entries(ticks, build)
+        out = one if out is None else out.unionByName(one)
+    return out.agg(F.coalesce(F.sum("differing"), F.lit(0)).cast("long").alias("differing"))
 
 
 @query("o99_contracts", "SELECT DISTINCT upper(trim(regexp_replace(contract, '[_\\s]+', ' ', 'g'))) AS contract FROM tape WHERE contract IS NOT NULL")
