@@ -8,8 +8,9 @@ length: no pair of captures is ever formed, and exact copies are one list.
 
 The surviving record takes each field from the currency order of its captures: a
 partial order by trust and by time, extended to a total one. Where the order of
-values is not given it is learned: transitions between the values of timestamped
-captures of one group vote for a precedence (``value_precedence``).
+values is not given it can be learned: transitions between the values of timestamped
+captures of one group vote for a precedence (``value_precedence``), which no query
+uses; no partial order is made of it, and no topologically latest value is chosen.
 """
 
 from __future__ import annotations
