@@ -1,13 +1,18 @@
 """Schemas that drift between files (problem 4).
 
-Each file's records form a small schema graph: a node per field name with its
-JSON types, its kinds of content, its nested names and its neighbours in the
-record. The documented fields form the same graph. Similarity flooding spreads
-the first scores (names through a thesaurus, content kinds) over pairs whose
-types, kinds and neighbours correspond until they settle; the best consistent
-one-to-one correspondences above a bound are taken, and every record is cast to
-the documented fields. Files are independent of each other: one pass, no
-shuffle, and a file is the unit of memory.
+The records of a file form a schema graph: its names, joined to the kinds and JSON
+types of their content (wrapped values are looked through), to the names before and
+behind them in the record, and to the names whose values theirs bound. The documented
+fields form the same graph by their order, KINDS and BOUNDS. Similarity flooding
+(``flood``) starts every pair of a name and a field whose contents agree from the
+likeness of the two names, which is a weak hint, and passes scores along equal edges
+until no score changes any more; pairs of the documented fields under their own names
+are where the scores come from. The best consistent one-to-one pairs above ACCEPT are
+taken, and every record is cast to the documented fields.
+
+What one file cannot tell is taken from all of them: a name that stands beside a field
+in the records of other files is hardly that field. The files are read once; what is
+shuffled is the graphs of the files that have both strange names and missing fields.
 """
 
 from __future__ import annotations
@@ -15,34 +20,28 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words by which trade records name a documented field (a
-#: thesaurus entry is a set of words; a word may stand for several fields).
-THESAURUS = {
-    "entry": "entry enter entered open opened opening start in entrytime entrydate",
-    "exit": "exit exited close closed closing end out exittime exitdate",
-    "dir": "dir direction side position market long short buysell action",
-    "qty": "qty quantity contracts size lots volume units shares amount count",
-    "entry_price": "entryprice entrypx avgentry pxin openprice openpx fillprice pricein buyprice",
-    "exit_price": "exitprice exitpx avgexit pxout closeprice closepx priceout sellprice",
-    "profit": "profit pnl gross pl profitloss gain result grossprofit realized",
-    "commission": "commission comm commissions brokerage",
-    "fee": "fee fees exchange exchangefee charges clearing nfa",
-    "mae": "mae adverse maxadverse excursionadverse drawdownexcursion maxloss heat",
-    "mfe": "mfe favorable favourable maxfavorable runup maxgain",
-    "signal": "signal tag entryname entrysignal label setup name ordername",
+#: Words by which trade records often name a documented field. A hint
+#: only: a name without any of these words is found by its place and content.
+HINTS = {
+    "entry": "entry open opened start", "exit": "exit close closed end", "dir": "direction side position", "qty": "quantity contracts size lots",
+    "entry_price": "entryprice avgentry pxin", "exit_price": "exitprice avgexit pxout", "profit": "profit pnl gross net result", "commission": "commission comm brokerage",
+    "fee": "fee fees exchange charges", "mae": "mae adverse drawdown", "mfe": "mfe favorable runup", "signal": "signal entryname tag label",
 }
-#: Words of other quantities that trade records carry.
-OTHER = "etd mdd bars held duration currency slip slippage partial legs note comment session account strategy id exitsignal exitname exitreason reason intra efficiency"
-#: Words that say nothing about which field is meant.
-FILLER = {"currency", "time", "date", "price", "px", "avg", "value", "usd", "the", "of", "total"}
+#: Words that do not tell fields apart.
+FILLER = {"currency", "time", "date", "price", "px", "avg", "max", "value"}
+#: Share of a score that is passed on by the graph; the rest is the first score.
+PASSED = 0.75
+#: Weights of the edges to the neighbours, to the content and to the bounded fields.
+PLACE, CONTENT, BOUND = 0.45, 0.3, 0.25
+#: Power with which the share of files that have a name beside a field speaks against the two.
+WITNESS = 4
 #: A correspondence needs this score, of 1.
 ACCEPT = 0.5
 
@@ -113,32 +112,20 @@ def words(name: str) -> tuple[str, ...]:
     return tuple(w.lower() for w in _SPLIT.findall(name))
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=65_536)
 def name_likeness(name: str, field: str) -> float:
-    """Likeness of a name to a documented field, from the thesaurus, else from shared letters."""
-    own = words(name)
-    joined = "".join(own)
-    if joined == "".join(words(field)):
+    """Likeness of a name to a documented field, 0 to 1: equal letters, else the hinted
+    words among its words, else shared groups of three letters."""
+    own, other = words(name), words(field)
+    a, b = "".join(own), "".join(other)
+    hints = HINTS.get(field, "").split()
+    if a == b or a in hints:
         return 1.0
     core = [w for w in own if w not in FILLER] or list(own)
-    known = set(THESAURUS.get(field, field).split())
-    if joined in known:
-        return 1.0
-    if joined in OTHER.split() or set(core) & {"etd", "mdd", "slip", "bars", "legs", "note", "session", "partial", "reason"}:
-        return 0.0
-    others = {w for f, v in THESAURUS.items() if f != field for w in v.split()}
-    if joined in others:
-        return 0.0
-    priced = bool(set(own) & {"price", "px", "avg"})
-    if field.endswith("_price") != priced and field in ("entry", "exit", "entry_price", "exit_price"):
-        return 0.0
-    if field.endswith("_price"):
-        known = set(THESAURUS[field.split("_")[0]].split())
-    hits = sum(w in known for w in core) / len(core)
-    a, b = joined, "".join(words(field))
+    hits = sum(w in hints for w in core) / max(1, len(core))
     grams = lambda s: {s[i:i + 3] for i in range(max(1, len(s) - 2))}
-    shared = len(grams(a) & grams(b)) / max(1, min(len(grams(a)), len(grams(b))))
-    return max(0.9 * hits, 0.7 * shared)
+    shared = len(grams(a) & grams(b)) / max(1, len(grams(a) | grams(b)))
+    return max(0.8 * hits, shared)
 
 
 def content_kind(values: list[object]) -> str:
@@ -163,7 +150,7 @@ def content_kind(values: list[object]) -> str:
     return "text" if all(isinstance(v, str) for v in flat) else "list"
 
 
-#: Kinds that each documented field may hold.
+#: Kinds of content that each documented field may hold.
 KINDS = {
     "entry": {"time"}, "exit": {"time"}, "dir": {"direction", "flag", "count"}, "qty": {"count"},
     "entry_price": {"money", "count"}, "exit_price": {"money", "count"}, "profit": {"money", "money±", "count", "direction"},
@@ -172,84 +159,154 @@ KINDS = {
 }
 
 
-def flood(pairs: dict[tuple[str, str], float], links: list[tuple[tuple[str, str], tuple[str, str]]], rounds: int = 40, own: float = 0.6) -> dict[tuple[str, str], float]:
-    """Similarity flooding to a fixed point.
+def _number_pairs(mine: list[object], theirs: list[object]) -> list[tuple[float, float]]:
+    both = [(as_number(a), as_number(b)) for a, b in zip(mine, theirs)]
+    return [(a, b) for a, b in both if a is not None and b is not None]
 
-    Every link passes a pair's score to its neighbour in equal shares; scores are
-    mixed with the first ones and normalised by the largest, until the largest
-    change is small.
-    """
-    out = defaultdict(list)
-    for a, b in links:
-        if a in pairs and b in pairs:
-            out[a].append(b)
-            out[b].append(a)
-    score = dict(pairs)
-    for _ in range(rounds):
-        flow: dict[tuple[str, str], float] = defaultdict(float)
-        for a, near in out.items():
-            for b in near:
-                flow[b] += score[a] / len(near)
-        new = {p: own * pairs[p] + (1 - own) * min(1.0, flow[p] + score[p] * 0.5) for p in pairs}
-        top = max(new.values(), default=0) or 1.0
-        new = {p: v / max(1.0, top) for p, v in new.items()}
-        done = max((abs(new[p] - score[p]) for p in pairs), default=0) < 1e-4
-        score = new
-        if done:
-            break
-    return score
-
-
-def correspond(records: list[dict], fields: dict[str, str]) -> dict[str, str]:
-    """Name in the records -> documented field, for names other than the field's own."""
-    order: dict[str, int] = {}
-    for r in records:
-        for i, k in enumerate(r):
-            order.setdefault(k, i)
-    strange = [k for k in order if k not in fields]
-    if not strange:
-        return {}
-    lacking = [f for f in fields if any(f not in r for r in records)]
-    together = {(k, f) for r in records for k in r if k not in fields for f in fields if f in r}
-    free = [(k, f) for k in strange for f in lacking if (k, f) not in together]
-    if not free:
-        return {}
-    held = {k: [r[k] for r in records if k in r] for k in strange}
-    kinds = {k: content_kind(v) for k, v in held.items()}
-    known = {k: content_kind([r[k] for r in records if k in r]) for k in order if k in fields}
-    levels = [n for f in ("entry_price", "exit_price") for r in records if (n := as_number(r.get(f))) is not None]
-    pairs: dict[tuple[str, str], float] = {}
-    names: dict[tuple[str, str], float] = {}
-    for k, f in free:
-        if kinds[k] != "none" and kinds[k] not in KINDS.get(f, {kinds[k]}):
-            continue
-        like = name_likeness(k, f)
-        if like == 0.0:
+
+def _not_below(sign: float) -> Callable[[list, list], float | None]:
+    def test(mine: list[object], theirs: list[object]) -> float | None:
+        pairs = [(abs(a), sign * b) for a, b in _number_pairs(mine, theirs)]
+        return sum(a >= b for a, b in pairs) / len(pairs) if pairs else None
+    return test
+
+
+def _ordered(sign: int) -> Callable[[list, list], float | None]:
+    def test(mine: list[object], theirs: list[object]) -> float | None:
+        pairs = [(a, b) for a, b in ((as_time(x), as_time(y)) for x, y in zip(mine, theirs)) if a and b]
+        return sum(a >= b if sign > 0 else a <= b for a, b in pairs) / len(pairs) if pairs else None
+    return test
+
+
+def _same_level(mine: list[object], theirs: list[object]) -> float | None:
+    pairs = [(a, b) for a, b in _number_pairs(mine, theirs) if b]
+    return sum(0.3 < a / b < 3 for a, b in pairs) / len(pairs) if pairs else None
+
+
+#: How a field's values stand to those of another in the same record.
+BOUNDS: dict[tuple[str, str], Callable[[list, list], float | None]] = {
+    ("exit", "entry"): _ordered(1), ("entry", "exit"): _ordered(-1), ("entry_price", "exit_price"): _same_level, ("exit_price", "entry_price"): _same_level,
+    ("mfe", "profit"): _not_below(1.0), ("mae", "profit"): _not_below(-1.0),
+}
+
+
+def schema_graph(records: list[dict], fields: dict[str, str]) -> dict | None:
+    """The file's graph beside the documented one: ``shapes``, the different orders of
+    names in a record that hold a strange one, and ``pairs``, [name, field, likeness,
+    content, bound] of each strange name and missing field that may correspond. None if
+    there is no such pair. Two names of one record are two fields."""
+    shapes = list(dict.fromkeys(tuple(r) for r in records))
+    strange = list(dict.fromkeys(k for s in shapes for k in s if k not in fields))
+    lacking = [f for f in fields if any(f not in s for s in shapes)]
+    if not strange or not lacking:
+        return None
+    pairs = []
+    for k in strange:
+        mine = [s for s in shapes if k in s]
+        free = [f for f in lacking if not any(f in s for s in mine)]
+        if not free:
             continue
-        if f.endswith("_price") and levels:  # a price lies where the other prices lie
-            mine = [n for v in held[k] if (n := as_number(v)) is not None]
-            if mine and not 0.3 < (sum(mine) / len(mine)) / (sum(levels) / len(levels)) < 3:
+        own = [r for r in records if k in r]
+        values = [r[k] for r in own]
+        kind = content_kind(values)
+        seen = [t for t in map(json_type, values) if t]
+        for f in free:
+            if kind != "none" and kind not in KINDS.get(f, {kind}):
                 continue
-        names[k, f] = like
-        pairs[k, f] = like * (1.0 if kinds[k] != "none" else 0.9)
-    # Graph of correspondences: fields beside each other in the record and in the document, and equal content kinds.
-    listed = list(fields)
-    shown = sorted(order, key=order.get)
-    anchors = {(k, k): 1.0 for k in known}
-    links = []
-    for k, f in pairs:
-        i, j = shown.index(k), listed.index(f)
-        for step in (-1, 1):
-            if 0 <= i + step < len(shown) and 0 <= j + step < len(listed):
-                other = (shown[i + step], listed[j + step])
-                if other in pairs or other in anchors:
-                    links.append(((k, f), other))
-    score = flood(pairs | anchors, links)
+            content = 0.6 if kind == "none" else 0.85 + 0.15 * seen.count(fields[f]) / len(seen)
+            held = [t for (a, b), test in BOUNDS.items() if a == f and b in fields and (t := test(values, [r.get(b) for r in own])) is not None]
+            if held and min(held) == 0.0 and f.endswith("price"):
+                continue  # on another level than every other price
+            # What holds in a good part of the records by chance says little; what fails in some says much.
+            pairs.append([k, f, round(name_likeness(k, f), 4), round(content, 4), round(max(0.0, 2 * min(held) - 1) ** 2, 4) if held else None])
+    return {"shapes": [s for s in shapes if any(k not in fields for k in s)], "pairs": pairs} if pairs else None
+
+
+def _beside(shape: tuple[str, ...], at: int, field: int, side: int, place: dict[str, int], free: dict[str, list[int]]) -> Iterator[tuple[tuple[str, int] | None, float]]:
+    """Edges of the pair (shape[at], field) to pairs on one side, with weights.
+
+    A pair on the other end is a strange name with a field, or None for a field under
+    its own name or the record's end. Names and fields between the two ends weigh the
+    edge down if there are more of them in one graph than in the other. A field of the
+    record that lies between, or on the wrong side, breaks the edge.
+    """
+    present = {place[k] for k in shape if k in place}
+    skipped, i = 0, at + side
+    bar = min((abs(p - field) for p in present if (p - field) * side > 0), default=None)  # the nearest present field on this side
+    while 0 <= i < len(shape):
+        k = shape[i]
+        if k in place:
+            apart = (place[k] - field) * side
+            if apart > 0 and apart == bar:
+                yield None, 1 / (1 + abs(skipped - (apart - 1)))
+            return
+        for g in free.get(k, ()):
+            apart = (g - field) * side
+            if apart > 0 and (bar is None or apart < bar):
+                yield (k, g), 1 / (1 + abs(skipped - (apart - 1)))
+        skipped, i = skipped + 1, i + side
+    if bar is None:
+        beyond = len(place) - 1 - field if side > 0 else field
+        yield None, 1 / (1 + abs(skipped - beyond))
+
+
+def flood(start: dict, edges: dict, fixed: dict, damp: dict) -> dict:
+    """Scores of all pairs at the fixed point.
+
+    start: first scores; edges: pair -> for each shape the edges to the left and to the
+    right, (pair or None, weight); fixed: (content, bound or None). A pair passes its
+    score, times the weight, to its neighbours, which keep the best that comes from
+    either side; None passes 1. ``damp`` scales what a pair may reach. Every round moves
+    no score further than PASSED times the round before did, so the rounds end by
+    themselves, when nothing changes by more than 1e-6.
+    """
+    score = {p: damp[p] * s for p, s in start.items()}
+    while True:
+        new = {}
+        for p, s in start.items():
+            best = 0.0
+            for sides in edges[p]:
+                best = max(best, sum(max((w * (1.0 if q is None else score[q]) for q, w in side), default=0.0) for side in sides) / 2)
+            content, bound = fixed[p]
+            got = (PLACE * best + CONTENT * content + (BOUND * bound if bound is not None else 0.0)) / (PLACE + CONTENT + (BOUND if bound is not None else 0.0))
+            new[p] = damp[p] * ((1 - PASSED) * s + PASSED * got)
+        moved = max((abs(new[p] - score[p]) for p in new), default=0.0)
+        score = new
+        if moved <= 1e-6:
+            return score
+
+
+@lru_cache(maxsize=16_384)
+def _selected(graph: str, listed: tuple[str, ...], beside: tuple[tuple[str, tuple[float, ...]], ...]) -> tuple[tuple[str, str], ...]:
+    made = json.loads(graph)
+    place = {f: i for i, f in enumerate(listed)}
+    free: dict[str, list[int]] = {}
+    for k, f, *_ in made["pairs"]:
+        free.setdefault(k, []).append(place[f])
+    known = dict(beside)
+    start, fixed, damp, edges = {}, {}, {}, {}
+    for k, f, like, content, bound in made["pairs"]:
+        p = (k, place[f])
+        start[p], fixed[p] = like, (content, bound)
+        damp[p] = (1 - known[k][p[1]]) ** WITNESS if k in known else 1.0
+        edges[p] = [[list(_beside(s, s.index(k), p[1], side, place, free)) for side in (-1, 1)] for s in map(tuple, made["shapes"]) if k in s]
+    score = flood(start, edges, fixed, damp)
+    first = {k: i for i, k in enumerate(dict.fromkeys(k for s in made["shapes"] for k in s))}
     taken: dict[str, str] = {}
-    for (k, f), s in sorted(score.items(), key=lambda x: (-x[1], x[0])):
-        if (k, f) in pairs and s >= ACCEPT * pairs[k, f] and names[k, f] >= ACCEPT and k not in taken and f not in taken.values():
-            taken[k] = f
-    return taken
+    for (k, i), s in sorted(score.items(), key=lambda x: (-round(x[1], 6), first[x[0][0]], x[0][1])):
+        if s >= ACCEPT and k not in taken and listed[i] not in taken.values():
+            taken[k] = listed[i]
+    return tuple(taken.items())
+
+
+def correspond(records: list[dict], fields: dict[str, str], beside: dict[str, list[float]] | None = None) -> dict[str, str]:
+    """Name in the records -> documented field, for names other than the field's own.
+
+    ``beside``: for a name the share of all files holding it in which it stands in one
+    record with each field, in their order.
+    """
+    graph = schema_graph(records, fields)
+    return dict(_selected(json.dumps(graph), tuple(fields), tuple((k, tuple(v)) for k, v in sorted((beside or {}).items())))) if graph else {}
 
 
 def parse_records(text: str | None) -> list[dict]:
@@ -262,12 +319,17 @@ def parse_records(text: str | None) -> list[dict]:
     return [r for r in data if isinstance(r, dict)]
 
 
-def deviations(records: list[dict], fields: dict[str, str], match: dict[str, str]) -> set[tuple[str, str]]:
-    """(field, change) shown by at least one record."""
+def typed_shapes(records: list[dict]) -> list[list[tuple[str, str | None]]]:
+    """The different records as lists of (name, JSON type of its value or None)."""
+    return [list(s) for s in dict.fromkeys(tuple((k, json_type(v)) for k, v in r.items()) for r in records)]
+
+
+def deviations(shapes: list[list[tuple[str, str | None]]], fields: dict[str, str], match: dict[str, str]) -> set[tuple[str, str]]:
+    """(field, change) shown by at least one of the ``typed_shapes`` of a file."""
     out: set[tuple[str, str]] = set()
-    for r in records:
+    for shape in shapes:
         seen = set()
-        for name, value in r.items():
+        for name, kind in shape:
             field = name if name in fields else match.get(name)
             if field is None:
                 out.add((name, "added"))
@@ -275,7 +337,6 @@ def deviations(records: list[dict], fields: dict[str, str], match: dict[str, str
             seen.add(field)
             if name != field:
                 out.add((field, "renamed"))
-            kind = json_type(value)
             if kind is not None and kind != fields[field]:
                 out.add((field, "retyped"))
         out |= {(f, "removed") for f in fields if f not in seen}
@@ -283,11 +344,69 @@ def deviations(records: list[dict], fields: dict[str, str], match: dict[str, str
 
 
 def _documented(trade_fields: DataFrame) -> dict[str, str]:
-    """The documented fields in order; a fixed list of a dozen rows read on the driver."""
-    rows = trade_fields.where("field is not null").select("field", "json_type", "field_no").orderBy("field_no", "field").limit(10_000).collect()
+    """The documented fields in order, read on the driver: the document of one record.
+    More than 10,000 are refused."""
+    rows = trade_fields.where("field is not null").select("field", "json_type", "field_no").orderBy("field_no", "field").limit(10_001).collect()
+    if len(rows) > 10_000:
+        raise ValueError("more than 10,000 documented fields")
     return {r["field"]: r["json_type"] for r in rows}
 
 
+_CHANGES = pa.list_(pa.struct([("field", pa.string()), ("change", pa.string())]))
+_NAMES = pa.list_(pa.struct([("name", pa.string()), ("beside", pa.list_(pa.bool_()))]))
+
+
+def described(files: DataFrame, fields: dict[str, str], file_id: str, records: str) -> DataFrame:
+    """One row per file: i (its id), k (digest of its records), changes (where the file
+    alone decides them), names (each strange name with whether it stands beside each
+    field), and graph and shapes (JSON) where correspondences are to be found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            changes, names, graphs, shapes = [], [], [], []
+            for text in batch.column(2).to_pylist():
+                held = parse_records(text)
+                typed = typed_shapes(held)
+                sets = [{k for k, _ in s} for s in typed]
+                strange = dict.fromkeys(k for s in typed for k, _ in s if k not in fields)
+                names.append([{"name": k, "beside": [any(f in s for s in sets if k in s) for f in fields]} for k in strange])
+                graph = schema_graph(held, fields) if strange else None
+                graphs.append(json.dumps(graph) if graph else None)
+                shapes.append(json.dumps(typed) if graph else None)
+                changes.append(None if graph else [{"field": f, "change": c} for f, c in sorted(deviations(typed, fields, {}))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(changes, _CHANGES), pa.array(names, _NAMES), pa.array(graphs, pa.string()), pa.array(shapes, pa.string())], names=["i", "k", "changes", "names", "graph", "shapes"])
+
+    text = F.col(records).cast("string")
+    rows = files.select(F.col(file_id).cast("string").alias("i"), F.md5(F.coalesce(text, F.lit(""))).alias("k"), text.alias("t"))
+    return rows.mapInArrow(run, "i string, k string, changes array<struct<field: string, change: string>>, names array<struct<name: string, beside: array<boolean>>>, graph string, shapes string")
+
+
+def correspondences(laid: DataFrame, fields: dict[str, str], by: list[str]) -> DataFrame:
+    """(by, shapes, match): for every described file with a graph the names that hold a
+    field's content, a JSON object name -> field.
+
+    Counts of all files' names are aggregated on the map side to a row per name and
+    joined to the names of the graphs, never collected.
+    """
+    listed = tuple(fields)
+    counts = [F.avg(F.get("x.beside", F.lit(i)).cast("int")).alias(f"b{i}") for i in range(len(listed))]
+    evidence = laid.select(F.explode("names").alias("x")).groupBy(F.col("x.name").alias("name")).agg(*counts)
+    evidence = evidence.select("name", F.array(*[f"b{i}" for i in range(len(listed))]).alias("share"))
+    opened = laid.where("graph is not null").select(*by, "graph", "shapes", F.explode("names.name").alias("name")).join(evidence, "name")
+    opened = opened.groupBy(*by).agg(F.first("graph").alias("graph"), F.first("shapes").alias("shapes"), F.sort_array(F.collect_set(F.struct("name", "share"))).alias("known"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for graph, known in zip(batch.column("graph").to_pylist(), batch.column("known").to_pylist()):
+                # Shares to two digits: files whose graphs are alike are solved once.
+                out.append(json.dumps(dict(_selected(graph, listed, tuple((x["name"], tuple(round(s, 2) for s in x["share"])) for x in known)))))
+            keep = [n for n in batch.schema.names if n not in ("graph", "known")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], pa.array(out, pa.string())], names=[*keep, "match"])
+
+    return opened.mapInArrow(run, ", ".join(f"{b} string" for b in by) + ", shapes string, match string")
+
+
 def schema_changes(files: DataFrame, trade_fields: DataFrame, file_id: str = "run_id", records: str = "trades") -> DataFrame:
     """(file_id, field, change): every deviation of every file, one row each.
 
@@ -295,20 +414,26 @@ def schema_changes(files: DataFrame, trade_fields: DataFrame, file_id: str = "ru
     (field is the name as written). A null is of every type. A file whose array
     is null, empty or not JSON shows nothing; a file listed twice is reported
     once if both copies show the same. Null file ids and extra columns are
-    allowed; the schema label of a file is not looked at.
+    allowed; the schema label of a file is not looked at. A strange name that
+    alone stands in a missing field's place with content like the field's is taken
+    for it, whatever it is called, unless other files have it beside the field.
     """
     fields = _documented(trade_fields)
+    # Read once: both uses of the descriptions start from the same exchange.
+    laid = described(files, fields, file_id, records).repartition("k")
+    plain = laid.select("i", F.explode("changes").alias("x")).select("i", "x.field", "x.change")
+    found = correspondences(laid.withColumn("i", F.coalesce(F.concat(F.lit("="), "i"), F.lit(""))), fields, ["i", "k"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for fid, text in zip(batch["i"], batch["t"]):
-                held = parse_records(text)
-                rows += [(fid, f, c) for f, c in sorted(deviations(held, fields, correspond(held, fields)))]
-            yield pd.DataFrame(rows, columns=["i", "f", "c"])
+            for fid, shapes, match in zip(*[batch.column(n).to_pylist() for n in ("i", "shapes", "match")]):
+                rows += [(fid[1:] if fid else None, f, c) for f, c in sorted(deviations(json.loads(shapes), fields, json.loads(match)))]
+            cols = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["i", "field", "change"])
 
-    out = files.select(F.col(file_id).cast("string").alias("i"), F.col(records).cast("string").alias("t")).mapInPandas(run, "i string, f string, c string")
-    return out.select(F.col("i").alias(file_id), F.col("f").alias("field"), F.col("c").alias("change")).distinct()
+    out = plain.unionByName(found.mapInArrow(run, "i string, field string, change string"))
+    return out.select(F.col("i").alias(file_id), "field", "change").distinct()
 
 
 def unified_records(files: DataFrame, trade_fields: DataFrame, file_id: str = "run_id", records: str = "trades") -> DataFrame:
@@ -324,6 +449,7 @@ def unified_records(files: DataFrame, trade_fields: DataFrame, file_id: str = "r
     times = [f for f in fields if "time" in KINDS.get(f, ())]
     texts = [f for f, t in fields.items() if t == "string" and f not in times]
     schema = "i string, record_no int, " + ", ".join(f"`{f}` {'string' if f in times + texts else 'double'}" for f in fields) + ", extra string"
+    kinds = [pa.string(), pa.int32(), *[pa.string() if f in times + texts else pa.float64() for f in fields], pa.string()]
 
     def cast(field: str, value: object) -> object:
         if field in times:
@@ -333,15 +459,13 @@ def unified_records(files: DataFrame, trade_fields: DataFrame, file_id: str = "r
             return None if flat is None else flat if isinstance(flat, str) else json.dumps(flat)
         return as_number(value)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for fid, text in zip(batch["i"], batch["t"]):
-                held = parse_records(text)
-                match = correspond(held, fields)
-                for no, record in enumerate(held, 1):
-                    row: dict[str, object] = {"i": fid, "record_no": no}
-                    extra = {}
+            for fid, text, found in zip(*[c.to_pylist() for c in batch.columns]):
+                match = json.loads(found) if found else {}
+                for no, record in enumerate(parse_records(text), 1):
+                    row, extra = dict.fromkeys(fields), {}
                     for name, value in record.items():
                         field = name if name in fields else match.get(name)
                         done = cast(field, value) if field else None
@@ -349,9 +473,14 @@ def unified_records(files: DataFrame, trade_fields: DataFrame, file_id: str = "r
                             row[field] = done
                         if field is None or done is None and value is not None:
                             extra[name] = value
-                    row["extra"] = json.dumps(extra) if extra else None
-                    rows.append(row)
-            yield pd.DataFrame(rows, columns=["i", "record_no", *fields, "extra"])
-
-    out = files.select(F.col(file_id).cast("string").alias("i"), F.col(records).cast("string").alias("t")).mapInPandas(run, schema)
+                    rows.append((fid, no, *row.values(), json.dumps(extra) if extra else None))
+            cols = list(zip(*rows)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["i", "record_no", *fields, "extra"])
+
+    text = F.col(records).cast("string")
+    laid = described(files.where(text.isNotNull()).select(F.lit(None).cast("string").alias(file_id), text.alias(records)), fields, file_id, records).repartition("k")
+    found = correspondences(laid, fields, ["k"]).where("match != '{}'").select("k", "match")
+    rows = files.select(F.col(file_id).cast("string").alias("i"), text.alias("t"), F.md5(F.coalesce(text, F.lit(""))).alias("k"))
+    # A row per file with renamed fields; where they are many the texts are sorted by their digests, else they stay where they are.
+    out = rows.join(found, "k", "left").select("i", "t", "match").mapInArrow(run, schema)
     return out.withColumnRenamed("i", file_id)
