@@ -343,7 +343,7 @@ def deviations(shapes: list[list[tuple[str, str | None]]], fields: dict[str, str
     return out
 
 
-def _documented(trade_fields: DataFrame) -> dict[str, str]:
+def documented(trade_fields: DataFrame) -> dict[str, str]:
     """The documented fields in order, read on the driver: the document of one record.
     More than 10,000 are refused."""
     rows = trade_fields.where("field is not null").select("field", "json_type", "field_no").orderBy("field_no", "field").limit(10_001).collect()
@@ -381,6 +381,14 @@ def described(files: DataFrame, fields: dict[str, str], file_id: str, records: s
     return rows.mapInArrow(run, "i string, k string, changes array<struct<field: string, change: string>>, names array<struct<name: string, beside: array<boolean>>>, graph string, shapes string")
 
 
+def read_once(rows: DataFrame, key: str) -> DataFrame:
+    """The rows behind one exchange that all their uses share. A condition that always
+    holds and looks at every column keeps the uses from pruning columns below it, which
+    would make each use an exchange, and a reading of the files, of its own."""
+    laid = rows.repartition(key)
+    return laid.where(F.rand(0) + F.pmod(F.xxhash64(*laid.columns), F.lit(2)) >= 0)
+
+
 def correspondences(laid: DataFrame, fields: dict[str, str], by: list[str]) -> DataFrame:
     """(by, shapes, match): for every described file with a graph the names that hold a
     field's content, a JSON object name -> field.
@@ -418,9 +426,8 @@ def schema_changes(files: DataFrame, trade_fields: DataFrame, file_id: str = "ru
     alone stands in a missing field's place with content like the field's is taken
     for it, whatever it is called, unless other files have it beside the field.
     """
-    fields = _documented(trade_fields)
-    # Read once: both uses of the descriptions start from the same exchange.
-    laid = described(files, fields, file_id, records).repartition("k")
+    fields = documented(trade_fields)
+    laid = read_once(described(files, fields, file_id, records), "k")
     plain = laid.select("i", F.explode("changes").alias("x")).select("i", "x.field", "x.change")
     found = correspondences(laid.withColumn("i", F.coalesce(F.concat(F.lit("="), "i"), F.lit(""))), fields, ["i", "k"])
 
@@ -436,20 +443,22 @@ def schema_changes(files: DataFrame, trade_fields: DataFrame, file_id: str = "ru
     return out.select(F.col("i").alias(file_id), "field", "change").distinct()
 
 
-def unified_records(files: DataFrame, trade_fields: DataFrame, file_id: str = "run_id", records: str = "trades") -> DataFrame:
-    """All records of all files with the documented fields.
+def matched_files(files: DataFrame, trade_fields: DataFrame, records: str = "trades") -> DataFrame:
+    """The files with the column ``match``: a JSON object of the names that hold a
+    documented field's content, null where there are none. For ``cast_records``."""
+    fields, text = documented(trade_fields), F.col(records).cast("string")
+    one = files.where(text.isNotNull()).select(F.lit(None).cast("string").alias("i"), text.alias("t"))
+    found = correspondences(read_once(described(one, fields, "i", "t"), "k"), fields, ["k"]).where("match != '{}'").select(F.col("k").alias("_k"), "match")
+    # A row per different text with renamed fields: broadcast while that is small, else joined by digest.
+    rows = files.withColumn("_d", F.md5(F.coalesce(text, F.lit(""))))
+    return rows.join(found, F.col("_d") == F.col("_k"), "left").drop("_d", "_k")
 
-    file_id, record_no (1-based in the file), entry and exit (ISO strings to the
-    second), dir, qty and the money fields as double, signal as string, extra
-    (JSON object of the added names, null if none). A value that cannot be cast
-    is null in its column and kept under its name in ``extra``.
-    """
-    fields = _documented(trade_fields)
-    # The two documented strings that hold times are known by their content, not by their type.
+
+def _caster(fields: dict[str, str]) -> tuple[list[str], Callable[[str, object], object]]:
+    """The fields that are kept as text, and the cast of a value to its field. The two
+    documented strings that hold times are known by their content, not by their type."""
     times = [f for f in fields if "time" in KINDS.get(f, ())]
     texts = [f for f, t in fields.items() if t == "string" and f not in times]
-    schema = "i string, record_no int, " + ", ".join(f"`{f}` {'string' if f in times + texts else 'double'}" for f in fields) + ", extra string"
-    kinds = [pa.string(), pa.int32(), *[pa.string() if f in times + texts else pa.float64() for f in fields], pa.string()]
 
     def cast(field: str, value: object) -> object:
         if field in times:
@@ -458,29 +467,45 @@ def unified_records(files: DataFrame, trade_fields: DataFrame, file_id: str = "r
             flat = bare(value)
             return None if flat is None else flat if isinstance(flat, str) else json.dumps(flat)
         return as_number(value)
+    return times + texts, cast
+
+
+def cast_records(text: str | None, match: str | None, fields: dict[str, str]) -> Iterator[tuple[dict, dict]]:
+    """(documented fields, rest) of each record of a file; see ``unified_records``."""
+    _, cast = _caster(fields)
+    names = json.loads(match) if match else {}
+    for record in parse_records(text):
+        row, extra = dict.fromkeys(fields), {}
+        for name, value in record.items():
+            field = name if name in fields else names.get(name)
+            done = cast(field, value) if field else None
+            if field:
+                row[field] = done
+            if field is None or done is None and value is not None:
+                extra[name] = value
+        yield row, extra
+
+
+def unified_records(files: DataFrame, trade_fields: DataFrame, file_id: str = "run_id", records: str = "trades") -> DataFrame:
+    """All records of all files with the documented fields.
+
+    file_id, record_no (1-based in the file), entry and exit (ISO strings to the
+    second), dir, qty and the money fields as double, signal as string, extra
+    (JSON object of the added names, null if none). A value that cannot be cast
+    is null in its column and kept under its name in ``extra``.
+    """
+    fields = documented(trade_fields)
+    strings, _ = _caster(fields)
+    schema = "i string, record_no int, " + ", ".join(f"`{f}` {'string' if f in strings else 'double'}" for f in fields) + ", extra string"
+    kinds = [pa.string(), pa.int32(), *[pa.string() if f in strings else pa.float64() for f in fields], pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for fid, text, found in zip(*[c.to_pylist() for c in batch.columns]):
-                match = json.loads(found) if found else {}
-                for no, record in enumerate(parse_records(text), 1):
-                    row, extra = dict.fromkeys(fields), {}
-                    for name, value in record.items():
-                        field = name if name in fields else match.get(name)
-                        done = cast(field, value) if field else None
-                        if field:
-                            row[field] = done
-                        if field is None or done is None and value is not None:
-                            extra[name] = value
-                    rows.append((fid, no, *row.values(), json.dumps(extra) if extra else None))
+            for fid, text, match in zip(*[c.to_pylist() for c in batch.columns]):
+                rows += [(fid, no, *row.values(), json.dumps(extra) if extra else None) for no, (row, extra) in enumerate(cast_records(text, match, fields), 1)]
             cols = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["i", "record_no", *fields, "extra"])
 
-    text = F.col(records).cast("string")
-    laid = described(files.where(text.isNotNull()).select(F.lit(None).cast("string").alias(file_id), text.alias(records)), fields, file_id, records).repartition("k")
-    found = correspondences(laid, fields, ["k"]).where("match != '{}'").select("k", "match")
-    rows = files.select(F.col(file_id).cast("string").alias("i"), text.alias("t"), F.md5(F.coalesce(text, F.lit(""))).alias("k"))
-    # A row per file with renamed fields; where they are many the texts are sorted by their digests, else they stay where they are.
-    out = rows.join(found, "k", "left").select("i", "t", "match").mapInArrow(run, schema)
-    return out.withColumnRenamed("i", file_id)
+    laid = matched_files(files.select(F.col(file_id).cast("string").alias("i"), F.col(records).cast("string").alias("t")), trade_fields, "t")
+    return laid.select("i", "t", "match").mapInArrow(run, schema).withColumnRenamed("i", file_id)

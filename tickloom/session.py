@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tickloom", cpus: int | str = 8, shuffle: int = 8, **conf: str) -> SparkSession:
@@ -16,6 +16,7 @@ def session(app: str = "tickloom", cpus: int | str = 8, shuffle: int = 8, **conf
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TICKLOOM_DRIVER_MEMORY", "8g"))
@@ -41,3 +42,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="tickloom-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, kept in the shared checkpoint folder: what is built on them
+    neither plans nor computes them again. Spark's cleaner deletes them with the last
+    plan that uses them where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+    spark = df.sparkSession
+    folder = checkpoint_dir(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
