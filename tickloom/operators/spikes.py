@@ -46,10 +46,10 @@ def usual_step(d: np.ndarray) -> tuple[float, float]:
     return phi, float(np.sqrt((e**2).mean()))
 
 
-def outlier_patches(x: np.ndarray, floor: float, reach: float = REACH, patch: int = PATCH, rounds: int = 4) -> np.ndarray:
+def outlier_patches(x: np.ndarray, floor: float, reach: float = REACH, patch: int = PATCH) -> np.ndarray:
     """Boolean mask of additive outliers in a sequence; ``floor`` is the least usual step."""
     bad = np.zeros(len(x), bool)
-    for _ in range(rounds):
+    while True:  # each round but the last takes readings out
         at = np.flatnonzero(~bad)
         y = x[at]
         d = np.diff(y)
@@ -97,8 +97,8 @@ def stuck_limit(x: np.ndarray, factor: float = STUCK) -> float:
     """Length beyond which a run of equal readings is stuck.
 
     With repeat rate q a run of n readings of chance length reaches about
-    log(n)/log(1/q). Runs are first cut at that length, so that stuck runs do not
-    raise their own limit.
+    log(n)/log(1/q). Runs beyond that length are left out of q until it stays, so that
+    stuck runs do not raise their own limit.
     """
     n = len(x)
     if n < 3:
@@ -106,11 +106,13 @@ def stuck_limit(x: np.ndarray, factor: float = STUCK) -> float:
     same = x[1:] == x[:-1]
     lengths = run_lengths(x)
     q = same.mean()
-    for _ in range(3):
+    kept = len(same) + 1
+    while True:  # fewer and fewer readings are kept
         q = min(max(q, 0.05), 0.95)
-        usual = np.log(max(n, 1_000)) / np.log(1 / q)
-        keep = lengths[1:] <= factor * usual
-        q = same[keep].mean() if keep.any() else q
+        keep = lengths[1:] <= factor * np.log(max(n, 1_000)) / np.log(1 / q)
+        if not keep.any() or keep.sum() >= kept:
+            break
+        kept, q = keep.sum(), same[keep].mean()
     return factor * np.log(max(n, 1_000)) / np.log(1 / min(max(q, 0.05), 0.95)) + 2
 
 
