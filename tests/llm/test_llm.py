@@ -66,14 +66,67 @@ def test_encoded_rows(spark, both):
 
 
 def test_pfair_lag():
-    slots = mixing.apportion({"a": 0.5, "b": 0.3, "c": 0.19, "d": 0.01}, 1000)
+    periods, slots = mixing.blocks_of({"a": 500_000, "b": 300_000, "c": 190_000, "d": 10_000}, 1_000)
     place = mixing.pfair_period(slots)
-    assert sorted(x for v in place.values() for x in v) == list(range(1000))
+    assert periods == 1 and sorted(x for v in place.values() for x in v) == list(range(1000))
     for s, v in place.items():
         for k, slot in enumerate(v):
             assert abs((k + 1) - (slot + 1) * slots[s] / 1000) < 1 + 1e-9
 
 
+def test_every_source_has_blocks_of_its_own():
+    """A weight of a millionth, over many periods: one block a period, of a small size."""
+    want = {"a": 10**12, "b": 10**12, "tiny": 2 * 10**6}
+    periods, per = mixing.blocks_of(want, 2_048)
+    place = mixing.pfair_period(per)
+    assert per["tiny"] == 1 and periods > 90_000 and sum(per.values()) <= mixing.PERIOD + len(want)
+    assert sorted(x for v in place.values() for x in v) == list(range(sum(per.values())))
+    # At every period's end all sources are on their share, and in it less than a block away from it.
+    for s, n in want.items():
+        size = n / (periods * per[s])
+        assert size <= 2_048
+        for k, slot in enumerate(place[s]):
+            assert abs((k + 1) - (slot + 1) * per[s] / sum(per.values())) < 1 + 1e-9
+
+
+def test_too_many_targets_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_TARGETS", 20)
+    goal = spark.range(21).selectExpr("concat('source', id) as source", "1.0D as weight", "1 as max_repeats")
+    with pytest.raises(ValueError):
+        mixing.targets_of(goal)
+    assert len(mixing.targets_of(goal.limit(20))) == 20
+
+
+def test_mix_of_the_test_tables(spark):
+    """Shares, caps, slots and lag over whole tables, with a target of a millionth beside the others."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source")
+    small = spark.createDataFrame([(10**9 + i, f"small text {i} of a small source", "dust") for i in range(4)], "doc_id long, text string, source string")
+    goal = spark.read.parquet(f"{d}/mix_targets.parquet").unionByName(spark.createDataFrame([("dust", 1e-6, 1)], "source string, weight double, max_repeats int"))
+    docs, block = docs.unionByName(small), 128
+    mix = mixing.mixed(docs, goal, block=block).orderBy("slot", "doc_id").collect()
+    targets = mixing.targets_of(goal)
+    uses, owner = Counter((r["doc_id"]) for r in mix), {}
+    assert max(uses[r["doc_id"]] - targets[r["source"]][1] for r in mix) <= 0
+    for r in mix:
+        assert owner.setdefault(r["slot"], r["source"]) == r["source"]  # a slot is one source's
+    longest = max(r["n_tokens"] for r in mix)
+    total, whole = Counter(), 0
+    for r in mix:
+        total[r["source"]] += r["n_tokens"]
+    goal_share = {s: targets[s][0] / sum(targets[x][0] for x in total if x != "dust") for s in total if s != "dust"}
+    amount, run = sum(total.values()), Counter()
+    for s, w in goal_share.items():
+        assert abs(total[s] - w * amount) <= 2 * longest
+    for i, r in enumerate(mix):
+        run[r["source"]] += r["n_tokens"]
+        whole += r["n_tokens"]
+        if i + 1 == len(mix) or mix[i + 1]["slot"] != r["slot"]:
+            for s in total:
+                # One block, and one text at each end of what a source has so far and of what the prefix holds.
+                assert abs(run[s] - total[s] / amount * whole) <= block + 2 * longest
+
+
 def test_demands():
     t = {"a": (0.5, 1), "b": (0.25, 4), "c": (0.25, 1)}
     assert mixing.demands(t, {"a": 1000, "b": 100, "x": 9}) == {"a": 800, "b": 400}

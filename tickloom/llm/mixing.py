@@ -1,13 +1,16 @@
 """Mixing sources to target weights (problem 9).
 
 Each source's texts, in a hash order, are laid end to end and cut into blocks of
-equal tokens. Block k of a source with weight w is released at slot floor(k/w)
-and due at slot ceil((k+1)/w); the earliest deadline first among the released
-blocks gives every prefix of the mix its share to within one block (Pfair).
-Weights are apportioned to PERIOD slots, after which every source is exactly on
-its share again: the schedule repeats, so one period is simulated on the driver
-and every block computes its own slot from it. Running token sums use hash
-buckets, so no source is ever one task.
+about ``block`` tokens. Block k of a source with weight w is released at slot
+floor(k/w) and due at slot ceil((k+1)/w); the earliest deadline first among the
+released blocks gives every prefix of the mix its share to within one block (Pfair).
+
+The schedule repeats after a period of at most PERIOD slots and one per source. A
+source's blocks are made so much smaller than ``block`` that a whole number of them, at
+least one, fills its share of a period: at the end of each period every source is
+exactly on its share, however small that is. One period is simulated on the driver and
+every block computes its own slot from it. Running token sums use hash buckets, so no
+source is ever one task.
 """
 
 from __future__ import annotations
@@ -18,23 +21,25 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .tokens import token_counts
 
-#: Slots after which the schedule repeats: weights are met to 1/PERIOD.
+#: Blocks of full size in a period, after which the schedule repeats.
 PERIOD = 10_000
+#: Target sources that are read on the driver; more are refused.
+MOST_TARGETS = 100_000
 #: Hash buckets of a source for its running sums.
 BUCKETS = 1_024
 
 
-def apportion(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots per period by largest remainder; ties by name."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    slots = {s: int(x) for s, x in exact.items()}
-    rest = period - sum(slots.values())
-    for s in sorted(exact, key=lambda s: (slots[s] - exact[s], s))[:rest]:
-        slots[s] += 1
-    return slots
+def blocks_of(want: dict[str, int], block: int, period: int = PERIOD) -> tuple[int, dict[str, int]]:
+    """(periods, blocks of each source in a period) for the tokens wanted of each source.
+
+    All sources' blocks of full size would fill ``period`` slots or fewer; a source's
+    count is rounded up, so its blocks are of the same size, at most ``block`` tokens.
+    """
+    periods = max(1, -(-sum(want.values()) // (block * period)))
+    return periods, {s: max(1, -(-n // (block * periods))) for s, n in want.items()}
 
 
 def pfair_period(slots: dict[str, int]) -> dict[str, list[int]]:
@@ -80,9 +85,13 @@ def sized_texts(documents: DataFrame, doc_id: str, vocabulary: str | None = None
 def targets_of(mix_targets: DataFrame) -> dict[str, tuple[float, int]]:
     """Source -> (weight, max_repeats); a short fixed list read on the driver. Rows
     with null or no positive weight, or no positive repeats, are no targets;
-    spellings of one source add up, with the larger cap."""
+    spellings of one source add up, with the larger cap. More than MOST_TARGETS
+    sources are refused."""
     rows = mix_targets.select(source_key().alias("s"), "weight", "max_repeats").where("s is not null and weight > 0 and not isnan(weight) and max_repeats > 0")
-    return {r["s"]: (r["w"], r["m"]) for r in rows.groupBy("s").agg(F.sum("weight").alias("w"), F.max("max_repeats").alias("m")).limit(100_000).collect()}
+    found = rows.groupBy("s").agg(F.sum("weight").alias("w"), F.max("max_repeats").alias("m")).limit(MOST_TARGETS + 1).collect()
+    if len(found) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} target sources")
+    return {r["s"]: (r["w"], r["m"]) for r in found}
 
 
 def demands(targets: dict[str, tuple[float, int]], held: dict[str, int], total: int | None = None) -> dict[str, int]:
@@ -115,45 +124,43 @@ def demands(targets: dict[str, tuple[float, int]], held: dict[str, int], total:
     return given
 
 
-def mixed(documents: DataFrame, mix_targets: DataFrame, doc_id: str = "doc_id", total: int | None = None, block: int = 2_048, vocabulary: str | None = None, store: str | None = None) -> DataFrame:
+def mixed(documents: DataFrame, mix_targets: DataFrame, doc_id: str = "doc_id", total: int | None = None, block: int = 2_048, vocabulary: str | None = None) -> DataFrame:
     """The selection: (doc_id, source, repeat_no, n_tokens, block_no, slot).
 
     Ordered by (slot, doc_id) it is the mix; any prefix of whole slots has each
-    source's share to within one block. repeat_no counts the uses of a text from
+    source's share to within one block and one text. repeat_no counts the uses of a text from
     1 to at most max_repeats. A text belongs to the block in which it begins; the
     last text of a source may end beyond its demand, so a share is met to within
     one text. Equal texts are one text (of the smallest doc_id with a source).
     Sources without target or without texts, null and empty texts contribute
     nothing; empty tables give no rows.
 
-    ``store``: folder for the token sizes, which are used twice; without it the
-    texts are encoded twice.
+    The token sizes are used twice, so they are kept in the shared checkpoint folder.
     """
-    sized = sized_texts(documents, doc_id, vocabulary)
-    if store:
-        sized.write.mode("overwrite").parquet(store)
-        sized = documents.sparkSession.read.parquet(store)
+    sized = checkpointed(sized_texts(documents, doc_id, vocabulary))
     targets = targets_of(mix_targets)
     held = {r["s"]: r["n"] for r in sized.groupBy("s").agg(F.sum("n_tokens").alias("n")).where(F.col("s").isin(list(targets) or [""])).collect()}
     want = {s: n for s, n in demands(targets, held, total).items() if n > 0}
     spark = documents.sparkSession
     if not want:
         return spark.createDataFrame([], "doc_id long, source string, repeat_no int, n_tokens long, block_no long, slot long")
-    place = pfair_period(apportion({s: float(n) for s, n in want.items()}))
-    plan = spark.createDataFrame([(s, held[s], n, place[s] or [0]) for s, n in sorted(want.items())], "ps string, held long, want long, slots array<int>")
+    periods, per = blocks_of(want, block)
+    place = pfair_period(per)
+    plan = spark.createDataFrame([(s, held[s], n, n / (periods * per[s]), place[s]) for s, n in sorted(want.items())], "ps string, held long, want long, size double, slots array<int>")
     rows = sized.withColumn("b", F.pmod("h", F.lit(BUCKETS)).cast("int"))
     within = Window.partitionBy("s", "b").orderBy("h", "d").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("s", "b").agg(F.sum("n_tokens").alias("n"))
     earlier = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("s", "b", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     rows = rows.withColumn("run", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(base, ["s", "b"]).withColumn("at", F.col("base") + F.col("run"))
-    rows = rows.join(F.broadcast(plan), F.col("s") == F.col("ps"))  # one row per target source, PERIOD slots in all
+    rows = rows.join(F.broadcast(plan), F.col("s") == F.col("ps"))  # one row per target source, at most PERIOD and MOST_TARGETS slots in all
     # Uses of a text: the epochs in which its place still lies before the demand.
     uses = F.ceil((F.col("want") - F.col("at")) / F.col("held")).cast("int")
     rows = rows.where(F.col("at") < F.col("want")).withColumn("repeat_no", F.explode(F.sequence(F.lit(1), uses)))
-    rows = rows.withColumn("block_no", F.floor((F.col("at") + (F.col("repeat_no") - 1) * F.col("held")) / block).cast("long"))
-    per = F.size("slots")
-    slot = F.floor(F.col("block_no") / per) * PERIOD + F.get("slots", (F.col("block_no") % per).cast("int"))
+    rows = rows.withColumn("block_no", F.floor((F.col("at") + (F.col("repeat_no") - 1) * F.col("held")) / F.col("size")).cast("long"))
+    block_no = F.least(F.col("block_no"), F.lit(periods) * F.size("slots") - 1)  # the end of the last block, rounded up
+    rows = rows.withColumn("block_no", block_no.cast("long"))
+    slot = F.floor(F.col("block_no") / F.size("slots")) * sum(per.values()) + F.get("slots", (F.col("block_no") % F.size("slots")).cast("int"))
     return rows.select(F.col("d").alias("doc_id"), F.col("s").alias("source"), "repeat_no", "n_tokens", "block_no", slot.cast("long").alias("slot"))
 
 

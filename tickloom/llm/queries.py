@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_dir
 from ..sources.tables import table
 from . import mixing, sentences, survivors, tokens
 
@@ -22,8 +20,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    store = f"{checkpoint_dir(spark).rstrip('/')}/tickloom-sizes-{uuid4().hex}"  # one of its own for each call, as results are lazy
-    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"), store=store)
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
