@@ -1,19 +1,26 @@
 """Sentence boundaries across languages and scripts (problem 10).
 
-Cascading rule tables decide every candidate position. The layout table cuts a
-text into units (paragraphs, headings, key/value lines, list items, speaker
-lines); the quotation table protects what stands between paired quotes; then the
-ordered tables of break and no-break pairs (left context, right context) of the
-script or language at hand are asked and the first pair that matches decides.
-Documents are independent: one pass in Python, no shuffle, whole texts.
+Cascading segmentation rule tables. The layout table cuts a text into units
+(paragraphs, headings, key/value lines, list items, speaker lines); the quotation
+table protects what stands between paired quotes. Every mark of a unit that could end a
+sentence is then asked of a cascade of rule tables: the shared one, that of the unit's
+language or script, those of the other languages of the script, and the last one. A row
+of a table is a pair of patterns, for what stands before and behind the position, with
+the verdict break or no break; the first row whose two patterns match decides. Rows for
+words (abbreviations, titles, months, units) are found by the word before the mark.
+
+Patterns see the whole unit on both sides. Documents are independent: one pass in
+Python, no shuffle, whole texts.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,48 +30,74 @@ from pyspark.sql import functions as F
 
 # ---- fixed values: the languages' words -------------------------------------------------
 
-#: Before a name or number; a period after them never ends a sentence.
-LEADING = {
-    "en": "mr mrs ms dr prof st rev gen col lt capt sgt hon messrs mt vs cf approx est avg figs fig eq sect ch vol nos pp viz ca incl resp dept ref",
-    "de": "hr hrn fr frl dr prof dipl ing nr abs art ca vgl bzw evtl ggf inkl zzgl z.b d.h u.a o.ä s kap abb tab bd st str mio mrd tel max min",
-    "fr": "m mm mlle me dr pr art env cf av chap fig p vol éd tél max min st ste n",
-    "es": "sr sra srta sres dr dra d dña prof núm num pág págs art aprox máx mín máx tel avda cap fig ee vol p.ej ud uds",
-    "pt": "sr sra srta dr dra prof pág págs art aprox máx mín núm tel av cap fig vol i.e p.ex eng",
-    "ru": "см табл рис г-н г-жа ул им стр гл ст напр проф акад др т.е тел",
-    "el": "κ κα κος δρ καθ βλ π.χ δηλ σελ αρ",
-    "hi": "डॉ श्री श्रीमती प्रो पं सं",
-    "ar": "د أ م ص ج",
+#: Frequent words by which the language of a unit in Latin script is told.
+FREQUENT = {
+    "en": "the of and to in is was it for on with that this at by from not are be as no we you they had has have its but or",
+    "de": "der die das und ist nicht ein eine im am den dem von mit auf für zu war wir sie es auch nach bei aus wird sind oder",
+    "fr": "le la les des et est un une du au que qui dans pour pas sur avec ne ce cette nous vous il elle sont ou",
+    "es": "el la los las y es un una de del que en para no con por se su al lo como más está son o",
+    "pt": "o a os as e é um uma de do da que em para não com por se no na ao mais foi são ou",
 }
-#: Those of them that are ordinary words or units too: only in front of a number.
-NUMBERED = frozenset("cap ch chap vol sec art abs fig figs p pp n nos s st str mt col gen rev av tel ref dept kap tab abb eq sect str ste c ap lt no".split())
-#: A period after them ends a sentence if what follows can begin one.
+#: Titles and ranks, written with a capital, in front of a name.
+TITLES = {
+    "en": "mr mrs ms mx messrs dr drs prof rev fr st hon pres gov sen rep amb sec gen adm col maj capt cmdr comdr lt sgt cpl pvt brig supt insp det mt ft",
+    "de": "hr hrn fr frl dr prof dipl ing mag st hl präs",
+    "fr": "m mm mme mmes mlle mlles dr drs pr prof me st ste mgr gal",
+    "es": "sr sra sres sras srta d dña dr dra dres prof profa lic ing gral cap cnel sto sta",
+    "pt": "sr sra srs sras srta dr dra drs prof profa eng enga d gal cel cap sto sta exmo exma",
+    "ru": "г-н г-жа проф акад др им ул пр пл гл тов св",
+    "el": "κ κα κος κκ δρ καθ αγ στρ",
+    "hi": "डॉ श्री श्रीमती सुश्री प्रो पं सं मो कु", "ar": "د أ م ص ج",
+}
+#: In front of a number: parts of documents, numbers, months.
+NUMBERED = {
+    "en": "no nos nr fig figs eq eqs sec sect ch chap vol vols art arts p pp par para cl tab ref dept ex ver rev av est cap max min jan feb mar apr jun jul aug sep sept oct nov dec tel ext approx avg",
+    "de": "nr abs art kap abb tab bd s str st ziff anm jh jan feb mär apr jun jul aug sep sept okt nov dez tel max min ca",
+    "fr": "art chap fig p pp vol éd n no nos env av tél max min janv févr avr juil sept oct nov déc ch cap st ste",
+    "es": "art núm núms pág págs cap fig figs vol tel tél máx mín avda av ene feb mar abr jun jul sept sep oct nov dic n p",
+    "pt": "art arts núm pág págs cap fig figs vol tel máx mín av jan fev mar abr mai jun jul nov dez n p",
+    "ru": "см табл рис стр гл ст п пп ч т тел янв февр апр авг сент окт нояб дек",
+    "el": "σελ αρ άρθρ κεφ εικ πίν τηλ ιαν φεβ μαρ απρ ιουν ιουλ αυγ σεπ οκτ νοε δεκ",
+}
+#: A sentence goes on behind these, whatever follows.
+INNER = {
+    "en": "vs cf viz e.g i.e incl resp approx avg ca ibid op cit fig figs nos pp vol ch sect eq",
+    "de": "vgl bzw evtl ggf inkl exkl zzgl sog z.b d.h u.a o.ä u.u i.d.r ca abb kap tab abs art dipl ing tel",
+    "fr": "cf env p.ex c.-à-d éd tél fig chap vol art", "es": "p.ej ej aprox núm núms pág págs fig tel avda vol art",
+    "pt": "p.ex ex i.e aprox pág págs fig núm tel vol art", "ru": "см табл рис напр т.е ср стр", "el": "βλ π.χ δηλ σελ αρ", "hi": "", "ar": "",
+}
+#: These may end a sentence, if what follows can begin one.
 CLOSING = {
-    "en": "etc ltd inc co corp plc llc jr sr a.m p.m u.s u.k e.u u.n ph.d sec min hrs hr max dev s.d est",
-    "de": "usw etc sek std min co gmbh u.s.w",
-    "fr": "etc min sec cie",
-    "es": "etc min uu ee.uu seg cía s.a",
-    "pt": "etc min seg ltda cia s.a",
-    "ru": "т.п т.д руб г гг коп тыс млн млрд мин сек др",
-    "el": "κ.λπ κλπ κ.ά κ.λ.π",
-    "hi": "", "ar": "",
+    "en": "etc ltd inc co corp plc llc llp bros jr sr esq a.m p.m a.d b.c u.s u.k e.u u.n u.s.a d.c ph.d m.d b.a m.a dept dev",
+    "de": "usw etc u.s.w co gmbh ag e.v u.v.m o.g std", "fr": "etc cie s.a s.a.r.l", "es": "etc ee.uu uu cía s.a s.l ltda", "pt": "etc ltda cia s.a e.u.a",
+    "ru": "т.п т.д др пр руб коп тыс млн млрд гг г", "el": "κ.λπ κλπ κ.ά κ.λ.π α.ε π.χ μ.μ π.μ", "hi": "", "ar": "",
+}
+#: Units of measure and parts of names that are units behind a number only.
+UNITS = {
+    "en": "min sec hr hrs ft in oz lb lbs yd mi sq pt pts max est s.d", "de": "min sek std stk st mio mrd tsd max", "fr": "min sec h max", "es": "min seg h máx", "pt": "min seg h máx",
+    "ru": "мин сек ч г кг м см шт др", "el": "λεπ δευτ ώρ",
 }
-#: Words after a quotation that say who spoke; the quotation is then carried by their sentence.
+#: Nouns that carry a country's abbreviation.
+STATE = "Army Navy Air Marine Marines Coast Congress Senate House Supreme Treasury Department Dept President Government Federal Securities District Court Bank Census Capitol Postal Secretary Attorney Dollar Steel Open Embassy Ambassador State Justice Constitution Patent Geological Forces Ministry Parliament Council General Assembly session sessions market markets open dollar economy government stocks bonds futures equities hours holiday holidays"
+#: Verbs of speaking after a quotation; the quotation is then carried by their sentence.
 SPEAKING = (
-    "asked wrote said says replied answered added shouted noted writes asks told | fragte schrieb sagte meinte rief antwortete notierte | a dit demande demanda écrit "
-    "répondit dit écrivit | escribió preguntó dijo respondió | escreveu perguntou disse respondeu | написал написала спросил спросила сказал сказала | έγραψε ρώτησε είπε απάντησε"
+    "asked wrote said says replied answered added shouted noted writes asks told cried explained whispered called | fragte schrieb sagte meinte rief antwortete notierte erklärte | a dit demande demanda écrit "
+    "répondit dit écrivit ajouta cria | escribió preguntó dijo respondió añadió gritó | escreveu perguntou disse respondeu gritou | написал написала спросил спросила сказал сказала ответил ответила | έγραψε ρώτησε είπε απάντησε φώναξε"
 ).replace("|", " ").split()
 #: After a closed quotation these carry on in scripts without case.
-CARRYING_ON = r"と|が|を|は|に|の|も|って|などと|という|라고|이라고|하고|고|라는|ثم|و(?=\p{Arabic})|और|कहकर|लिखकर|คือ|และ"
+CARRYING_ON = r"と|が|を|は|に|の|も|って|などと|という|라고|이라고|하고|고|라는|ثم|و(?=\p{Arabic})|और|कहकर|लिखकर|कि|คือ|และ"
 #: Chinese words by which a quotation in front is attributed.
-ZH_SPEAKING = r"[^。！？，；\n“”「」]{0,40}?(?:问道|说道|写道|答道|喊道|问|说|写|答|喊)"
+ZH_SPEAKING = r"[^。！？，；\n“”「」]*?(?:问道|说道|写道|答道|喊道|问|说|写|答|喊)"
+#: Words that carry a sentence on in lower case: auxiliaries, conjunctions, what seldom begins one.
+LINKING = (
+    "are is was were be been has have had of per than and or but | und oder ist sind war waren | et ou est sont avant pour | y o son para antes | e são "
+    "| и или за до для больше | και ή είναι για πριν"
+).replace("|", " ").split()
 #: Time zones after a.m. and p.m.
-ZONES = r"(?:Eastern|Central|Mountain|Pacific|Atlantic|ET|CT|MT|PT|E[SD]T|C[SD]T|M[SD]T|P[SD]T|GMT|UTC|CET|BST)\b"
-#: German words in front of an ordinal number.
-DE_BEFORE_ORDINAL = r"(?i:am|an|ab|bis|vom|von|zum|zur|im|in|dem|den|der|die|das|des|beim|jeder|jede|jedes|unser|unsere|mein|meine|seit|und)"
-MONTHS = r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)"
-
-_LEAD = {w for v in LEADING.values() for w in v.split()}
-_CLOSE = {w for v in CLOSING.values() for w in v.split()}
+ZONES = r"(?:Eastern|Central|Mountain|Pacific|Atlantic|ET|CT|MT|PT|E[SD]T|C[SD]T|M[SD]T|P[SD]T|GMT|UTC|CET|CEST|BST)\b"
+#: German words in front of an ordinal number, and months behind one.
+DE_ORDINAL = r"(?i:am|an|ab|bis|vom|von|zum|zur|im|in|dem|den|der|die|das|des|beim|jeder|jede|jedes|unser|unsere|mein|meine|seit|und)"
+DE_MONTHS = r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)"
 
 # ---- characters -------------------------------------------------------------------------
 
@@ -114,7 +147,7 @@ def _ends_sentence(line: str) -> bool:
     if not line or line[-1] not in TERMINAL + ";":
         return False
     last = _rx(r"([\p{L}\p{M}.]+|\b\d{1,2})\.$").search(line)
-    return last is None or not (len(last[1]) == 1 and not _rx(r"\d\s?\p{Ll}\.$").search(line) or last[1].isdigit() or unicodedata.normalize("NFC", last[1]).lower() in _LEAD)
+    return last is None or not (len(last[1]) == 1 and not _rx(r"\d\s?\p{Ll}\.$").search(line) or last[1].isdigit() or unicodedata.normalize("NFC", last[1]).lower() in _LEADING)
 
 
 def units(text: str) -> list[tuple[int, int]]:
@@ -204,135 +237,200 @@ def quotations(text: str) -> list[tuple[int, int]]:
     return out
 
 
-# ---- sentence tables --------------------------------------------------------------------
+# ---- rule tables ------------------------------------------------------------------------
 
-class Place:
-    """A candidate: text of the unit, sentence start, position after the mark and its
-    closers, start of what follows, and the style of the text."""
+class Row(NamedTuple):
+    """A pair of patterns and the verdict. ``words``: the word before the mark is one of
+    these; ``before`` ends at the position, ``after`` begins there, "" is anything;
+    ``style``: 'small' and 'cased' rows hold in texts whose sentences begin with small
+    letters, or with capitals, only."""
 
-    def __init__(self, text: str, start: int, mark: int, end: int, small: bool) -> None:
-        self.text, self.start, self.mark, self.end, self.small = text, start, mark, end, small
-        after = end
-        while after < len(text) and text[after].isspace():
-            after += 1
-        self.after, self.spaced = after, after > end
-        k = after
-        while k < len(text) and text[k] in "\"'“„«‘「『([¿¡（   ":
-            k += 1
-        self.first = text[k] if k < len(text) else ""
-        self.left = text[max(start, end - 60):end]
-        self.right = text[after:after + 60]
-        m = _rx(r"[\p{L}\p{M}][\p{L}\p{M}.\-]*$|\p{L}$").search(text[max(start, mark - 30):mark])
-        self.word = unicodedata.normalize("NFC", m.group()).lower() if m else ""
-
-    @property
-    def lower(self) -> bool:
-        """Whether a lower-case letter follows in the script of what precedes."""
-        if not self.first.islower():
-            return False
-        letters = _rx(r"\p{L}").findall(self.left)
-        if not letters or letters[-1].upper() == letters[-1].lower():
-            return not letters
-        same = lambda c: "L" if _rx(r"\p{Latin}").match(c) else "C" if _rx(r"\p{Cyrillic}").match(c) else "G"
-        return same(letters[-1]) == same(self.first) or not _rx(r"[\p{Cyrillic}\p{Greek}]").search(self.left)
-
-
-def _re(p: str) -> regex.Pattern:
-    return regex.compile(p, V1)
-
-
-#: (left, right, verdict) in order; left is searched at the end of what precedes, right
-#: matched at the start of what follows. None stands for anything.
+    words: frozenset[str] | None
+    before: str
+    after: str
+    ends: bool
+    style: str = ""
+
+
+def _w(text: str) -> frozenset[str]:
+    return frozenset(text.split())
+
+
+_OPEN = r"[\s\"'“„«‘「『(\[¿¡（]*+"
+_SHUT = f"[{regex.escape(CLOSERS)}]*"
+#: A capital, digit or letter without case begins a sentence; so does the end of the unit.
+_BEGINS = _OPEN + r"(?:[^\p{Ll}]|$)"
+_NUMBER = _OPEN + r"[$€£#№]?\s?(?:\p{N}|[IVXLC]{2,}\b)"
+_NAME = _OPEN + r"\p{Lu}"
+#: A small letter of the script of the last letter before.
+_SMALL = [(rf"(?:\p{{{x}}}\P{{L}}*)", _OPEN + rf"[\p{{Ll}}&&\p{{{x}}}]") for x in ("Latin", "Cyrillic", "Greek")] + [(r"(?:^\P{L}*)", _OPEN + r"\p{Ll}")]
+_LINK = _OPEN + "(?:" + "|".join(sorted(set(LINKING), key=lambda x: (-len(x), x))) + r"|(?:before|after|while|without|by|when)\s\p{Ll}+ing)\b"
+
+
+def _goes_on(words: frozenset[str] | None, before: str, style: str = "cased") -> list[Row]:
+    """No break where a small letter of the same script follows."""
+    return [Row(words, rf"{b}(?<={before})" if before else b, a, False, style) for b, a in _SMALL]
+
+
+#: Marks other than the period, and periods with no blank behind them.
+UNSPACED = [
+    Row(None, rf"[!?]{_SHUT}", r"(?=\S)" + _OPEN + r"[^\s\p{Lu}\p{Lo}]", False),
+    Row(None, r"[^.…]" + _SHUT, "", True),
+    Row(None, rf"[.…][{regex.escape(CLOSERS)}]+", r"(?=\S)" + _OPEN + r"[\p{Lu}\p{Lo}]", True),
+    Row(None, rf"[.…][{regex.escape(CLOSERS)}]+", r"\S", False),
+]
 ELLIPSIS = [
-    (_re(r"\.{4,}$"), None, False),                                             # leaders of a table line
-    (_re(r"[…]+$|\.{3}$"), _re(r"[都也等就还]|など|という|と"), False),            # an enumeration goes on
-    (_re(r"(?i)\b(?:hm+|uh|um|er|well|so|rows|and)(?:…|\.{3})$"), _re(r"\p{Ll}"), False),
-    (_re(r"(?:…|\.{3})$"), _re(r"(?:and|but|or|then|et|y|e|und|и|και)\b"), False),
+    Row(None, r"\.{4,}" + _SHUT, "", False),                                                   # leaders of a table line
+    Row(None, r"(?:…|\.{3})" + _SHUT, r"\s*(?:[都也等就还]|など|という|と)", False),              # an enumeration goes on
+    Row(None, r"(?i:\b(?:hm+|uh+|um+|er+|well|so|and|oh|ah))(?:…|\.{3})" + _SHUT, _OPEN + r"\p{Ll}", False),  # a pause
+    Row(None, r"(?:…|\.{3})" + _SHUT, r"\s*(?:and|but|or|then|et|mais|y|e|pero|mas|und|oder|aber|и|но|και)\b", False),
+    *_goes_on(None, r"(?:…|\.{3})" + _SHUT),
+    Row(None, r"(?:…|\.{3})" + _SHUT, "", True),
+    Row(None, r"\.\p{L}\w*\.", r"\S", False),                                                # inside a name with dots
+    Row(None, r"(?:\p{Ll}\p{Ll}|\d|[)\]%])\.", r"\p{Lu}(?:[\p{Ll}'’\u00a0 ]|\.\s?\p{Lu}|\p{Lu}{2} \d)", True),  # a blank is missing
+    Row(None, "", r"\S", False),
 ]
-PERIOD = [
-    (_re(r"(?:^|\s)\(?\d{1,3}\.$"), None, None),                                 # a number in front of an item, see below
-    (_re(r"(?i)\bno\.$"), _re(r"\d"), False),
-    (_re(r"\bNo\.$"), None, True),
-    (_re(r"\bno\.$"), None, True),
-    (_re(r"(?i)[ap]\.\s?m\.$"), _re(ZONES), False),
-    (_re(r"\b" + DE_BEFORE_ORDINAL + r"[  \n]+\d{1,2}\.$"), _re(r"\p{L}"), False),
-    (_re(r"\b\d{1,2}\.$"), _re(MONTHS), False),
-    (_re(r"(?:^|\W)(?:z|d|u|i|o|s|p|v)\.[  \n]*(?:B|h|a|e|ä|o|u|ej|ex|Chr)\.$"), None, False),
-    (_re(r"(?:^|\W)т\.[  \n]*е\.$"), None, False),
-    (_re(r"(?:^|\W)т\.[  \n]*[пд]\.$"), _re(_OPEN_MARKS + r"[^\p{Ll}]"), True),
-    (_re(r"(?:^|\W)т\.[  \n]*[пд]\.$"), _re(_OPEN_MARKS + r"\p{Ll}"), None),
-    (_re(r"\d[  \n]*гг?\.$"), _re(_OPEN_MARKS + r"[\p{Lu}\p{N}]"), True),
-    (_re(r"\bEE\.$"), _re(r"UU\."), False),
-    (_re(r"(?:^|\W)(?:e\.g|i\.e|s\.d|p\.ej)\.$"), None, False),
-    (_re(r"\b(?:st)\.$"), _re(r"dev\b"), False),
+
+
+def _language(x: str) -> list[Row]:
+    """The table of a language out of its words: titles, numbers, units, closing words."""
+    units = _w(UNITS.get(x, ""))
+    closing = _w(CLOSING[x])
+    known = _w(TITLES[x]) | _w(NUMBERED.get(x, "")) | _w(INNER[x])
+    behind = r"\p{N}[\s ]*[\p{L}\p{M}.]+\." + _SHUT
+    small = [Row(w, "", _LINK, False, "small") for w in (closing,)]
+    return [
+        Row(units, behind, _BEGINS, True), *_goes_on(units, behind), *[Row(units, behind, _LINK, False, "small")], Row(units, behind, "", True, "small"),
+        Row(_w(INNER[x]), "", _NUMBER, False), Row(_w(NUMBERED.get(x, "")), "", _NUMBER, False),
+        Row(_w(TITLES[x]), rf"\b(?:\p{{Lu}}|[\p{{Lo}}])[\p{{L}}\p{{M}}\-]*\.{_SHUT}", _OPEN + r"[\p{Lu}\p{Lo}]", False),
+        Row(_w(INNER[x]) - closing, "", "", False),
+        Row(closing & known, "", _OPEN + r"\p{Lu}", True),
+        Row(units - closing, "", "", False),
+        *small, *_goes_on(closing, ""), Row(closing, "", "", True),
+        Row(_w(NUMBERED.get(x, "")) - units, "", "", True, "small"), *_goes_on(frozenset(w for w in _w(NUMBERED.get(x, "")) if len(w) < 3), ""),
+        Row(_w(TITLES[x]) - _w(NUMBERED.get(x, "")), "", _OPEN + r"[\p{L}]", False),
+    ]
+
+
+SHARED = [
+    Row(_w("u.s u.k e.u u.n u.s.a"), "", r"\s+(?:" + "|".join(STATE.split()) + r")(?:'s|’s)?\b", False),
+    Row(_w("sr jr"), r"\b\p{Lu}\p{L}{2,},?\s+[SJ]r\.", _BEGINS, True), Row(_w("sr"), "", _NAME, False),
+    Row(_w("st ave rd blvd"), r"\b\p{Lu}\p{L}+\s+(?:St|Ave|Rd|Blvd)\.", _OPEN + r"(?:The|It|He|She|We|They|I|A|An|This|That|You|But|And|In|On|At)\b", True),
+    Row(_w("a.m p.m m"), r"(?i:[ap]\.\s?m)\.", r"\s*" + ZONES, False),
+    Row(None, r"\b[Nn]o\.", _OPEN + r"\p{N}", False), Row(None, r"\b[Nn]o\.", "", True),
+    Row(None, r"\b" + DE_ORDINAL + r"\s+\d{1,2}\.", r"\s*\p{L}", False),
+    Row(None, r"\b\d{1,2}\.", r"\s*" + DE_MONTHS, False),
+    Row(None, r"(?<![\p{L}\p{N}])(?:z|d|u|i|o|s|p|v)\.\s*(?:B|h|a|e|ä|o|u|ej|ex|Chr)\.", "", False),
+    Row(None, r"(?<![\p{L}\p{N}])т\.\s*е\.", "", False),
+    Row(None, r"(?<![\p{L}\p{N}])т\.\s*[пд]\.", _BEGINS, True),
+    Row(None, r"(?<![\p{L}\p{N}])т\.\s*[пд]\.", _LINK, False, "small"), Row(None, r"(?<![\p{L}\p{N}])т\.\s*[пд]\.", "", False, "cased"), Row(None, r"(?<![\p{L}\p{N}])т\.\s*[пд]\.", "", True),
+    Row(None, r"\d\s*гг?\.", _OPEN + r"[\p{Lu}\p{N}]", True),
+    Row(None, r"\bet\s+al\.", _OPEN + r"[\p{Ll}\p{N}]", False),
+    Row(_w("ee"), "", r"\s*UU\.", False),
+    Row(_w("e.g i.e s.d p.ej"), "", "", False),
+    Row(_w("st"), "", r"\s*dev\b", False),
 ]
-#: What may follow a closing abbreviation in a text whose sentences begin in lower case.
-STILL = _re(r"(?:are|is|was|were|before signing|of|session|market|open|close|per|mangent|para|antes|avant|за|до|такого|больше|μειώνουν)\b")
-
-
-def decide(p: Place) -> bool:
-    """Whether a sentence ends at the candidate."""
-    text, mark = p.text, p.text[p.mark]
-    tail = text[max(p.start, p.end - 80):p.end].rstrip(CLOSERS + "  ")
-    if mark == "…" or tail.endswith("..."):
-        for left, right, verdict in ELLIPSIS:
-            if left.search(tail) and (right is None or right.match(p.right)):
-                return verdict
-        return not p.lower or p.small
-    if mark != ".":
-        return True
-    if not p.spaced and p.after < len(text):
-        # No blank behind the period: only a word's end against a capital begins a sentence.
-        if p.end != p.mark + 1:
-            return p.first.isupper() or _rx(r"\p{Lo}").match(p.first) is not None
-        before = text[max(p.start, p.mark - 2):p.mark]
-        return bool(_rx(r"(?:\p{Ll}\p{Ll}|\d|.[)\]%])$").match(before[-2:]) or _rx(r"\d$").match(before[-1:])) and bool(_rx(r"\p{Lu}(?:[\p{Ll}'’  ]|\p{Lu}{2} \d)").match(p.right)) and not _rx(r"\.\p{L}\w*$").search(text[max(p.start, p.mark - 12):p.mark].rpartition(" ")[2])
-    for left, right, verdict in PERIOD:
-        if left.search(p.left) and (right is None or right.match(p.right)):
-            if verdict is None:
-                if _rx(r"\d\.$").search(p.left):
-                    if p.mark - p.start < 12 and not text[p.start:p.mark].strip("  (0123456789\n\r\t"):
-                        return False  # nothing but the number so far
-                    continue
-                return p.small and not STILL.match(p.right)
-            return verdict
-    word = p.word.strip(".")
-    if word in _CLOSE and not (word in _LEAD and not p.first.isupper()):
-        if word in ("min", "max", "est", "dev", "sec", "sr", "s.d", "hr", "др") and not _rx(r"\d[  \n]*\p{L}+\.$").search(p.left):
-            return False
-        return not p.lower or (p.small and not STILL.match(p.right))
-    unit = _rx(r"\d[ \u00a0\n]*\p{Ll}\.$").search(p.left) is not None
-    if word in NUMBERED and not _rx(r"\p{N}|[IVXLC]{2,}\b").match(p.right):
-        if not (word == "st" and p.first.isupper()) and not (len(word) == 1 and not unit):
-            return not (p.lower and not p.small and len(word) < 3) or unit
-    elif word in _LEAD and not unit:
-        return False
-    if len(word) == 1 and not _rx(r"[\p{Thai}\p{Han}\p{Hangul}]").match(word) and not unit:
-        return False  # an initial, not a unit behind a number
-    return not p.lower or p.small or len(word) != 2
+#: What no table knows: a single letter is an initial unless it is a unit behind a number.
+LAST = [
+    Row(None, r"\p{N}[\s ]*\p{Ll}\." + _SHUT, _BEGINS, True),
+    *_goes_on(None, r"\p{N}[\s ]*\p{Ll}\." + _SHUT), Row(None, r"\p{N}[\s ]*\p{Ll}\." + _SHUT, "", True),
+    Row(None, r"(?<![\p{L}\p{M}])[\p{L}--[\p{Thai}\p{Han}\p{Hangul}]]\p{M}*\." + _SHUT, "", False),
+    *_goes_on(None, r"(?<![\p{L}\p{M}])\p{L}{2}\." + _SHUT),
+    Row(None, "", "", True),
+]
+LATIN = ("en", "de", "fr", "es", "pt")
+_OTHER = {"Cyrillic": "ru", "Greek": "el", "Devanagari": "hi", "Arabic": "ar"}
+_LEADING = {w for x in TITLES for w in (*TITLES[x].split(), *INNER[x].split())}
+_KNOWN = _LEADING | {w for v in (*NUMBERED.values(), *CLOSING.values(), *UNITS.values()) for w in v.split()} | {w for r in SHARED for w in r.words or ()}
+_TABLES = {x: _language(x) for x in TITLES}
+
+
+@cache
+def _general(last: bool, style: str) -> tuple[regex.Pattern, list[bool]]:
+    """The rows for any word, of the shared tables or the last one, as one pattern whose
+    groups stand for the rows, in order, and the rows' verdicts."""
+    rows = [r for r in (LAST if last else UNSPACED + ELLIPSIS + SHARED) if r.words is None and r.style in ("", style)]
+    pairs = [(f"(?<={r.before})" if r.before else "") + (f"(?={r.after})" if r.after else "") + "()" for r in rows]
+    return regex.compile("|".join(pairs), V1), [r.ends for r in rows]
+
+
+@cache
+def _of_word(language: str, style: str, word: str) -> list[tuple[regex.Pattern | None, regex.Pattern | None, bool]]:
+    """The rows for one word: the shared ones, those of the language, those of the others."""
+    order = [language, *[x for x in (*LATIN, "ru", "el", "hi", "ar") if x != language]]
+    rows = [r for r in SHARED + [r for x in order for r in _TABLES[x]] if r.words is not None and word in r.words and r.style in ("", style)]
+    return [(_rx(f"(?<={r.before})", V1) if r.before else None, _rx(r.after, V1) if r.after else None, r.ends) for r in rows]
+
+
+_WORD = regex.compile(r"(?r)[\p{L}\p{M}](?:[\p{L}\p{M}.\-]*[\p{L}\p{M}])?", V1)
+_LETTERS = regex.compile(r"\p{L}+")
+_FIRST = regex.compile(r"\p{L}")
+_FREQUENT = {w: [x for x in LATIN if w in FREQUENT[x].split()] for v in FREQUENT.values() for w in v.split()}
+_SCRIPTS = [(_x, regex.compile(rf"\p{{{_s}}}")) for _s, _x in _OTHER.items()]
+
+
+def _word_before(text: str, end: int, start: int = 0) -> str:
+    m = _WORD.match(text, start, end)
+    return unicodedata.normalize("NFC", m.group()).lower() if m else ""
+
+
+@lru_cache(maxsize=4)
+def language_of(text: str) -> str:
+    """Language whose table is asked first: that of the most letters' script, in Latin
+    script that of the most frequent words; English where nothing tells."""
+    for x, script in _SCRIPTS:
+        if script.search(text):
+            if 2 * len(script.findall(text)) >= len(_rx(r"\p{Latin}").findall(text)):
+                return x
+    votes = Counter(x for w in _LETTERS.findall(text.lower()) for x in _FREQUENT.get(w, ()))
+    return max(LATIN, key=lambda x: (votes[x], -LATIN.index(x))) if votes else "en"
+
+
+def decide(text: str, start: int, mark: int, end: int, small: bool) -> bool:
+    """Whether the sentence from ``start`` ends at ``end``, behind the mark and its closers."""
+    word = ""
+    if text[mark] == ".":
+        if not text[start:mark].strip("  (0123456789\n\r\t") and text[start:mark].strip("  (\n\r\t"):
+            return False  # nothing but the item's number so far
+        word = _word_before(text, mark, start)
+        word = word if word in _KNOWN else ""
+        if word and small and (first := _FIRST.search(text, start, end)) and first.group().isupper():
+            small = False  # this sentence began with a capital, so will the next
+    style = "small" if small else "cased"
+    pattern, verdicts = _general(False, style)
+    if m := pattern.match(text, end):
+        return verdicts[m.lastindex - 1]
+    if word:
+        for before, after, ends in _of_word(language_of(text), style, word):
+            if (before is None or before.match(text, end)) and (after is None or after.match(text, end)):
+                return ends
+    pattern, verdicts = _general(True, style)
+    return verdicts[pattern.match(text, end).lastindex - 1]
+
+
+# ---- behind a quotation -----------------------------------------------------------------
+
+_FRONT = regex.compile(r"\s*(?:[^\s:：]+(?:[^\S\n][^\s:：]+){0,2}[:：])?[\s\-*+•#0-9.]*")
+_SPEAKS = regex.compile(_OPEN + "(?:" + "|".join(SPEAKING) + r")\b")
+#: (before, after, ends); before is matched from the sentence's start up to the quotation.
+QUOTED = [
+    (None, regex.compile(r"\s*[,،，、;；:：—–\-)」』）.。!?！？]"), False),
+    (None, regex.compile(r"\s*(?:" + CARRYING_ON + ")"), False),
+    (None, regex.compile(r"\p{Hangul}"), False),
+    (_FRONT, regex.compile(r"\s*" + ZH_SPEAKING), False),
+]
+QUOTED_CASED = [(None, None, False)]
+QUOTED_SMALL = [(None, _SPEAKS, False), (_FRONT, None, True), (regex.compile(r".*[:：]\s*", regex.S), None, True), (None, None, False)]
 
 
-def after_quotation(text: str, start: int, opened: int, end: int, small: bool) -> bool:
+def after_quotation(text: str, start: int, opened: int, end: int, stop: int, small: bool) -> bool:
     """Whether the sentence ends behind a quotation that itself ends like one."""
-    p = Place(text, start, end - 1, end, small)
-    if p.after >= len(text):
+    if end >= stop:
         return True
-    head = text[max(start, opened - 80):opened].strip()
-    if p.right[0] in ",，、;；:：—–-)」』）" or (p.right[0] in ".。!?！？"):
-        return False
-    if _rx(CARRYING_ON).match(p.right):
-        return False
-    front = opened - start < 80 and not _rx(r"^[^:：\n]{1,24}[:：]$").sub("", head).strip("-*+•  #0123456789.")
-    if _rx(r"\p{Hangul}").match(p.right) and not p.spaced:
-        return False
-    if _rx(ZH_SPEAKING).match(p.right) and _rx(r"\p{Han}").search(p.right) and front:
-        return False
-    if p.lower:
-        word = _rx(r"[\p{L}\p{M}]+").match(p.right)
-        spoken = word is not None and unicodedata.normalize("NFC", word.group()) in SPEAKING
-        if not small or spoken:
-            return False
-        return front or head.endswith((":", "："))
+    goes_on = any(_rx(f"(?<={b})", V1).match(text, end) and _rx(a, V1).match(text, end) for b, a in _SMALL)
+    for before, after, ends in QUOTED + ((QUOTED_SMALL if small else QUOTED_CASED) if goes_on else []):
+        if (before is None or before.fullmatch(text, start, opened)) and (after is None or after.match(text, end)):
+            return ends
     return True
 
 
@@ -340,13 +438,21 @@ _MARKS = regex.compile(rf"[{regex.escape(TERMINAL)}]+(?:[   ]?[»]|[{regex.es
 _THAI_GAP = regex.compile(r"(?<=\p{Thai})[^\S\n\r]+(?=\S)|(?<=\p{Thai})\s*[\n\r]\s*(?=\S)", V1)
 
 
+_NAMED = regex.compile(r"\w*[\d_.(=]")
+_LOWER = regex.compile(r"(?<=\p{L}{3})[.!?]\s+\p{Ll}")
+_THAI = regex.compile(r"\p{Thai}")
+_GREEK = regex.compile(r"\p{Greek}")
+_CODED = regex.compile(r"[=(\[]|--")
+_BLANKS = regex.compile(r"\s+")
+
+
 def small_style(text: str) -> bool:
     """Whether sentences of this stretch begin in lower case: its first letter does, or
     a letter behind a plain sentence end does."""
-    first = _rx(r"\p{L}").search(text)
-    if first and first.group().islower() and not _rx(r"\w*[\d_.(=]").match(text[first.start():]):
+    first = _FIRST.search(text)
+    if first and first.group().islower() and not _NAMED.match(text, first.start()):
         return True
-    return any(unicodedata.normalize("NFC", m.group(1)).lower() not in _LEAD | _CLOSE for m in _rx(r"(\p{L}{3,})[.!?]\s+\p{Ll}").finditer(text))
+    return any(_word_before(text, m.start()) not in _KNOWN for m in _LOWER.finditer(text))
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
@@ -356,11 +462,10 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in units(text):
         unit = text[lo:hi]
-        small = small_style(unit)
-        if CODE.match(_rx(r"\s+").sub(" ", unit)) or KEYED.match(unit.strip()):
+        if _CODED.search(unit) and CODE.match(_BLANKS.sub(" ", unit)) or KEYED.match(unit.strip()):
             spans = [(0, len(unit))]
         else:
-            spans = _within(unit, small)
+            spans = _within(unit)
         for s, e in spans:
             while s < e and unit[s].isspace():
                 s += 1
@@ -371,7 +476,10 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def _within(unit: str, small: bool) -> list[tuple[int, int]]:
+def _within(unit: str) -> list[tuple[int, int]]:
+    if not _MARKS.search(unit) and not _THAI.search(unit):
+        return [(0, len(unit))]
+    small = small_style(unit)
     quotes = quotations(unit)
     opened = [s for s, _ in quotes]
 
@@ -379,37 +487,38 @@ def _within(unit: str, small: bool) -> list[tuple[int, int]]:
         i = bisect_left(opened, at) - 1
         return i >= 0 and at < quotes[i][1]
 
-    greek = _rx(r"\p{Greek}").search(unit) is not None
+    greek = _GREEK.search(unit)  # the first Greek letter of the sentence at hand, or behind it
     cuts: list[int] = []
-    start = 0
+    start, stop = 0, len(unit.rstrip())
     points: list[tuple[int, str, int, int]] = [(e, "quote", s, e) for s, e in quotes]
     for m in _MARKS.finditer(unit):
         if not quoted(m.start()):
             points.append((m.end(), "mark", m.start(), m.end()))
-    points += [(m.start(), "thai", m.start(), m.start()) for m in _THAI_GAP.finditer(unit) if not quoted(m.start())]
+    if _THAI.search(unit):
+        points += [(m.start(), "thai", m.start(), m.start()) for m in _THAI_GAP.finditer(unit) if not quoted(m.start())]
     for end, kind, a, b in sorted(points):
         if end <= start:
             continue
         if kind == "quote":
             inner = unit[a + 1:b - 1].rstrip()
-            if not inner or inner[-1] not in TERMINAL or not after_quotation(unit, start, a, b, small):
+            if not inner or inner[-1] not in TERMINAL or not after_quotation(unit, start, a, b, stop, small):
                 continue
         elif kind == "mark":
             if unit[a] == ";":
-                if not (greek and _rx(r"\p{Greek}").search(unit[max(start, a - 400):a])):
+                if greek and greek.start() < start:
+                    greek = _GREEK.search(unit, start)
+                if not greek or greek.start() > a:
                     continue
             elif end < len(unit):
                 last = a + len(_TERMINALS.match(unit[a:b]).group()) - 1
-                wide = unit[last] in WIDE + "।॥…؟!?" or unit[last] == "."
-                p = Place(unit, start, last, b, small)
-                if not wide or not p.spaced and unit[last] in "!?" and not (p.first.isupper() or _rx(r"\p{Lo}").match(p.first)):
-                    continue
-                if not decide(p):
+                if not decide(unit, start, last, b, small):
                     continue
-        run = _EMOJI_RUN.match(unit, end)
-        if run:
+        k = end
+        while k < stop and unit[k].isspace():
+            k += 1
+        if k < stop and unit[k] > "\u203b" and (run := _EMOJI_RUN.match(unit, end)):
             end = run.end()
-        if not unit[end:].strip():
+        if end >= stop:
             break
         cuts.append(end)
         start = end
