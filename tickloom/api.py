@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ast
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +13,7 @@ from .functions import stats
 from .operators import bars as B
 from .operators import fills as X
 from .operators import strategies as S
+from .operators import summary as T
 from .operators import window_break as W
 
 #: A strategy makes candidates from (ticks, numbered bars, bar seconds, parameters).
@@ -21,20 +22,25 @@ Builder = Callable[[DataFrame, DataFrame, int, dict], DataFrame]
 
 @dataclass(frozen=True)
 class Strategy:
-    """Builder, parameters as (default, lo, hi), and whether it trades the whole session."""
+    """Builder, parameters as (default, lo, hi), whether it trades the whole session, and,
+    where all combinations of a sweep can be made at once, a builder of candidates with
+    combo_no out of (bars, table of all parameters by combo_no). A parameter cooldown_min
+    is the rest after a trade closes, in minutes."""
 
     build: Builder
     params: dict[str, tuple[float, float, float]]
     full_session: bool = False
+    grid: Callable[[DataFrame, DataFrame], DataFrame] | None = None
 
 
 STRATEGIES: dict[str, Strategy] = {
-    "ma_cross": Strategy(lambda t, b, s, p: S.ma_cross(b, int(p["fast"]), int(p["slow"]), int(p["stop_ticks"]), p["rr"]), {"fast": (20, 2, 200), "slow": (60, 5, 500), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0)}),
+    "ma_cross": Strategy(lambda t, b, s, p: S.ma_cross(b, int(p["fast"]), int(p["slow"]), int(p["stop_ticks"]), p["rr"]), {"fast": (20, 2, 200), "slow": (60, 5, 500), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0)}, grid=S.ma_cross_grid),
     "orb": Strategy(lambda t, b, s, p: S.orb(t, int(p["range_min"]), int(p["stop_ticks"]), p["rr"], bool(p["one_per_day"])), {"range_min": (15, 1, 120), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0), "one_per_day": (1, 0, 1)}),
-    "range_break": Strategy(lambda t, b, s, p: S.range_break(t, b, s, int(p["lookback"]), int(p["min_range_ticks"]), int(p["max_range_ticks"])), {"lookback": (10, 2, 60), "min_range_ticks": (30, 1, 400), "max_range_ticks": (140, 10, 2000)}),
-    "sweep_follow": Strategy(lambda t, b, s, p: S.sweep_follow(t, int(p["min_volume"]), int(p["cluster_ms"]) * 1000, int(p["stop_ticks"]), p["rr"]), {"min_volume": (150, 10, 2000), "cluster_ms": (150, 10, 2000), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0)}),
-    "fvg": Strategy(lambda t, b, s, p: S.fvg(t, b, s, int(p["min_ticks"]), int(p["expiry_bars"]), int(p["stop_ticks"]), p["rr"]), {"min_ticks": (8, 1, 200), "expiry_bars": (12, 1, 100), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0)}),
-    "vwap_revert": Strategy(lambda t, b, s, p: S.vwap_revert(b, int(p["stretch_ticks"]), int(p["min_bar"]), int(p["stop_ticks"]), p["rr"]), {"stretch_ticks": (60, 4, 400), "min_bar": (6, 0, 100), "stop_ticks": (40, 4, 200), "rr": (1.0, 0.5, 6.0)}),
+    "range_break": Strategy(lambda t, b, s, p: S.range_break(t, b, s, int(p["lookback"]), int(p["min_range_ticks"]), int(p["max_range_ticks"]), int(p["atr_period"]), p["atr_stop"], p["atr_target"], p["max_stop_ticks"], p["be_trigger_pct"], int(p["session_start"]), int(p["last_entry"]), bool(p["one_per_day"])),
+                            {"lookback": (10, 2, 60), "min_range_ticks": (30, 1, 400), "max_range_ticks": (140, 10, 2000), "atr_period": (14, 2, 100), "atr_stop": (1.0, 0.1, 5.0), "atr_target": (2.0, 0.2, 10.0), "max_stop_ticks": (160, 8, 800), "be_trigger_pct": (50, 0, 100), "session_start": (570, 0, 1439), "last_entry": (900, 1, 1440), "one_per_day": (0, 0, 1)}),
+    "sweep_follow": Strategy(lambda t, b, s, p: S.sweep_follow(t, int(p["min_volume"]), int(p["cluster_ms"]) * 1000, int(p["stop_ticks"]), p["rr"]), {"min_volume": (150, 10, 2000), "cluster_ms": (150, 10, 2000), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0), "cooldown_min": (5, 0, 60)}),
+    "fvg": Strategy(lambda t, b, s, p: S.fvg(t, b, s, int(p["min_ticks"]), int(p["expiry_bars"]), int(p["stop_ticks"]), p["rr"], bool(p["one_per_day"])), {"min_ticks": (8, 1, 200), "expiry_bars": (12, 1, 200), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0), "one_per_day": (0, 0, 1)}),
+    "vwap_revert": Strategy(lambda t, b, s, p: S.vwap_revert(b, int(p["stretch_ticks"]), int(p["min_bar"]), int(p["stop_ticks"]), p["rr"]), {"stretch_ticks": (60, 4, 400), "min_bar": (6, 0, 100), "stop_ticks": (40, 4, 200), "rr": (1.0, 0.5, 6.0), "cooldown_min": (15, 0, 240)}),
     "window_break": Strategy(lambda t, b, s, p: W.window_break(t, b, s, W.BreakRules(hold_s=int(p["hold_seconds"]), candle_s=int(p["candle_seconds"]), extension=p["extension"])), {"hold_seconds": (30, 0, 600), "candle_seconds": (30, 5, 600), "extension": (0.25, 0.0, 3.0)}, full_session=True),
 }
 
@@ -51,16 +57,29 @@ def tape_status(ticks: DataFrame) -> DataFrame:
     return B.available_range(ticks)
 
 
+def _parameters(s: Strategy, given: dict | None) -> dict:
+    unknown = set(given or {}) - set(s.params)
+    if unknown:
+        raise ValueError(f"no such parameters: {sorted(unknown)}")
+    return {k: v[0] for k, v in s.params.items()} | (given or {})
+
+
+def _rested(rules: X.FillRules, p: dict) -> X.FillRules:
+    return replace(rules, cooldown_min=p["cooldown_min"]) if "cooldown_min" in p else rules
+
+
 def backtest(ticks: DataFrame, name: str, period: str | int = "5m", params: dict | None = None, first: str | None = None, last: str | None = None, rules: X.FillRules = X.FillRules(), governor_day: Column | None = None) -> DataFrame:
     """Trades of a strategy: slice, bars, candidates, fills."""
     s = STRATEGIES[name]
-    unknown = set(params or {}) - set(s.params)
-    if unknown:
-        raise ValueError(f"no such parameters: {sorted(unknown)}")
-    p = {k: v[0] for k, v in s.params.items()} | (params or {})
-    seconds = B.parse_period(period)
+    p, seconds = _parameters(s, params), B.parse_period(period)
     part = B.slice_range(ticks, first, last, rth=not s.full_session)
-    return X.resolve(part, s.build(part, B.numbered(B.build_bars(part, seconds)), seconds, p), rules, governor_day)
+    return X.resolve(part, s.build(part, B.numbered(B.build_bars(part, seconds)), seconds, p), _rested(rules, p), governor_day)
+
+
+def priced(trades: DataFrame, tick_size: float, point_value: float, commission: float = 0.0, contracts: int = 1) -> DataFrame:
+    """Trades in money: gross, costs (``commission`` for a contract's round trip) and net."""
+    gross = F.col("pnl") * tick_size * point_value * contracts
+    return trades.withColumns({"gross": gross, "costs": F.lit(float(commission * contracts)), "net": gross - commission * contracts})
 
 
 def run_summary(trades: DataFrame, point_value: float = 1.0, tick_size: float = 1.0, commission: float = 0.0) -> DataFrame:
@@ -70,26 +89,39 @@ def run_summary(trades: DataFrame, point_value: float = 1.0, tick_size: float =
         F.count(F.lit(1)).alias("n"), F.sum("money").alias("pnl"), F.avg((F.col("money") > 0).cast("int")).alias("win_rate"), F.max(F.col("fall") * tick_size * point_value).alias("max_fall"))
 
 
-def sweep(ticks: DataFrame, name: str, ranges: dict[str, list[float]], period: str | int = "5m", rules: X.FillRules = X.FillRules(), governor_day: Column | None = None) -> DataFrame:
-    """One row per combination: trades, result and verdict. The combination joins the
-    contract key, so that all are resolved in one plan over the same ticks and bars."""
-    spark = ticks.sparkSession
-    combos = stats.grid(spark, ranges).collect()
-    s, seconds = STRATEGIES[name], B.parse_period(period)
-    part = B.slice_range(ticks, rth=not s.full_session)
+def sweep_candidates(part: DataFrame, name: str, ranges: dict[str, list[float]], seconds: int) -> tuple[DataFrame, int]:
+    """(candidates with combo_no, number of combinations) of all combinations over one slice."""
+    s = STRATEGIES[name]
+    _parameters(s, {k: None for k in ranges})
+    combos = stats.grid(part.sparkSession, ranges)
     bars = B.numbered(B.build_bars(part, seconds))
+    rows = combos.collect()
+    if s.grid:
+        return s.grid(bars, combos.withColumns({k: F.lit(float(v[0])) for k, v in s.params.items() if k not in ranges})), len(rows)
     cands = None
-    for c in combos:
-        p = {k: v[0] for k, v in s.params.items()} | {k: c[k] for k in ranges}
-        one = s.build(part, bars, seconds, p).withColumn("contract", F.concat_ws("#", F.lit(str(c["combo_no"])), "contract"))
+    for c in rows:
+        one = s.build(part, bars, seconds, {k: v[0] for k, v in s.params.items()} | {k: c[k] for k in ranges}).withColumn("combo_no", F.lit(c["combo_no"]).cast("long"))
         cands = one if cands is None else cands.unionByName(one, allowMissingColumns=True)
-    keyed = part.withColumn("contract", F.concat_ws("#", F.explode(F.array(*[F.lit(str(c["combo_no"])) for c in combos])), "contract"))
-    done = X.resolve(keyed, cands, rules, governor_day).withColumn("combo_no", F.split("contract", "#")[0].cast("long"))
+    return cands, len(rows)
+
+
+def sweep(ticks: DataFrame, name: str, ranges: dict[str, list[float]], period: str | int = "5m", rules: X.FillRules = X.FillRules(), governor_day: Column | None = None) -> DataFrame:
+    """One row per combination, best first by ``place``: trades, result, sub-periods and
+    verdict. The combination is a column of the candidates: the ticks are read and shuffled
+    once for all of them. A cooldown is the strategy's own and cannot be swept."""
+    s, seconds = STRATEGIES[name], B.parse_period(period)
+    if "cooldown_min" in ranges:
+        raise ValueError("cooldown_min is one for the whole sweep; set it in the rules")
+    part = B.slice_range(ticks, rth=not s.full_session)
+    cands, n = sweep_candidates(part, name, ranges, seconds)
+    done = X.resolve(part, cands, _rested(rules, {k: v[0] for k, v in s.params.items()}), governor_day)
     daily = done.groupBy("combo_no", "cal_day").agg(F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("n"))
-    rows = daily.groupBy("combo_no").agg(F.sum("n").alias("n"), F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("days"), F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("s"), F.avg((F.col("pnl") > 0).cast("double")).alias("positive"))
+    rows = daily.groupBy("combo_no").agg(F.sum("n").alias("n"), F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("days"), F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("s"))
     t = F.when((F.col("days") >= 20) & (F.col("s") > 0), F.col("m") / (F.col("s") / F.sqrt("days")))
-    rows = rows.withColumn("t_daily", t).drop("m", "s")
-    return rows.withColumn("verdict", stats.verdict(F.col("t_daily"), F.col("n"), F.col("positive"), stats.expected_max_t(len(combos))))
+    rows = rows.withColumn("t_daily", t).drop("m", "s").join(T.subperiods(daily, "combo_no", "cal_day", "pnl"), "combo_no")
+    rows = stats.grid(ticks.sparkSession, ranges).join(rows, "combo_no", "left").fillna(0, ["n", "pnl", "days", "positive"])
+    rows = rows.withColumn("verdict", stats.verdict(F.col("t_daily"), F.col("n"), F.col("positive"), stats.expected_max_t(n)))
+    return stats.ranked(rows, "combo_no")
 
 
 def check_candidates(candidates: DataFrame, ticks: DataFrame) -> DataFrame:

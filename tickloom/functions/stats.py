@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from itertools import product
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.fold import ordered_fold
 from ..plans.ranking import bucketed_prior
 
 
@@ -60,9 +62,28 @@ def grid(spark: SparkSession, ranges: dict[str, list[float]]) -> DataFrame:
     return spark.createDataFrame(rows, "combo_no long, " + ", ".join(f"`{n}` double" for n in names))
 
 
+#: The bar that a configuration must pass before the noise ceiling is asked.
+LEAST_TRADES, LEAST_POSITIVE, LEAST_T = 80, 2, 1.5
+
+
 def verdict(t: Column, n: Column, positive: Column, noise: float) -> Column:
-    """Gate: no signal, below the bar, indistinguishable from noise, earns a forward test."""
-    return F.when(t.isNull() | (t < 1.5), "no signal").when((n < 80) | (positive < 2 / 3), "below the bar").when(t <= noise, "indistinguishable from noise").otherwise("earns a forward test")
+    """Gate: 'no signal' without a t; 'below the bar' with too few trades, too few of the
+    three sub-periods positive (``positive`` counts them) or too small a t, in this order;
+    then 'indistinguishable from noise' up to the ceiling, else 'earns a forward test'."""
+    low = (n < LEAST_TRADES) | (positive < LEAST_POSITIVE) | (t < LEAST_T)
+    return F.when(t.isNull() | F.isnan(t), "no signal").when(low, "below the bar").when(t <= noise, "indistinguishable from noise").otherwise("earns a forward test")
+
+
+def eligible(t: Column, n: Column, positive: Column) -> Column:
+    """Whether a configuration could pass the bar; ranked before all that could not."""
+    return t.isNotNull() & (n >= LEAST_TRADES) & (positive >= LEAST_POSITIVE)
+
+
+def ranked(rows: DataFrame, *ties: str) -> DataFrame:
+    """Adds ``place``: rows (t_daily, n, positive) by eligibility, then t, then ``ties``. One
+    row per configuration or account: the window is over results, not over data."""
+    w = Window.orderBy(eligible(F.col("t_daily"), F.col("n"), F.col("positive")).desc(), F.coalesce("t_daily", F.lit(-99.0)).desc(), *ties)
+    return rows.withColumn("place", F.row_number().over(w).cast("long"))
 
 
 def canonical(record: dict) -> str:
@@ -73,17 +94,32 @@ def fingerprint(record: dict) -> str:
     return hashlib.sha256(canonical(record).encode()).hexdigest()[:12]
 
 
-def chain(rows: DataFrame, seq: str, body: Column) -> DataFrame:
-    """Adds own and prev of a ledger kept in order of ``seq`` when each record's hash
-    covers its body and links to the one before (computable without a serial pass)."""
-    hashed = rows.withColumn("own", F.substring(F.sha2(body, 256), 1, 16))
-    return bucketed_prior(hashed, [], seq, 65_536, {"own": "prev"}).withColumn("prev", F.coalesce("prev", F.lit("")))
+def _digest(prev: Column, body: Column) -> Column:
+    return F.substring(F.sha2(F.concat(prev, body), 256), 1, 16)
+
+
+def chain(rows: DataFrame, ledger: str, seq: str, body: str) -> DataFrame:
+    """(ledger, seq, body, prev, own) of records written in order of ``seq``, each ledger a
+    chain: a record's digest covers that of the record before it and its own body. The
+    digests depend on each other, so writing is a serial fold over each ledger."""
+
+    def step(state: list, row: object) -> Iterator[tuple]:
+        own = hashlib.sha256((state[0] + (row.b or "")).encode()).hexdigest()[:16]
+        yield row.l, row.s, row.b, state[0], own
+        state[0] = own
+
+    laid = rows.select(F.col(ledger).cast("string").alias("l"), F.col(seq).cast("long").alias("s"), F.coalesce(F.col(body), F.lit("")).alias("b"))
+    out = ordered_fold(laid, ["l"], ["s"], lambda: [""], step, "l string, s long, b string, prev string, own string")
+    return out.toDF(ledger, seq, body, "prev", "own")
 
 
-def chain_breaks(ledger: DataFrame, seq: str, body: Column) -> DataFrame:
-    """Records whose hash or link does not hold: (seq, reason)."""
-    checked = bucketed_prior(ledger.withColumn("_h", F.substring(F.sha2(body, 256), 1, 16)), [], seq, 65_536, {"own": "_p"})
-    return checked.select(seq, F.when(F.col("_h") != F.col("own"), "edited").when(F.coalesce("_p", F.lit("")) != F.col("prev"), "broken link").alias("reason")).where("reason is not null")
+def chain_breaks(kept: DataFrame, ledger: str, seq: str, body: str) -> DataFrame:
+    """(ledger, seq, reason) of the records whose digest does not cover their body and
+    link ('edited') or whose link is not the digest of the record before ('broken link').
+    Checked record by record in parallel: each is compared with its stored link only."""
+    checked = bucketed_prior(kept, [ledger], seq, 65_536, {"own": "_p"})
+    reason = F.when(_digest(F.col("prev"), F.col(body)) != F.col("own"), "edited").when(F.coalesce("_p", F.lit("")) != F.col("prev"), "broken link")
+    return checked.select(ledger, seq, reason.alias("reason")).where("reason is not null")
 
 
 def ledger_stats(ledger: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Fill resolution: from candidate entries to trades.
 
 Each candidate's exit depends on its own row and its day's ticks only, so exits
-are found for all candidates in parallel, one group per contract and day. Which
-candidates become trades (one position at a time, cooldown) is a fold over the
-few candidates of a contract. With a daily governor the exit depends on the
-trades before it; the same walk then runs serially over a day.
+are found for all candidates in parallel, one group per contract and day. The ticks are
+shuffled once, however many combinations of a sweep the candidates come from: a
+candidate that several combinations share is walked once. Which candidates become
+trades (one position at a time, cooldown) is a fold over the few candidates of a
+contract. With a daily governor the exit depends on the trades before it; the same walk
+then runs serially over a day.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fold import ordered_fold
+from ..plans.fold import TYPES, ordered_fold
 
 MINUTE_US = 60_000_000
 
@@ -26,18 +28,22 @@ MINUTE_US = 60_000_000
 class FillRules:
     """Slippage in ticks a side, timeout and cooldown in minutes, longest gap between
     ticks in seconds, flatten time in seconds of the day, breakeven offset in ticks,
-    and the governor's profit target and loss limit of a day in ticks (None: off)."""
+    the governor's profit target and loss limit of a day in ticks (None: off), and the
+    commission of a round trip in ticks, which counts in the governor's day."""
 
     slip: float = 2.0
     timeout_min: int = 240
-    cooldown_min: int = 5
+    cooldown_min: float = 5
     max_gap_s: int = 120
     flatten_sod: int | None = None
     be_offset: float = 0.0
     day_target: float | None = None
     day_loss: float | None = None
+    commission: float = 0.0
 
 
+#: Ticks behind an entry that are searched first; most exits lie among them.
+NEAR = 4_096
 EXIT = "contract string, cal_day date, cand_no long, entry_seq long, entry_us long, dir int, fill double, exit_seq long, exit_us long, exit_px double, reason string, low double, high double, fall double"
 
 
@@ -60,22 +66,28 @@ def walk(seq: np.ndarray, us: np.ndarray, sod: np.ndarray, px: np.ndarray, i0: i
         cut = i0 + int(np.searchsorted(sod[i0:], rules.flatten_sod, "left"))
         if cut < end:
             end, reason = cut + 1, "flatten"
-    p, t = px[i0 + 1:end].astype(float), us[i0 + 1:end]
     if be_px is not None and d * (be_px - fill) <= 0:
         be_px = None
-    none = len(p)
-    first = lambda mask: int(np.argmax(mask)) if mask.any() else none
-    gap = first(np.diff(us[i0:end]) > rules.max_gap_s * 1_000_000)
-    be = none if be_px is None else first(d * (p - be_px) >= 0)
-    moved = np.arange(len(p)) >= be
-    level = np.where(moved, fill + d * rules.be_offset, stop)
-    hit_stop = first(d * (p - level) <= 0)
-    hit_target = first(d * (p - target) >= 0)
-    hit_gov = none
-    if rules.day_target is not None or rules.day_loss is not None:
-        open_pnl = day_pnl + d * (p - fill)
-        hit_gov = first((open_pnl >= (rules.day_target if rules.day_target is not None else np.inf)) | (open_pnl <= -(rules.day_loss if rules.day_loss is not None else np.inf)))
-    at = min(gap, hit_stop, hit_target, hit_gov)
+    far, near = end - i0 - 1, NEAR
+    while True:  # first hits lie in the shortest stretch that has any
+        cut = min(end, i0 + 1 + near)
+        p = px[i0 + 1:cut].astype(float)
+        none = len(p)
+        first = lambda mask: int(np.argmax(mask)) if mask.any() else none  # noqa: B023, E731
+        gap = first(np.diff(us[i0:cut]) > rules.max_gap_s * 1_000_000)
+        be = none if be_px is None else first(d * (p - be_px) >= 0)
+        moved = np.arange(len(p)) >= be
+        level = np.where(moved, fill + d * rules.be_offset, stop)
+        hit_stop = first(d * (p - level) <= 0)
+        hit_target = first(d * (p - target) >= 0)
+        hit_gov = none
+        if rules.day_target is not None or rules.day_loss is not None:
+            open_pnl = day_pnl + d * (p - fill)
+            hit_gov = first((open_pnl >= (rules.day_target if rules.day_target is not None else np.inf)) | (open_pnl <= -(rules.day_loss if rules.day_loss is not None else np.inf)))
+        at = min(gap, hit_stop, hit_target, hit_gov)
+        if at < none or none == far:
+            break
+        near *= 8
     if at == none:
         k, out = end - 1, float(px[end - 1]) if end - 1 > i0 else float(px[i0])
         k = max(k, i0)
@@ -97,46 +109,81 @@ def walk(seq: np.ndarray, us: np.ndarray, sod: np.ndarray, px: np.ndarray, i0: i
     return k, fill, out - d * rules.slip, reason, float(path.min()), float(path.max()), fall
 
 
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = [pa.list_(pa.int64()) if t == "array<long>" else TYPES[t] for _, t in fields]
+    return pa.table({n: pa.array(c, k) for (n, _), k, c in zip(fields, kinds, zip(*rows) if rows else [()] * len(fields))})
+
+
+def _sides(ticks: DataFrame, candidates: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(ticks of the days with candidates, different candidates with their combinations)."""
+    extra = [F.col(c).cast("double").alias(c) if c in candidates.columns else F.lit(None).cast("double").alias(c) for c in ("limit_px", "be_px")]
+    combo = F.col("combo_no") if "combo_no" in candidates.columns else F.lit(0)
+    cand = candidates.select("contract", "cal_day", F.col("entry_seq").alias("seq"), F.col("dir").cast("int").alias("dir"), F.col("stop").cast("double").alias("stop"), F.col("target").cast("double").alias("target"), *extra, combo.cast("long").alias("combo"))
+    cand = cand.groupBy("contract", "cal_day", "seq", "dir", "stop", "target", "limit_px", "be_px").agg(F.collect_set("combo").alias("combos"))
+    days = cand.select("contract", "cal_day").distinct()
+    tape = ticks.select("contract", "cal_day", "seq", "us", "sod", "px_ticks", *more).join(days, ["contract", "cal_day"], "left_semi")
+    return tape, cand.withColumnsRenamed({"contract": "c_contract", "cal_day": "c_day"})  # candidates come of the same ticks
+
+
+def _day(tape: pa.Table) -> list[np.ndarray]:
+    """seq, us, sod and px of a day's ticks in order."""
+    order = np.argsort(tape.column("seq").to_numpy(), kind="stable")
+    return [tape.column(c).to_numpy()[order] for c in ("seq", "us", "sod", "px_ticks")]
+
+
+def _listed(asked: pa.Table, seq: np.ndarray) -> Iterator[tuple[int, int, dict]]:
+    """(place among the ticks, number at its tick, candidate) in order of seq, stop, target."""
+    rows = sorted(asked.to_pylist(), key=lambda c: (c["seq"], *((c[k] is None, c[k] or 0.0) for k in ("stop", "target", "limit_px", "be_px")), c["dir"]))
+    at = np.searchsorted(seq, [c["seq"] for c in rows])
+    no, last = 0, None
+    for i, c in zip(at.tolist(), rows):
+        no, last = (no + 1 if c["seq"] == last else 0), c["seq"]
+        if i < len(seq) and seq[i] == c["seq"] and c["stop"] is not None and c["target"] is not None:
+            yield i, no, c
+
+
 def exits(ticks: DataFrame, candidates: DataFrame, rules: FillRules) -> DataFrame:
     """Every candidate's exit (schema EXIT), each as if it were alone.
 
     candidates: contract, cal_day, entry_seq, dir, stop, target and optionally
-    limit_px, be_px. cand_no numbers the candidates of a tick by stop and target.
+    limit_px, be_px and combo_no, which the result then has too. cand_no numbers the
+    candidates of a tick by stop and target. A candidate of no tick, or without stop or
+    target, is not taken; repeated ones are one.
     """
-    extra = [c for c in ("limit_px", "be_px") if c in candidates.columns]
-    cand = candidates.select("contract", "cal_day", F.col("entry_seq").alias("seq"), F.struct(*[F.col(c).cast("double").alias(c) for c in ("stop", "target", *extra)], F.col("dir").cast("int").alias("dir")).alias("c"))
-    cand = cand.groupBy("contract", "cal_day", "seq").agg(F.sort_array(F.collect_list("c")).alias("cands"))
-    days = cand.select("contract", "cal_day").distinct()
-    laid = ticks.select("contract", "cal_day", "seq", "us", "sod", "px_ticks").join(days, ["contract", "cal_day"], "left_semi").join(cand, ["contract", "cal_day", "seq"], "left")
+    tape, cand = _sides(ticks, candidates)
+    schema = EXIT + ", combos array<long>"
 
-    def run(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values("seq", ignore_index=True)
-        seq, us, sod, px = (day[c].to_numpy() for c in ("seq", "us", "sod", "px_ticks"))
+    def run(day: pa.Table, asked: pa.Table) -> pa.Table:
         rows = []
-        for i, found in enumerate(day["cands"]):
-            if found is None or not hasattr(found, "__len__"):
-                continue
-            for no, c in enumerate(found):
-                c = c if isinstance(c, dict) else c.asDict()
-                got = walk(seq, us, sod, px, i, int(c["dir"]), c["stop"], c["target"], c.get("limit_px"), c.get("be_px"), rules)
+        if day.num_rows and asked.num_rows:
+            contract, date = asked.column("c_contract")[0].as_py(), asked.column("c_day")[0].as_py()
+            seq, us, sod, px = _day(day)
+            for i, no, c in _listed(asked, seq):
+                got = walk(seq, us, sod, px, i, c["dir"], c["stop"], c["target"], c["limit_px"], c["be_px"], rules)
                 if got:
                     k, fill, out, reason, low, high, fall = got
-                    rows.append((day["contract"].iloc[0], day["cal_day"].iloc[0], no, seq[i], us[i], int(c["dir"]), fill, seq[k], us[k], out, reason, low, high, fall))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in EXIT.split(", ")])
+                    rows.append((contract, date, no, int(seq[i]), int(us[i]), c["dir"], fill, int(seq[k]), int(us[k]), out, reason, low, high, fall, c["combos"]))
+        return _table(rows, schema)
 
-    return laid.groupBy("contract", "cal_day").applyInPandas(run, EXIT)
+    found = tape.groupBy("contract", "cal_day").cogroup(cand.groupBy("c_contract", "c_day")).applyInArrow(run, schema)
+    if "combo_no" in candidates.columns:
+        return found.withColumn("combo_no", F.explode("combos")).drop("combos")
+    return found.drop("combos")
 
 
-def one_at_a_time(found: DataFrame, cooldown_min: int) -> DataFrame:
+def one_at_a_time(found: DataFrame, cooldown_min: float) -> DataFrame:
     """The exits that become trades: the next candidate at or after the time at which
-    the last one's exit and the cooldown are over, in order of (entry_seq, cand_no)."""
+    the last one's exit and the cooldown are over, in order of (entry_seq, cand_no), in
+    each contract, and each combination if there are several."""
 
     def step(state: list, row: object) -> Iterator[tuple]:
         if row.entry_us >= state[0]:
-            state[0] = row.exit_us + cooldown_min * MINUTE_US
+            state[0] = row.exit_us + int(cooldown_min * MINUTE_US)
             yield tuple(row)
 
-    return ordered_fold(found, ["contract"], ["entry_seq", "cand_no"], lambda: [-(2**62)], step, EXIT)
+    key = ["contract"] if "combo_no" not in found.columns else ["combo_no", "contract"]
+    return ordered_fold(found, key, ["entry_seq", "cand_no"], lambda: [-(2**62)], step, EXIT + (", combo_no long" if len(key) > 1 else ""))
 
 
 def resolve(ticks: DataFrame, candidates: DataFrame, rules: FillRules = FillRules(), governor_day: Column | None = None) -> DataFrame:
@@ -162,36 +209,42 @@ def _governed(ticks: DataFrame, candidates: DataFrame, rules: FillRules, governo
     all days of a contract with candidates are one task's work and memory. A position
     ends with its cal_day's ticks, as in exits, and counts for the day of its entry.
     """
-    extra = [c for c in ("limit_px", "be_px") if c in candidates.columns]
-    fields = F.struct(*[F.col(c).cast("double").alias(c) for c in ("stop", "target", *extra)], F.col("dir").cast("int").alias("dir"))
-    cand = candidates.select("contract", "cal_day", F.col("entry_seq").alias("seq"), fields.alias("c")).groupBy("contract", "cal_day", "seq").agg(F.sort_array(F.collect_list("c")).alias("cands"))
-    days = cand.select("contract", "cal_day").distinct()
     gday = F.col("cal_day") if governor_day is None else governor_day
-    laid = ticks.select("contract", "cal_day", gday.alias("gday"), "seq", "us", "sod", "px_ticks").join(days, ["contract", "cal_day"], "left_semi").join(cand, ["contract", "cal_day", "seq"], "left")
-
-    def run(held: pd.DataFrame) -> pd.DataFrame:
-        rows, free, total, locked, now = [], -(2**62), 0.0, False, None
-        for date, tape in held.groupby("cal_day", sort=True):
-            tape = tape.sort_values("seq", ignore_index=True)
-            seq, us, sod, px = (tape[c].to_numpy() for c in ("seq", "us", "sod", "px_ticks"))
-            for i, found in enumerate(tape["cands"]):
-                if found is None or not hasattr(found, "__len__"):
-                    continue
-                if now != tape["gday"][i]:
-                    now, total, locked = tape["gday"][i], 0.0, False
-                for no, c in enumerate(found):
-                    if locked or us[i] < free:
+    tape, cand = _sides(ticks, candidates, gday.alias("gday"))
+    schema = EXIT + (", combo_no long" if "combo_no" in candidates.columns else "")
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        rows = []
+        if not held.num_rows or not asked.num_rows:
+            return _table(rows, schema)
+        contract = asked.column("c_contract")[0].as_py()
+        days, asked_days = held.column("cal_day").to_pylist(), asked.column("c_day").to_pylist()
+        states: dict[int, dict] = {}
+        for date in sorted(set(asked_days)):
+            part = held.filter(pa.array([x == date for x in days]))
+            if not part.num_rows:
+                continue
+            seq, us, sod, px = _day(part)
+            place = np.argsort(part.column("seq").to_numpy(), kind="stable")
+            gdays = part.column("gday")
+            for i, no, c in _listed(asked.filter(pa.array([x == date for x in asked_days])), seq):
+                now = gdays[int(place[i])].as_py()
+                for combo in sorted(c["combos"]):
+                    st = states.setdefault(combo, {"free": -(2**62), "now": None})
+                    if st["now"] != now:
+                        st.update(now=now, total=0.0, locked=False)
+                    if st["locked"] or us[i] < st["free"]:
                         continue
-                    c = c if isinstance(c, dict) else c.asDict()
-                    d = int(c["dir"])
-                    got = walk(seq, us, sod, px, i, d, c["stop"], c["target"], c.get("limit_px"), c.get("be_px"), rules, total)
+                    d = c["dir"]
+                    got = walk(seq, us, sod, px, i, d, c["stop"], c["target"], c["limit_px"], c["be_px"], rules, st["total"])
                     if not got:
                         continue
                     k, fill, out, reason, low, high, fall = got
-                    rows.append((tape["contract"].iloc[0], date, no, seq[i], us[i], d, fill, seq[k], us[k], out, reason, low, high, fall))
-                    free = us[k] + rules.cooldown_min * MINUTE_US
-                    total += d * (out - fill)
+                    rows.append((contract, date, no, int(seq[i]), int(us[i]), d, fill, int(seq[k]), int(us[k]), out, reason, low, high, fall, combo)[:len(schema.split(", "))])
+                    total = st["total"] + d * (out - fill) - rules.commission
                     locked = reason == "governor" or (rules.day_target is not None and total >= rules.day_target) or (rules.day_loss is not None and total <= -rules.day_loss)
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in EXIT.split(", ")])
+                    st.update(free=int(us[k] + rules.cooldown_min * MINUTE_US), total=total, locked=locked)
+        return _table(rows, schema)
 
-    return laid.groupBy(*(["contract", "cal_day"] if governor_day is None else ["contract"])).applyInPandas(run, EXIT)
+    key = ["contract", "cal_day"] if governor_day is None else ["contract"]
+    return tape.groupBy(*key).cogroup(cand.groupBy(*["c_contract", "c_day"][:len(key)])).applyInArrow(run, schema)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..plans.ranking import bucketed_prior
 
 
-def pair_executions(executions: DataFrame, key: str = "account") -> DataFrame:
-    """Entry and exit of each round trip.
+def pair_executions(executions: DataFrame, key: tuple[str, ...] = ("account", "instrument")) -> DataFrame:
+    """Entry and exit of each round trip of one account in one instrument.
 
     A later entry replaces an open one and an exit closes it, so an exit pairs with
     the entry exactly where the entry is the row before it among entries and exits.
@@ -17,8 +17,8 @@ def pair_executions(executions: DataFrame, key: str = "account") -> DataFrame:
     """
     rows = executions.where("is_entry or is_exit")
     prior = {"seq": "p_seq", "us": "p_us", "action": "p_action", "is_entry": "p_entry"}
-    rows = bucketed_prior(rows, [key], "us", 86_400_000_000, prior, ("seq",)).where("not is_entry and p_entry")
-    return rows.select(key, F.col("p_seq").alias("entry_seq"), F.col("seq").alias("exit_seq"), F.col("p_action").alias("entry_action"), F.col("action").alias("exit_action"), (F.col("us") - F.col("p_us")).alias("held_us"))
+    rows = bucketed_prior(rows, [*key], "us", 86_400_000_000, prior, ("seq",)).where("not is_entry and p_entry")
+    return rows.select(*key, F.col("p_seq").alias("entry_seq"), F.col("seq").alias("exit_seq"), F.col("p_action").alias("entry_action"), F.col("action").alias("exit_action"), (F.col("us") - F.col("p_us")).alias("held_us"))
 
 
 def side_check(pairs: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def attributed(pairs: DataFrame, bridge: DataFrame) -> DataFrame:
     e = bridge.select(F.col("execution").alias("entry_seq"), F.col("strategy").alias("se"))
     x = bridge.select(F.col("execution").alias("exit_seq"), F.col("strategy").alias("sx"))
     out = pairs.join(e, "entry_seq", "left").join(x, "exit_seq", "left")
-    return out.select("account", "entry_seq", "exit_seq", F.coalesce("se", "sx", F.lit("?")).alias("strategy"))
+    return out.select("account", "instrument", "entry_seq", "exit_seq", F.coalesce("se", "sx", F.lit("?")).alias("strategy"))
 
 
 def longest_prefix(names: DataFrame, prefixes: DataFrame, name: str) -> DataFrame:
@@ -44,10 +44,15 @@ def longest_prefix(names: DataFrame, prefixes: DataFrame, name: str) -> DataFram
     return names.join(best, name, "left").withColumn("label", F.coalesce("label", F.lit("?")))
 
 
-def fidelity(bar_type: str = "bar_type", tick_replay: str = "tick_replay", resolution: str = "fill_resolution", kind: str = "fill_resolution_type") -> Column:
-    """How far a run's fills can be trusted: exact on ticks, guessed on bars, else unknown."""
-    on_ticks = (F.lower(F.col(resolution)) == "high") & (F.lower(F.col(kind)) == "tick")
-    return (F.when(F.col(resolution).isNull() & F.col(bar_type).isNull(), "unknown").when(on_ticks | (F.lower(F.col(bar_type)) == "tick"), "exact").when(F.col(resolution).isNotNull() | F.col(tick_replay).isNotNull(), "fills-guessed").otherwise("unknown"))
+def fidelity() -> Column:
+    """How far the fills of a run (columns source, fill_resolution, fill_resolution_type,
+    fill_resolution_value, bar_type, bar_value) can be trusted: 'unknown' where they were
+    not recorded, 'exact' if they were resolved on single ticks, by High resolution of one
+    tick or on bars of one tick, else 'fills-guessed'. High alone is not tick resolution."""
+    one = lambda c: F.coalesce(F.col(c), F.lit(0.0)) <= 1
+    fine = F.coalesce((F.col("fill_resolution") == "High") & (F.col("fill_resolution_type") == "Tick") & one("fill_resolution_value"), F.lit(False))
+    bars = F.coalesce((F.col("bar_type") == "Tick") & one("bar_value"), F.lit(False))
+    return F.when(F.col("fill_resolution").isNull() | F.coalesce(F.col("source") == "nt8-performance-metric", F.lit(False)), "unknown").when(fine | bars, "exact").otherwise("fills-guessed")
 
 
 def capture_level(source: str = "source", resolution: str = "fill_resolution") -> Column:
@@ -74,23 +79,52 @@ def dedup_runs(runs: DataFrame, key: list[str], label: str, order: str) -> DataF
     return best.unionByName(runs.where(~whole)).select(*names)
 
 
-def cost_basis(runs: DataFrame) -> DataFrame:
-    """Whether a run's total agrees with its gross, with its net result, or with neither:
-    tolerance the larger of 1 and half a percent."""
-    gross = F.col("perf_gross_profit") + F.col("perf_gross_loss")
-    tol = F.greatest(F.lit(1.0), F.abs(F.col("perf_cum_profit")) * 0.005)
-    return runs.withColumn("basis", F.when(gross.isNull() | F.col("perf_cum_profit").isNull(), "unknown").when(F.abs(gross - F.col("perf_cum_profit")) <= tol, "gross").when(gross > F.col("perf_cum_profit"), "net").otherwise("neither"))
+def cost_basis(runs: DataFrame, trades: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, basis, subtract_costs): whether the profits of a run's trades already bear
+    commission and fee, told by the run's own totals.
+
+    trades: run, profit, commission, fee (null counts as zero); a run without trades has
+    sums of zero. 'net': the sum of the profits is the total, and the costs are more than
+    the tolerance, the larger of 1 and half a percent; 'gross': it is gross profit plus
+    gross loss; 'no totals': none is recorded; else 'unreconciled'. Costs are still to be
+    taken off in all but the first.
+    """
+    zero = lambda c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0))
+    sums = trades.select(run, zero("profit").alias("p"), (zero("commission") + zero("fee")).alias("c")).groupBy(run).agg(F.sum("p").alias("_profit"), F.sum("c").alias("_costs"))
+    rows = runs.join(sums, run, "left").fillna(0.0, ["_profit", "_costs"])
+    tol = F.greatest(F.lit(1.0), 0.005 * F.abs("_profit"))
+    near = lambda c: F.coalesce(F.abs(F.col("_profit") - c) <= tol, F.lit(False))
+    none = F.col("perf_cum_profit").isNull() & F.col("perf_gross_profit").isNull() & F.col("perf_gross_loss").isNull()
+    basis = F.when(near(F.col("perf_cum_profit")) & (F.col("_costs") > tol), "net").when(near(F.col("perf_gross_profit") + F.col("perf_gross_loss")), "gross").when(none, "no totals").otherwise("unreconciled")
+    return rows.select(run, basis.alias("basis"), (basis != "net").alias("subtract_costs"))
+
+
+#: Words of a variant's name that say nothing of its family, and that mark it as no longer sold.
+GENERIC = ("eval", "evaluation", "funded", "sim", "s2f", "account", "path", "default", "plan", "current")
+RETIRED = ("retired", "legacy", "sunset")
 
 
 def phase_chain(contracts: DataFrame) -> DataFrame:
-    """For each evaluation contract the funded one that follows: same variant, else the
-    one of the family that shares most words of its name, then the nearest drawdown,
-    then name. One row per evaluation with quality exact, family or none."""
-    words = lambda c: F.array_distinct(F.split(F.lower(F.col(c)), r"[^a-z0-9]+"))
-    e = contracts.where("phase = 'evaluation'").select("family", "variant", "size", "max_dd", words("variant").alias("w"))
-    f = contracts.where("phase = 'funded_sim'").select(F.col("family").alias("ff"), F.col("variant").alias("fv"), F.col("max_dd").alias("fdd"), words("variant").alias("fw"))
-    rows = e.join(f, F.col("family") == F.col("ff"), "left")
-    shared = F.coalesce(F.size(F.array_intersect("w", "fw")), F.lit(0))
-    rows = rows.withColumn("k", F.struct((F.col("fv") != F.col("variant")).alias("a"), (-shared).alias("b"), F.abs(F.col("max_dd") - F.col("fdd")).alias("c"), F.col("fv").alias("d")))
-    out = rows.groupBy("family", "variant", "size").agg(F.min(F.when(F.col("fv").isNotNull(), F.col("k"))).alias("k"))
-    return out.select("family", "variant", "size", F.col("k.d").alias("next_variant"), F.when(F.col("k").isNull(), "none").when(~F.col("k.a"), "exact").otherwise("family").alias("quality"))
+    """(firm, variant, size, next_variant, quality) for each evaluation contract: the funded
+    one of the firm and size that follows.
+
+    contracts: firm, variant, phase, size, max_dd. The same variant is 'exact'. Else, among
+    those not retired if there are any, the one whose name shares the most family words,
+    then equal drawdown, then the one offered in most sizes, then by name: 'family' if a
+    word is shared, else 'inferred'. 'none' without any funded contract of the size.
+    """
+    stem = lambda c: F.array_except(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), "-", "_"), "_"), lambda w: w != "")), F.array(*map(F.lit, GENERIC)))
+    rows = contracts.where("firm is not null and variant is not null and size is not null")
+    e = rows.where("phase = 'evaluation'").groupBy("firm", "variant", "size").agg(F.first("max_dd").alias("max_dd"))
+    f = rows.where("phase = 'funded_sim'").groupBy("firm", F.col("variant").alias("v"), "size").agg(F.first("max_dd").alias("dd"))
+    sizes = f.groupBy("firm", "v").agg(F.count(F.lit(1)).alias("n"))
+    retired = F.lit(False)
+    for word in RETIRED:
+        retired = retired | F.lower("v").contains(word)
+    f = f.join(sizes, ["firm", "v"]).withColumn("retired", retired)
+    shared = F.coalesce(F.size(F.array_intersect(stem(F.col("variant")), stem(F.col("v")))), F.lit(0))
+    # Retired ones come last of all, so they are taken only where there is nothing else; the same name goes first.
+    order = F.struct((F.col("v") != F.col("variant")).alias("a"), F.col("retired").alias("b"), (-shared).alias("c"), (~F.col("dd").eqNullSafe(F.col("max_dd"))).alias("d"), (-F.col("n")).alias("e"), F.col("v").alias("f"))
+    best = e.join(f, ["firm", "size"], "left").groupBy("firm", "variant", "size").agg(F.min(F.when(F.col("v").isNotNull(), order)).alias("k"))
+    quality = F.when(F.col("k").isNull(), "none").when(~F.col("k.a"), "exact").when(F.col("k.c") < 0, "family").otherwise("inferred")
+    return best.select("firm", "variant", "size", F.col("k.f").alias("next_variant"), quality.alias("quality"))

@@ -40,6 +40,29 @@ def ma_cross(bars: DataFrame, fast: int = 20, slow: int = 60, stop_ticks: int =
     return bracket(rows, F.col("next_o"), stop_ticks, rr).select(*COLUMNS)
 
 
+def ma_cross_grid(bars: DataFrame, combos: DataFrame) -> DataFrame:
+    """``ma_cross`` for every combination at once: candidates with combo_no.
+
+    combos: combo_no, fast, slow, stop_ticks, rr; a small table. The averages of each
+    different length are made once, out of running sums joined ``length`` bars apart;
+    combinations then are a column of the bars, not plans of their own.
+    """
+    w = series().rowsBetween(Window.unboundedPreceding, 0)
+    run = bars.select("contract", "bar_no", F.sum("c").over(w).alias("s"))
+    lengths = combos.select(F.explode(F.array(F.col("fast").cast("long"), F.col("slow").cast("long"))).alias("n")).distinct()
+    early = run.select("contract", F.col("bar_no").alias("b"), F.col("s").alias("p"))
+    sums = run.join(lengths, F.col("bar_no") >= F.col("n") - 1).withColumn("b", F.col("bar_no") - F.col("n")).join(early, ["contract", "b"], "left")
+    sums = sums.select("contract", "bar_no", "n", (F.col("s") - F.coalesce("p", F.lit(0))).alias("t"))
+    fast = combos.join(sums, F.col("fast") == F.col("n")).select("combo_no", "fast", "slow", "stop_ticks", "rr", "contract", "bar_no", F.col("t").alias("tf"))
+    slow = sums.select(F.col("contract"), F.col("bar_no"), F.col("n").cast("double").alias("slow"), F.col("t").alias("ts"))
+    both = fast.join(slow, ["contract", "bar_no", "slow"]).withColumn("up", F.col("tf") * F.col("slow") > F.col("ts") * F.col("fast"))
+    both = both.withColumn("was", F.lag("up").over(Window.partitionBy("combo_no", "contract").orderBy("bar_no")))
+    turned = both.where("bar_no >= slow and up != was")
+    rows = turned.join(next_bar(bars).where("next_seq is not null").select("contract", "cal_day", "bar_no", "next_seq", "next_o"), ["contract", "bar_no"])
+    d = F.when(F.col("up"), 1).otherwise(-1)
+    return rows.select("combo_no", "contract", "cal_day", F.col("next_seq").alias("entry_seq"), d.alias("dir"), (F.col("next_o") - d * F.col("stop_ticks")).alias("stop"), (F.col("next_o") + d * F.col("stop_ticks") * F.col("rr")).cast("double").alias("target"))
+
+
 def orb(ticks: DataFrame, range_min: int = 15, stop_ticks: int = 40, rr: float = 2.0, one_per_day: bool = True) -> DataFrame:
     """Break of the opening range by the tape's clock; independent of any bar size."""
     after = ticks.where(F.col("sod") >= 34_200 + range_min * 60)
@@ -66,8 +89,9 @@ def tick_bars(ticks: DataFrame, bars: DataFrame, period: int) -> DataFrame:
     return ticks.withColumn("slot", div("sod", period)).join(bars.select("contract", "cal_day", "slot", "bar_no"), ["contract", "cal_day", "slot"])
 
 
-def fvg(ticks: DataFrame, bars: DataFrame, period: int, min_ticks: int = 8, expiry: int = 12, stop_ticks: int = 40, rr: float = 2.0) -> DataFrame:
-    """Limit entry at the near edge of a three-bar gap, until it expires or the day ends."""
+def fvg(ticks: DataFrame, bars: DataFrame, period: int, min_ticks: int = 8, expiry: int = 12, stop_ticks: int = 40, rr: float = 2.0, one_per_day: bool = False) -> DataFrame:
+    """Limit entry at the near edge of a three-bar gap, until it expires or the day ends;
+    ``one_per_day`` keeps each day's first gap that is entered."""
     rows = last_bar_of_day(bars).withColumn("h2", F.lag("h", 2).over(series())).withColumn("l2", F.lag("l", 2).over(series()))
     bull, bear = F.col("l") - F.col("h2") >= min_ticks, F.col("l2") - F.col("h") >= min_ticks
     rows = rows.where(bull | bear).select("contract", "cal_day", F.col("bar_no").alias("gap_bar"), F.when(bull, 1).otherwise(-1).alias("dir"), F.when(bull, F.col("l")).otherwise(F.col("h")).alias("limit_px"), F.least(F.col("bar_no") + expiry, F.col("last_bar")).alias("until"))
@@ -75,6 +99,8 @@ def fvg(ticks: DataFrame, bars: DataFrame, period: int, min_ticks: int = 8, expi
     rows = rows.where("gap_bar < until").withColumn("bar_no", F.explode(F.sequence(F.col("gap_bar") + 1, F.col("until"))))
     hits = tick_bars(ticks, bars, period).join(rows, ["contract", "cal_day", "bar_no"]).where("dir * (px_ticks - limit_px) <= 0")
     out = hits.groupBy("contract", "cal_day", "gap_bar", "dir", "limit_px").agg(F.min("seq").alias("entry_seq"))
+    if one_per_day:
+        out = out.groupBy("contract", "cal_day").agg(F.min(F.struct("gap_bar", "dir", "limit_px", "entry_seq")).alias("x")).select("contract", "cal_day", "x.*")
     return bracket(out, F.col("limit_px"), stop_ticks, rr).select(*COLUMNS, "limit_px", "gap_bar")
 
 

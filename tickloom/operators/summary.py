@@ -79,14 +79,18 @@ def daily_rows(trades: DataFrame) -> DataFrame:
         _r(F.avg(F.col("mfe_c") - F.col("pnl_c"))).alias("avg_etd_c"), F.max(fall_bound()).alias("max_fall_c"))
 
 
-def subperiods(trades: DataFrame, parts: int = 3) -> DataFrame:
-    """Result of contiguous blocks of each account's trading dates, edges rounded half to even."""
-    days = daily_pnl(trades)
-    w = Window.partitionBy("account")
-    days = days.withColumn("i", F.row_number().over(w.orderBy("d")) - 1).withColumn("m", F.count(F.lit(1)).over(w))
-    edge = lambda k: F.bround(F.lit(float(k)) * F.col("m") / parts)
-    cols = [F.coalesce(F.sum(F.when((F.col("i") >= edge(k)) & (F.col("i") < edge(k + 1)), F.col("pnl_c"))), F.lit(0)).alias(f"part_{k + 1}_c") for k in range(parts)]
-    return days.groupBy("account").agg(*cols)
+def subperiods(trades: DataFrame, key: str = "account", day: str = "d", value: str = "pnl_c", parts: int = 3) -> DataFrame:
+    """(key, part_1.., positive): result of contiguous blocks of each key's trading dates,
+    edges rounded half to even, and how many are above zero. With fewer dates than parts
+    all is in the first one. The window holds a row per date of a key."""
+    days = trades.groupBy(key, day).agg(F.sum(value).alias("_v"))
+    w = Window.partitionBy(key)
+    days = days.withColumn("i", F.row_number().over(w.orderBy(day)) - 1).withColumn("m", F.count(F.lit(1)).over(w))
+    edge = lambda k: F.when(F.col("m") < parts, F.lit(0.0 if k == 0 else 1e18)).otherwise(F.bround(F.lit(float(k)) * F.col("m") / parts) if k < parts else F.lit(1e18))
+    zero = F.lit(0).cast(dict(days.dtypes)["_v"])
+    cols = [F.coalesce(F.sum(F.when((F.col("i") >= edge(k)) & (F.col("i") < edge(k + 1)), F.col("_v"))), zero).alias(f"part_{k + 1}_c") for k in range(parts)]
+    out = days.groupBy(key).agg(*cols)
+    return out.withColumn("positive", sum((F.col(f"part_{k + 1}_c") > 0).cast("int") for k in range(parts)))
 
 
 def day_pool(trades: DataFrame) -> DataFrame:

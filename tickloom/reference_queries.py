@@ -313,11 +313,15 @@ f AS (SELECT e.*, CASE WHEN hit IS NULL THEN coalesce(s_last, entry_seq) WHEN hi
 x AS (SELECT f.*, t.us AS exit_us, CASE reason WHEN 'stop' THEN CASE WHEN dir > 0 THEN least(stop, px_ticks) ELSE greatest(stop, px_ticks) END WHEN 'target' THEN target ELSE px_ticks END - dir * 2.0 AS exit_px,
   row_number() OVER (PARTITION BY f.contract ORDER BY entry_seq, no) AS rn FROM f JOIN tk t ON t.contract = f.contract AND t.seq = f.exit_seq),
 nx AS (SELECT a.contract, a.rn, min(b.rn) AS nxt FROM x a JOIN x b ON b.contract = a.contract AND b.rn > a.rn AND b.us0 >= a.exit_us + 300000000 GROUP BY ALL),
-g AS (SELECT contract, CAST(1 AS BIGINT) AS rn FROM x WHERE rn = 1 UNION ALL SELECT g.contract, nx.nxt FROM g JOIN nx ON nx.contract = g.contract AND nx.rn = g.rn)
-SELECT x.contract, entry_seq, dir, CAST(fill AS DOUBLE) AS fill, exit_seq, CAST(exit_px AS DOUBLE) AS exit_px, reason, CAST(dir * (exit_px - fill) AS DOUBLE) AS pnl FROM g JOIN x ON x.contract = g.contract AND x.rn = g.rn"""
+g AS (SELECT contract, CAST(1 AS BIGINT) AS rn FROM x WHERE rn = 1 UNION ALL SELECT g.contract, nx.nxt FROM g JOIN nx ON nx.contract = g.contract AND nx.rn = g.rn),
+tr AS (SELECT x.* FROM g JOIN x ON x.contract = g.contract AND x.rn = g.rn),
+pa AS (SELECT tr.contract, tr.rn, tk.seq, tr.dir * (tk.px_ticks - tr.fill) AS v FROM tr JOIN tk ON tk.contract = tr.contract AND tk.seq > tr.entry_seq AND tk.seq <= tr.exit_seq UNION ALL SELECT contract, rn, entry_seq, 0 FROM tr),
+pm AS (SELECT contract, rn, v, max(v) OVER (PARTITION BY contract, rn ORDER BY seq ROWS UNBOUNDED PRECEDING) - v AS f FROM pa),
+lh AS (SELECT contract, rn, CAST(min(v) AS DOUBLE) AS low, CAST(max(v) AS DOUBLE) AS high, CAST(max(f) AS DOUBLE) AS fall FROM pm GROUP BY ALL)
+SELECT tr.contract, entry_seq, dir, CAST(fill AS DOUBLE) AS fill, exit_seq, CAST(exit_px AS DOUBLE) AS exit_px, reason, low, high, fall, CAST(dir * (exit_px - fill) AS DOUBLE) AS pnl FROM tr JOIN lh ON lh.contract = tr.contract AND lh.rn = tr.rn"""
 
 
-TRADE = ("contract", "entry_seq", "dir", "fill", "exit_seq", "exit_px", "reason", "pnl")
+TRADE = ("contract", "entry_seq", "dir", "fill", "exit_seq", "exit_px", "reason", "low", "high", "fall", "pnl")
 
 
 @query("o108_resolve_ma_cross", resolve_sql(CROSS, "tk.px_ticks + dir * 2.0"))
@@ -337,7 +341,7 @@ def o108_fvg(spark, d):
 
 @query("o108_resolve_governed")
 def o108_governed(spark, d):
-    rules = X.FillRules(slip=2.0, max_gap_s=3600, day_target=100.0, day_loss=60.0)
+    rules = X.FillRules(slip=2.0, cooldown_min=5, max_gap_s=3600, day_target=100.0, day_loss=60.0)
     return X.resolve(_ticks(spark, d), _cross(spark, d), rules).select(*TRADE)
 
 
@@ -382,9 +386,15 @@ def o66(spark, d):
     return _text(T.daily_rows(_trades(spark, d)), "d")
 
 
+#: Thirds of the trading dates; below three dates all is in the first.
+PARTS = """e AS (SELECT *, CASE WHEN m < 3 THEN 9 ELSE round_even(m / 3, 0) END AS e1, CASE WHEN m < 3 THEN 9 ELSE round_even(2 * m / 3, 0) END AS e2 FROM n),
+s3 AS (SELECT account, CAST(coalesce(sum(p) FILTER (i < e1), 0) AS BIGINT) AS part_1_c, CAST(coalesce(sum(p) FILTER (i >= e1 AND i < e2), 0) AS BIGINT) AS part_2_c, CAST(coalesce(sum(p) FILTER (i >= e2), 0) AS BIGINT) AS part_3_c FROM e GROUP BY account),
+sp3 AS (SELECT *, CAST(part_1_c > 0 AS INT) + CAST(part_2_c > 0 AS INT) + CAST(part_3_c > 0 AS INT) AS positive FROM s3)"""
+
+
 @query("o67_subperiods", f"""WITH {TRADES}, dy AS (SELECT account, d, sum(pnl_c) AS p FROM trades_c GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY account) AS m FROM dy),
-e AS (SELECT *, round_even(m / 3, 0) AS e1, round_even(2 * m / 3, 0) AS e2 FROM n)
-SELECT account, CAST(coalesce(sum(p) FILTER (i < e1), 0) AS BIGINT) AS part_1_c, CAST(coalesce(sum(p) FILTER (i >= e1 AND i < e2), 0) AS BIGINT) AS part_2_c, CAST(coalesce(sum(p) FILTER (i >= e2), 0) AS BIGINT) AS part_3_c FROM e GROUP BY account""")
+{PARTS}
+SELECT account, part_1_c, part_2_c, part_3_c, positive FROM sp3""")
 def o67(spark, d):
     return T.subperiods(_trades(spark, d))
 
@@ -499,8 +509,8 @@ def o36(spark, d):
 
 # ---- joins on executions and runs --------------------------------------------------------
 
-PAIRS = f"""{EXECUTIONS}, ex AS (SELECT *, lag(seq) OVER w AS ps, lag(us) OVER w AS pu, lag(action) OVER w AS pa, lag(is_entry) OVER w AS pe FROM executions WHERE is_entry OR is_exit WINDOW w AS (PARTITION BY account ORDER BY us, seq)),
-pairs AS (SELECT account, ps AS entry_seq, seq AS exit_seq, pa AS entry_action, action AS exit_action, us - pu AS held_us FROM ex WHERE NOT is_entry AND pe)"""
+PAIRS = f"""{EXECUTIONS}, ex AS (SELECT *, lag(seq) OVER w AS ps, lag(us) OVER w AS pu, lag(action) OVER w AS pa, lag(is_entry) OVER w AS pe FROM executions WHERE is_entry OR is_exit WINDOW w AS (PARTITION BY account, instrument ORDER BY us, seq)),
+pairs AS (SELECT account, instrument, ps AS entry_seq, seq AS exit_seq, pa AS entry_action, action AS exit_action, us - pu AS held_us FROM ex WHERE NOT is_entry AND pe)"""
 
 
 def _pairs(spark, d):
@@ -525,7 +535,7 @@ def o37(spark, d):
 
 
 @query("o38_strategy_attribution", f"""WITH {PAIRS}, br AS (SELECT event_id AS execution, concat('S', user_id % 9) AS strategy FROM events WHERE event_id % 3 = 0)
-SELECT account, entry_seq, exit_seq, coalesce(a.strategy, b.strategy, '?') AS strategy FROM pairs LEFT JOIN br a ON a.execution = entry_seq LEFT JOIN br b ON b.execution = exit_seq""")
+SELECT account, instrument, entry_seq, exit_seq, coalesce(a.strategy, b.strategy, '?') AS strategy FROM pairs LEFT JOIN br a ON a.execution = entry_seq LEFT JOIN br b ON b.execution = exit_seq""")
 def o38(spark, d):
     bridge = table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("execution"), F.concat(F.lit("S"), F.pmod("user_id", F.lit(9))).alias("strategy"))
     return M.attributed(_pairs(spark, d), bridge)
@@ -541,11 +551,28 @@ def o47(spark, d):
     return M.longest_prefix(table(spark, d, "accounts").select("account"), p, "account")
 
 
-@query("o48_phase_chain")
+#: Synthetic variants of accounts: families with a phase word, plain ones, retired ones.
+CONTRACTS = """ct AS (SELECT DISTINCT CAST(provider AS VARCHAR) AS firm, phase, account_size AS size, account_size // 20 + account_no % 2 AS max_dd,
+  ['core', 'flex-path', 'pro', 'one', 'swift_plan'][1 + account_no % 5] || CASE WHEN phase = 'evaluation' THEN ['', '_eval', '-evaluation'][1 + account_no % 3] ELSE ['', '_funded', '_sim_account', '_legacy'][1 + account_no % 4] END AS variant
+  FROM accounts WHERE phase IS NOT NULL AND account_size IS NOT NULL AND provider IS NOT NULL)"""
+
+
+@query("o48_phase_chain", f"""WITH {CONTRACTS}, ev AS (SELECT firm, variant, size, min(max_dd) AS max_dd FROM ct WHERE phase = 'evaluation' GROUP BY ALL), fu AS (SELECT firm, variant, size, min(max_dd) AS dd FROM ct WHERE phase = 'funded_sim' GROUP BY ALL),
+sz AS (SELECT firm, variant, count(*) AS n FROM fu GROUP BY ALL),
+st AS (SELECT variant, list_filter(string_split(replace(lower(variant), '-', '_'), '_'), lambda w: w <> '' AND w NOT IN ('eval', 'evaluation', 'funded', 'sim', 's2f', 'account', 'path', 'default', 'plan', 'current')) AS w FROM (SELECT DISTINCT variant FROM ct)),
+pr AS (SELECT ev.firm, ev.variant, ev.size, fu.variant AS v, fu.variant = ev.variant AS same, regexp_matches(lower(fu.variant), 'retired|legacy|sunset') AS old, len(list_intersect(a.w, b.w)) AS shared, fu.dd <> ev.max_dd AS off, sz.n
+  FROM ev JOIN fu ON fu.firm = ev.firm AND fu.size = ev.size JOIN sz ON sz.firm = fu.firm AND sz.variant = fu.variant JOIN st a ON a.variant = ev.variant JOIN st b ON b.variant = fu.variant),
+lv AS (SELECT *, bool_or(NOT old) OVER (PARTITION BY firm, variant, size) AS any_live, bool_or(same) OVER (PARTITION BY firm, variant, size) AS any_same FROM pr),
+ch AS (SELECT *, row_number() OVER (PARTITION BY firm, variant, size ORDER BY shared DESC, off, n DESC, v) AS rn FROM lv WHERE CASE WHEN any_same THEN same ELSE NOT any_live OR NOT old END)
+SELECT ev.firm, ev.variant, ev.size, ch.v AS next_variant, CASE WHEN ch.v IS NULL THEN 'none' WHEN ch.same THEN 'exact' WHEN ch.shared > 0 THEN 'family' ELSE 'inferred' END AS quality
+FROM ev LEFT JOIN ch ON ch.firm = ev.firm AND ch.variant = ev.variant AND ch.size = ev.size AND ch.rn = 1""")
 def o48(spark, d):
-    rows = table(spark, d, "accounts").where("phase is not null and account_size is not null")
-    contracts = rows.select(F.col("provider").cast("string").alias("family"), F.concat_ws(" ", F.lit("plan"), F.pmod("account_no", F.lit(7)), F.col("account_size")).alias("variant"), F.col("account_size").alias("size"), (F.col("account_size") / 20).alias("max_dd"), "phase").distinct()
-    return M.phase_chain(contracts)
+    rows = table(spark, d, "accounts").where("phase is not null and account_size is not null and provider is not null")
+    part = lambda n, *x: F.get(F.array(*map(F.lit, x)), F.pmod("account_no", F.lit(n)).cast("int"))
+    ending = F.when(F.col("phase") == "evaluation", part(3, "", "_eval", "-evaluation")).otherwise(part(4, "", "_funded", "_sim_account", "_legacy"))
+    contracts = rows.select(F.col("provider").cast("string").alias("firm"), "phase", F.col("account_size").alias("size"), (F.floor(F.col("account_size") / 20) + F.pmod("account_no", F.lit(2))).alias("max_dd"), F.concat(part(5, "core", "flex-path", "pro", "one", "swift_plan"), ending).alias("variant"))
+    least = contracts.groupBy("firm", "variant", "phase", "size").agg(F.min("max_dd").alias("max_dd"))
+    return M.phase_chain(least)
 
 
 @query("o73_import_dedup", """WITH k AS (SELECT run_id, upper(trim(instrument)) AS ins, n_trades, perf_cum_profit AS p, lower(coalesce(strategy, 'unknown')) <> 'unknown' AS known FROM backtests),
@@ -560,67 +587,104 @@ def o73(spark, d):
     return M.dedup_runs(keyed, ["ins", "n_trades", "p", "first_entry"], "level", "run_id").select("run_id")
 
 
-@query("o135_fidelity", """SELECT run_id, CASE WHEN fill_resolution IS NULL AND bar_type IS NULL THEN 'unknown' WHEN (lower(fill_resolution) = 'high' AND lower(fill_resolution_type) = 'tick') OR lower(bar_type) = 'tick' THEN 'exact'
-  WHEN fill_resolution IS NOT NULL OR tick_replay IS NOT NULL THEN 'fills-guessed' ELSE 'unknown' END AS level FROM backtests""")
+#: Runs and, with other values of the same columns, runs that the tables lack: High resolution of wide or non-tick bars, bars of several ticks, no value.
+LEVEL = """CASE WHEN source = 'nt8-performance-metric' OR fill_resolution IS NULL THEN 'unknown' WHEN fill_resolution = 'High' AND fill_resolution_type = 'Tick' AND coalesce(fill_resolution_value, 0) <= 1 THEN 'exact'
+  WHEN bar_type = 'Tick' AND coalesce(bar_value, 0) <= 1 THEN 'exact' ELSE 'fills-guessed' END"""
+
+
+@query("o135_fidelity", f"""SELECT run_id, {LEVEL} AS level FROM backtests UNION ALL SELECT run_id || '/2', {LEVEL} FROM (SELECT run_id, source, CASE WHEN n_trades % 3 = 0 THEN 'High' WHEN n_trades % 3 = 1 THEN fill_resolution END AS fill_resolution,
+  CASE WHEN n_trades % 2 = 0 THEN 'Tick' ELSE 'Minute' END AS fill_resolution_type, CASE WHEN n_trades % 5 > 0 THEN CAST(n_trades % 5 AS DOUBLE) END AS fill_resolution_value, CASE WHEN n_trades % 7 < 3 THEN 'Tick' ELSE bar_type END AS bar_type, bar_value * (n_trades % 4) AS bar_value FROM backtests)""")
 def o135(spark, d):
-    return table(spark, d, "backtests").select("run_id", M.fidelity().alias("level"))
+    runs = table(spark, d, "backtests")
+    mod = lambda k: F.pmod("n_trades", F.lit(k))
+    other = runs.select(F.concat("run_id", F.lit("/2")).alias("run_id"), "source", F.when(mod(3) == 0, "High").when(mod(3) == 1, F.col("fill_resolution")).alias("fill_resolution"), F.when(mod(2) == 0, "Tick").otherwise("Minute").alias("fill_resolution_type"),
+                        F.when(mod(5) > 0, mod(5).cast("double")).alias("fill_resolution_value"), F.when(mod(7) < 3, "Tick").otherwise(F.col("bar_type")).alias("bar_type"), (F.col("bar_value") * mod(4)).alias("bar_value"), "n_trades")
+    return runs.select("run_id", M.fidelity().alias("level")).unionByName(other.select("run_id", M.fidelity().alias("level")))
 
 
-@query("o136_cost_basis", """WITH g AS (SELECT run_id, perf_gross_profit + perf_gross_loss AS g, perf_cum_profit AS p FROM backtests)
-SELECT run_id, CASE WHEN g IS NULL OR p IS NULL THEN 'unknown' WHEN abs(g - p) <= greatest(1.0, abs(p) * 0.005) THEN 'gross' WHEN g > p THEN 'net' ELSE 'neither' END AS basis FROM g""")
+@query("o136_cost_basis", f"""WITH {TRADES}, s AS (SELECT account, CAST(sum(pnl_c) AS DOUBLE) AS profit, CAST(sum(comm_c) AS DOUBLE) AS costs FROM trades_c GROUP BY account),
+r AS (SELECT *, CASE WHEN account % 5 IN (0, 3) THEN profit WHEN account % 5 = 1 THEN profit + 2 * abs(profit) + 9 END AS cum, CASE WHEN account % 5 IN (1, 2, 3) THEN profit * 2 - CASE WHEN account % 10 = 2 THEN abs(profit) ELSE 0 END END AS gp, CASE WHEN account % 5 IN (1, 2, 3) THEN -profit END AS gl FROM s),
+t AS (SELECT *, greatest(1.0, 0.005 * abs(profit)) AS tol FROM r),
+b AS (SELECT account, CASE WHEN abs(profit - cum) <= tol AND costs > tol THEN 'net' WHEN abs(profit - (gp + gl)) <= tol THEN 'gross' WHEN cum IS NULL AND gp IS NULL AND gl IS NULL THEN 'no totals' ELSE 'unreconciled' END AS basis FROM t)
+SELECT account AS run_id, basis, basis <> 'net' AS subtract_costs FROM b""")
 def o136(spark, d):
-    return M.cost_basis(table(spark, d, "backtests")).select("run_id", "basis")
+    """An account's trades as one run, with totals that are net, gross, neither or missing."""
+    rows = _trades(spark, d).select(F.col("account").alias("run_id"), F.col("pnl_c").cast("double").alias("profit"), F.col("comm_c").cast("double").alias("commission"), F.lit(None).cast("double").alias("fee"))
+    s = rows.groupBy("run_id").agg(F.sum("profit").alias("p"))
+    k, p = F.pmod("run_id", F.lit(5)), F.col("p")
+    runs = s.select("run_id", F.when(k.isin(0, 3), p).when(k == 1, p + 2 * F.abs(p) + 9).alias("perf_cum_profit"), F.when(k.isin(1, 2, 3), p * 2 - F.when(F.pmod("run_id", F.lit(10)) == 2, F.abs(p)).otherwise(0)).alias("perf_gross_profit"), F.when(k.isin(1, 2, 3), -p).alias("perf_gross_loss"))
+    return M.cost_basis(runs, rows)
+
+
+@query("o136_cost_basis_runs")
+def o136_runs(spark, d):
+    """The captured runs, with the profits of their listed trades under whatever names."""
+    runs = table(spark, d, "backtests")
+    return M.cost_basis(runs.dropDuplicates(["run_id"]), unified_records(runs.dropDuplicates(["run_id"]), table(spark, d, "trade_fields")))
 
 
 # ---- continuous series -------------------------------------------------------------------
 
 
 def _two(spark, d):
-    """Two contracts 960 ticks apart whose volume leadership passes in mid-month."""
+    """Two contracts, of which the later one's name sorts first, 960 ticks apart; volume
+    leadership passes in mid-month, and on some days behind that only the sooner one trades."""
     t = _ticks(spark, d)
     day = F.dayofmonth("cal_day")
     second = F.col("contract") == "F2"
-    return t.withColumn("px_ticks", F.col("px_ticks") + F.when(second, 960).otherwise(0)).withColumn("vol", F.col("vol") * F.when(second, day).otherwise(31 - day))
+    t = t.where(~(second & day.isin(24, 27)))
+    named = F.when(second, "EV 03-24").otherwise("EV 12-23")
+    return t.withColumn("px_ticks", F.col("px_ticks") + F.when(second, 960).otherwise(0)).withColumn("vol", F.col("vol") * F.when(second, day).otherwise(31 - day)).withColumn("contract", named)
 
 
-TWO = f"""{TICKS}, two AS (SELECT contract, seq, us, cal_day, px_ticks + CASE WHEN contract = 'F2' THEN 960 ELSE 0 END AS px_ticks, vol * CASE WHEN contract = 'F2' THEN day(cal_day) ELSE 31 - day(cal_day) END AS vol FROM ticks),
-dv AS (SELECT cal_day, coalesce(sum(vol) FILTER (contract = 'F1'), 0) AS v1, coalesce(sum(vol) FILTER (contract = 'F2'), 0) AS v2 FROM two GROUP BY cal_day),
-fr AS (SELECT cal_day, CASE WHEN bool_or(v2 > v1) OVER (ORDER BY cal_day ROWS UNBOUNDED PRECEDING) THEN 'F2' ELSE 'F1' END AS contract FROM dv)"""
-SPREAD = """hr AS (SELECT contract, us // 3600000000 AS cell, arg_max(px_ticks, seq) AS px FROM two GROUP BY ALL),
-sp AS (SELECT a.contract AS from_contract, b.contract AS to_contract, count(*) AS n, CASE WHEN count(*) >= 5 THEN CAST(quantile_cont(b.px - a.px, 0.5) AS DOUBLE) END AS spread FROM hr a JOIN hr b ON a.cell = b.cell AND a.contract < b.contract GROUP BY ALL)"""
+TWO = f"""{TICKS}, two AS (SELECT CASE WHEN contract = 'F2' THEN 'EV 03-24' ELSE 'EV 12-23' END AS contract, seq, us, cal_day, px_ticks + CASE WHEN contract = 'F2' THEN 960 ELSE 0 END AS px_ticks, vol * CASE WHEN contract = 'F2' THEN day(cal_day) ELSE 31 - day(cal_day) END AS vol
+  FROM ticks WHERE NOT (contract = 'F2' AND day(cal_day) IN (24, 27))),
+dv AS (SELECT cal_day, contract, CAST(right(contract, 2) AS INT) * 100 + CAST(left(right(contract, 5), 2) AS INT) AS mk, sum(vol) AS v FROM two GROUP BY ALL),
+dl AS (SELECT cal_day, row_number() OVER (ORDER BY cal_day) AS i, list(struct_pack(mk := mk, c := contract) ORDER BY v DESC, mk) AS l FROM dv GROUP BY cal_day),
+fs AS (SELECT CAST(0 AS BIGINT) AS i, struct_pack(mk := 0, c := '') AS x UNION ALL SELECT dl.i, coalesce(list_filter(dl.l, lambda y: y.mk >= fs.x.mk)[1], dl.l[1]) FROM fs JOIN dl ON dl.i = fs.i + 1),
+fr AS (SELECT dl.cal_day, fs.x.c AS contract FROM fs JOIN dl ON dl.i = fs.i)"""
+SPREAD = """rl AS (SELECT * FROM (SELECT cal_day, lag(contract) OVER (ORDER BY cal_day) AS from_contract, contract AS to_contract FROM fr) WHERE from_contract <> to_contract),
+hr AS (SELECT cal_day, contract, us // 1800000000 AS cell, arg_max(px_ticks, seq) AS px FROM two GROUP BY ALL),
+df AS (SELECT rl.cal_day, b.px - a.px AS d FROM rl JOIN hr a ON a.cal_day = rl.cal_day AND a.contract = rl.from_contract JOIN hr b ON b.cal_day = rl.cal_day AND b.contract = rl.to_contract AND b.cell = a.cell),
+sp AS (SELECT rl.cal_day, rl.from_contract, rl.to_contract, count(d) AS n, CASE WHEN count(d) >= 5 THEN CAST(quantile_cont(d, 0.5) AS DOUBLE) END AS spread FROM rl LEFT JOIN df USING (cal_day) GROUP BY ALL)"""
 
 
-@query("o56_front_months", f"WITH {TWO} SELECT CAST(cal_day AS VARCHAR) AS cal_day, contract FROM fr")
+@query("o56_front_months", f"WITH RECURSIVE {TWO} SELECT CAST(cal_day AS VARCHAR) AS cal_day, contract FROM fr")
 def o56(spark, d):
     return _text(C.front_contracts(B.daily_volume(_two(spark, d))), "cal_day")
 
 
-@query("o57_roll_spread", f"WITH {TWO}, {SPREAD} SELECT * FROM sp")
+@query("o57_roll_spread", f"WITH RECURSIVE {TWO}, {SPREAD} SELECT CAST(cal_day AS VARCHAR) AS cal_day, from_contract, to_contract, n, spread FROM sp")
 def o57(spark, d):
-    return C.roll_spread(_two(spark, d), 3_600_000_000, 5)
+    t = _two(spark, d)
+    return _text(C.roll_spread(t, C.front_contracts(B.daily_volume(t)), 1_800_000_000, 5), "cal_day")
 
 
-ADJ = f"""{TWO}, {SPREAD}, rl AS (SELECT min(cal_day) AS roll_day FROM fr WHERE contract = 'F2'),
-aj AS (SELECT t.seq, t.us, t.cal_day, t.px_ticks, CASE WHEN t.cal_day < (SELECT roll_day FROM rl) AND EXISTS (SELECT 1 FROM fr WHERE contract = 'F1') THEN coalesce((SELECT spread FROM sp), 0) ELSE 0.0 END AS offset_ FROM two t JOIN fr ON fr.cal_day = t.cal_day AND fr.contract = t.contract)"""
+ADJ = f"""{TWO}, {SPREAD},
+aj AS (SELECT t.seq, t.us, t.cal_day, t.px_ticks, coalesce((SELECT sum(spread) FROM sp WHERE sp.cal_day > t.cal_day), 0) AS offset_ FROM two t JOIN fr ON fr.cal_day = t.cal_day AND fr.contract = t.contract)"""
 
 
-def _adjusted(spark, d):
+def _stitched(spark, d):
     t = _two(spark, d)
-    return C.back_adjusted(t, C.front_contracts(B.daily_volume(t)), C.roll_spread(t, 3_600_000_000, 5))
+    return C.continuous(t, B.daily_volume(t), 1_800_000_000, 5)
 
 
-@query("o100_back_adjust", f"WITH {ADJ} SELECT seq, CAST(px_ticks + offset_ AS DOUBLE) AS px_adj, CAST(offset_ AS DOUBLE) AS shift FROM aj")
+def _adjusted(spark, d):
+    return _stitched(spark, d)[0]
+
+
+@query("o100_back_adjust", f"WITH RECURSIVE {ADJ} SELECT seq, CAST(px_ticks + offset_ AS DOUBLE) AS px_adj, CAST(offset_ AS DOUBLE) AS shift FROM aj")
 def o100(spark, d):
     return _adjusted(spark, d).select("seq", "px_adj", F.col("offset").alias("shift"))
 
 
-@query("o43_to_raw", f"WITH {ADJ} SELECT seq, CAST(px_ticks AS DOUBLE) AS px_raw FROM aj")
+@query("o43_to_raw", f"WITH RECURSIVE {ADJ} SELECT seq, CAST(px_ticks AS DOUBLE) AS px_raw FROM aj")
 def o43(spark, d):
     a = _adjusted(spark, d)
     return C.to_raw(a.drop("offset"), a).select("seq", "px_raw")
 
 
-@query("o137_audit", f"""WITH {ADJ}, l AS (SELECT cal_day, us < lag(us) OVER w AS late, abs((px_ticks + offset_) - lag(px_ticks + offset_) OVER w) >= 40 AS wide FROM aj WINDOW w AS (PARTITION BY cal_day ORDER BY seq))
+@query("o137_audit", f"""WITH RECURSIVE {ADJ}, l AS (SELECT cal_day, us < lag(us) OVER w AS late, abs((px_ticks + offset_) - lag(px_ticks + offset_) OVER w) >= 40 AS wide FROM aj WINDOW w AS (PARTITION BY cal_day ORDER BY seq))
 SELECT CAST(cal_day AS VARCHAR) AS cal_day, count(*) FILTER (late) AS unsorted, count(*) FILTER (wide) AS wide_steps, count(*) AS n FROM l GROUP BY l.cal_day""")
 def o137(spark, d):
     return _text(C.audit(_adjusted(spark, d), 40), "cal_day")
@@ -630,12 +694,11 @@ def o137(spark, d):
 STEP, GAP, BAND = 600.0, 700.0, (600.0, 1400.0)
 
 
-@query("o137_violations", f"""WITH {ADJ}, ad AS (SELECT seq, us, cal_day, px_ticks + offset_ AS px FROM aj),
+@query("o137_violations", f"""WITH RECURSIVE {ADJ}, ad AS (SELECT seq, us, cal_day, px_ticks + offset_ AS px FROM aj),
 l AS (SELECT cal_day, us < lag(us) OVER w AS late, abs(px - lag(px) OVER w) >= {STEP} AS wide FROM ad WINDOW w AS (PARTITION BY cal_day ORDER BY seq)),
 dy AS (SELECT cal_day, arg_min(px, seq) AS first_px, arg_max(px, seq) AS last_px FROM ad GROUP BY cal_day),
 gp AS (SELECT b.cal_day, abs(b.first_px - a.last_px) AS gap FROM dy b JOIN dy a ON a.cal_day + 1 = b.cal_day WHERE isodow(b.cal_day) <= 5 AND isodow(a.cal_day) <= 5),
-ro AS (SELECT cal_day, contract, lag(contract) OVER (ORDER BY cal_day) AS p FROM fr),
-rs AS (SELECT ro.cal_day, sp.spread FROM ro LEFT JOIN sp ON sp.from_contract = ro.p AND sp.to_contract = ro.contract WHERE ro.p <> ro.contract),
+rs AS (SELECT cal_day, spread FROM sp),
 v AS (SELECT cal_day, 'unsorted' AS problem, count(*) AS n, CAST(NULL AS DOUBLE) AS size FROM l WHERE late GROUP BY l.cal_day
 UNION ALL SELECT cal_day, 'wide step', count(*), NULL FROM l WHERE wide GROUP BY l.cal_day
 UNION ALL SELECT cal_day, 'session gap', 1, gap FROM gp WHERE gap > {GAP}
@@ -643,9 +706,8 @@ UNION ALL SELECT cal_day, CASE WHEN spread IS NULL THEN 'no spread' ELSE 'spread
 SELECT CAST(cal_day AS VARCHAR) AS cal_day, problem, n, size FROM v""")
 def o137_violations(spark, d):
     """All four checks of the reference; o137_audit keeps the counts of two of them per day."""
-    t = _two(spark, d)
-    front, spreads = C.front_contracts(B.daily_volume(t)), C.roll_spread(t, 3_600_000_000, 5)
-    return _text(C.violations(C.back_adjusted(t, front, spreads), front, spreads, STEP, GAP, BAND), "cal_day")
+    series, _, spreads = _stitched(spark, d)
+    return _text(C.violations(series, spreads, STEP, GAP, BAND), "cal_day")
 
 
 @query("o107_window_break")
@@ -655,7 +717,7 @@ def o107(spark, d):
     return _text(window_break(_ticks(spark, d), _bars(spark, d), HOUR, rules), "cal_day")
 
 
-@query("o138_continuous", f"""WITH {ADJ} SELECT CAST(cal_day AS VARCHAR) AS cal_day, count(*) AS n, CAST(arg_min(px_ticks + offset_, seq) AS DOUBLE) AS o, CAST(max(px_ticks + offset_) AS DOUBLE) AS h, CAST(min(px_ticks + offset_) AS DOUBLE) AS l, CAST(arg_max(px_ticks + offset_, seq) AS DOUBLE) AS c FROM aj GROUP BY aj.cal_day""")
+@query("o138_continuous", f"""WITH RECURSIVE {ADJ} SELECT CAST(cal_day AS VARCHAR) AS cal_day, count(*) AS n, CAST(arg_min(px_ticks + offset_, seq) AS DOUBLE) AS o, CAST(max(px_ticks + offset_) AS DOUBLE) AS h, CAST(min(px_ticks + offset_) AS DOUBLE) AS l, CAST(arg_max(px_ticks + offset_, seq) AS DOUBLE) AS c FROM aj GROUP BY aj.cal_day""")
 def o138(spark, d):
     """The stitched series by day: front contract, measured roll, adjusted prices."""
     return _text(_adjusted(spark, d).groupBy("cal_day").agg(F.count(F.lit(1)).alias("n"), F.min_by("px_adj", "seq").alias("o"), F.max("px_adj").alias("h"), F.min("px_adj").alias("l"), F.max_by("px_adj", "seq").alias("c")), "cal_day")
@@ -679,38 +741,40 @@ def _combo_sql(no: int, fast: int, slow: int) -> str:
 
 @query("o133_sweep", " UNION ALL ".join(f"({_combo_sql(i * 2 + j, f, s)})" for i, f in enumerate((2, 3)) for j, s in enumerate((6, 8))))
 def o133(spark, d):
-    """All combinations in one plan: the combination is part of the contract key, so the
-    exits of all of them are resolved side by side over one read of the ticks."""
-    ticks, bars = _ticks(spark, d), _bars(spark, d)
-    combos = [(i, int(f), int(s)) for i, (f, s) in enumerate((f, s) for f in SWEEP["fast"] for s in SWEEP["slow"])]
-    tag = lambda c, i: F.concat_ws("#", F.lit(str(i)), c)
-    cands = None
-    for i, f, s in combos:
-        one = S.ma_cross(bars, f, s, 40, 2.0).withColumn("contract", tag(F.col("contract"), i))
-        cands = one if cands is None else cands.unionByName(one)
-    spread = ticks.withColumn("combo", F.explode(F.array(*[F.lit(str(i)) for i, _, _ in combos]))).withColumn("contract", F.concat_ws("#", "combo", "contract"))
-    done = X.resolve(spread, cands, RULES).withColumn("combo_no", F.split("contract", "#")[0].cast("long"))
+    """All combinations in one plan: the combination is a column of the candidates."""
+    cands = S.ma_cross_grid(_bars(spark, d), stats.grid(spark, SWEEP).withColumns({"stop_ticks": F.lit(40.0), "rr": F.lit(2.0)}))
+    done = X.resolve(_ticks(spark, d), cands, RULES)
     return done.groupBy("combo_no").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("pnl"), 6).alias("pnl"), F.round(F.avg((F.col("pnl") > 0).cast("int")), 6).alias("win_rate"))
 
 
-@query("o130_verdicts", f"""WITH {TRADES}, dy AS (SELECT account, d, CAST(sum(pnl_c) AS BIGINT) AS p, count(*) AS m FROM trades_c GROUP BY ALL),
-t AS (SELECT account, CASE WHEN count(*) >= 20 AND stddev_samp(p) > 0 THEN avg(p) / (stddev_samp(p) / sqrt(count(*))) END AS t, sum(m) AS n, avg(CASE WHEN p > 0 THEN 1.0 ELSE 0.0 END) AS pos FROM dy GROUP BY account)
-SELECT account, CASE WHEN t IS NULL OR t < 1.5 THEN 'no signal' WHEN n < 80 OR pos < 0.4 THEN 'below the bar' WHEN t <= 1.9 THEN 'indistinguishable from noise' ELSE 'earns a forward test' END AS verdict FROM t""")
+@query("o133_sweep_ranked")
+def o133_ranked(spark, d):
+    """200 combinations of the crossing averages, judged and ranked."""
+    from . import api
+    ranges = {"fast": [float(x) for x in range(2, 12)], "slow": [float(x) for x in range(12, 52, 2)]}
+    out = api.sweep(_ticks(spark, d), "ma_cross", ranges, "1h", RULES)
+    return out.select("combo_no", "fast", "slow", "n", F.round("pnl", 6).alias("pnl"), "days", _r("t_daily"), "positive", "verdict", "place")
+
+
+T_SQL = f"""{TRADES}, dy AS (SELECT account, d, CAST(sum(pnl_c) AS BIGINT) AS p FROM trades_c GROUP BY ALL), cn AS (SELECT account, count(*) AS trades FROM trades_c GROUP BY account),
+n AS (SELECT *, row_number() OVER (PARTITION BY account ORDER BY d) - 1 AS i, count(*) OVER (PARTITION BY account) AS m FROM dy), {PARTS},
+t AS (SELECT account, CASE WHEN count(*) >= 20 AND stddev_samp(p) > 0 THEN round(avg(p) / (stddev_samp(p) / sqrt(count(*))), 6) END AS t FROM dy GROUP BY account)"""
+
+
+def _judged(spark, d):
+    """account, t_daily, n (trades), positive (sub-periods above zero)."""
+    rows = _trades(spark, d)
+    return T.clustered_t(T.daily_pnl(rows)).join(rows.groupBy("account").agg(F.count(F.lit(1)).alias("n")), "account").join(T.subperiods(rows).select("account", "positive"), "account")
+
+
+@query("o130_verdicts", f"""WITH {T_SQL} SELECT account, CASE WHEN t IS NULL THEN 'no signal' WHEN trades < 80 OR positive < 2 OR t < 1.5 THEN 'below the bar' WHEN t <= 1.9 THEN 'indistinguishable from noise' ELSE 'earns a forward test' END AS verdict FROM t JOIN cn USING (account) JOIN sp3 USING (account)""")
 def o130(spark, d):
-    daily = T.daily_pnl(_trades(spark, d))
-    rows = T.clustered_t(daily).join(daily.groupBy("account").agg(F.sum("n").alias("n"), F.avg((F.col("pnl_c") > 0).cast("double")).alias("pos")), "account")
-    shifted = F.col("pos") + (2 / 3 - 0.4)
-    return rows.select("account", stats.verdict(F.col("t_daily"), F.col("n"), shifted, 1.9).alias("verdict"))
+    return _judged(spark, d).select("account", stats.verdict(F.col("t_daily"), F.col("n"), F.col("positive"), 1.9).alias("verdict"))
 
 
-@query("o90_rank", f"""WITH {TRADES}, dy AS (SELECT account, d, CAST(sum(pnl_c) AS BIGINT) AS p FROM trades_c GROUP BY ALL),
-t AS (SELECT account, count(*) >= 20 AS ok, CASE WHEN count(*) >= 20 AND stddev_samp(p) > 0 THEN round(avg(p) / (stddev_samp(p) / sqrt(count(*))), 6) END AS t FROM dy GROUP BY account)
-SELECT account, row_number() OVER (ORDER BY ok DESC, coalesce(t, -99) DESC, account) AS place FROM t""")
+@query("o90_rank", f"""WITH {T_SQL} SELECT account, row_number() OVER (ORDER BY (t IS NOT NULL AND trades >= 80 AND positive >= 2) DESC, coalesce(t, -99) DESC, account) AS place FROM t JOIN cn USING (account) JOIN sp3 USING (account)""")
 def o90(spark, d):
-    from pyspark.sql import Window
-    t = T.clustered_t(T.daily_pnl(_trades(spark, d)))
-    w = Window.orderBy((F.col("n_days") >= 20).desc(), F.coalesce("t_daily", F.lit(-99.0)).desc(), "account")  # one row per account
-    return t.select("account", F.row_number().over(w).cast("long").alias("place"))
+    return stats.ranked(_judged(spark, d), "account").select("account", "place")
 
 
 def _ledger(spark, d):
@@ -739,22 +803,28 @@ def o127(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.substring(F.sha2(body, 256), 1, 12).alias("fp"))
 
 
-@query("o128_chain_verify", "SELECT o_orderkey AS seq, 'edited' AS reason FROM orders WHERE o_orderkey % 1000 = 7")
+@query("o128_chain_verify", """WITH RECURSIVE o AS (SELECT o_custkey AS ledger, o_orderkey AS seq, o_orderkey || '|' || o_orderstatus AS body, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+c AS (SELECT ledger, seq, body, rn, '' AS prev, substr(sha256(body), 1, 16) AS own FROM o WHERE rn = 1 UNION ALL SELECT o.ledger, o.seq, o.body, o.rn, c.own, substr(sha256(c.own || o.body), 1, 16) FROM c JOIN o ON o.ledger = c.ledger AND o.rn = c.rn + 1),
+e AS (SELECT ledger, seq, prev, own, CASE WHEN seq % 100 = 7 THEN body || '!' ELSE body END AS body FROM c WHERE seq % 100 <> 34),
+v AS (SELECT *, lag(own) OVER (PARTITION BY ledger ORDER BY seq) AS p FROM e)
+SELECT ledger, seq, CASE WHEN substr(sha256(prev || body), 1, 16) <> own THEN 'edited' ELSE 'broken link' END AS reason FROM v WHERE substr(sha256(prev || body), 1, 16) <> own OR coalesce(p, '') <> prev""")
 def o128(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat_ws("|", "o_custkey", "o_orderstatus").alias("body"))
-    kept = stats.chain(o, "seq", F.col("body"))
-    edited = kept.withColumn("body", F.when(F.pmod("seq", F.lit(1000)) == 7, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
-    return stats.chain_breaks(edited, "seq", F.col("body")).where("reason = 'edited'")
+    """A ledger for each customer; some records were edited and some taken out afterwards."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("ledger"), F.col("o_orderkey").alias("seq"), F.concat_ws("|", "o_orderkey", "o_orderstatus").alias("body"))
+    kept = stats.chain(o, "ledger", "seq", "body").where("seq % 100 <> 34")
+    edited = kept.withColumn("body", F.when(F.pmod("seq", F.lit(100)) == 7, F.concat("body", F.lit("!"))).otherwise(F.col("body")))
+    return stats.chain_breaks(edited, "ledger", "seq", "body").withColumn("ledger", F.col("ledger").cast("long"))
 
 
 #: Parameters with which the strategies enter on the sparse test ticks.
 PROBED = {"ma_cross": {"fast": 3, "slow": 8}, "orb": {"range_min": 60}, "range_break": {"lookback": 3, "min_range_ticks": 5, "max_range_ticks": 400}, "sweep_follow": {"min_volume": 20, "cluster_ms": 600_000}}
 
 
-@query("o139_lookahead_probe", "SELECT CAST(0 AS BIGINT) AS differing")
+@query("o139_lookahead_probe")
 def o139(spark, d):
     """All registered strategies, with cuts one tick behind sampled entries from which
-    prices are shifted and sides turned; entries up to each cut must not change."""
+    prices are shifted and sides turned: for each cut the entries up to it that were
+    compared, and how many of them changed."""
     from . import api
     ticks, out = _ticks(spark, d), None
     for name, s in api.STRATEGIES.items():
@@ -763,9 +833,9 @@ def o139(spark, d):
         def build(t: DataFrame, s=s, p=p) -> DataFrame:
             part = B.slice_range(t, rth=not s.full_session)
             return s.build(part, B.numbered(B.build_bars(part, HOUR)), HOUR, p)
-        one = api.probe_entries(ticks, build)
+        one = api.probe_entries(ticks, build).withColumn("strategy", F.lit(name))
         out = one if out is None else out.unionByName(one)
-    return out.agg(F.coalesce(F.sum("differing"), F.lit(0)).cast("long").alias("differing"))
+    return out
 
 
 @query("o99_contracts", "SELECT DISTINCT upper(trim(regexp_replace(contract, '[_\\s]+', ' ', 'g'))) AS contract FROM tape WHERE contract IS NOT NULL")

@@ -70,12 +70,12 @@ TRADES = """trades_c AS (
 
 
 def executions(events: DataFrame) -> DataFrame:
-    """account, seq, us, is_entry, is_exit, action (0 buy, 2 sell) of ``events``."""
+    """account, instrument, seq, us, is_entry, is_exit, action (0 buy, 2 sell) of ``events``."""
     entry, exit_ = F.col("event_type").isin("signup", "purchase"), F.col("event_type").isin("view", "click")
     action = F.when(entry, F.pmod("event_id", F.lit(2)) * 2).otherwise(F.pmod("event_id", F.lit(4))).cast("long")
-    return events.select(F.col("user_id").alias("account"), F.col("event_id").alias("seq"), micros("ts").alias("us"), entry.alias("is_entry"), exit_.alias("is_exit"), action.alias("action"))
+    return events.select(F.col("user_id").alias("account"), F.pmod(F.floor(F.col("event_id") / 7), F.lit(3)).alias("instrument"), F.col("event_id").alias("seq"), micros("ts").alias("us"), entry.alias("is_entry"), exit_.alias("is_exit"), action.alias("action"))
 
 
 EXECUTIONS = """executions AS (
-  SELECT user_id AS account, event_id AS seq, epoch_us(ts) AS us, event_type IN ('signup', 'purchase') AS is_entry, event_type IN ('view', 'click') AS is_exit,
+  SELECT user_id AS account, (event_id // 7) % 3 AS instrument, event_id AS seq, epoch_us(ts) AS us, event_type IN ('signup', 'purchase') AS is_entry, event_type IN ('view', 'click') AS is_exit,
     CASE WHEN event_type IN ('signup', 'purchase') THEN event_id % 2 * 2 ELSE event_id % 4 END AS action FROM events)"""
