@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.ranking import running_sum
 from ..sources.tables import NET_EPOCH, NET_SECOND, contract_key
 
 
@@ -111,3 +112,26 @@ def counter_grid(readings: DataFrame, key: list[str], ts: str, counter: str, ses
     marks = readings.where(F.col(ts).isNotNull() & F.col(counter).isNotNull()).select(
         *key, none.alias("t0"), none.alias("t1"), F.lit(None).cast("double").alias("inc"), F.col(ts).cast("long").alias("t"), F.col(counter).cast("double").alias("value"), F.lit(0).cast("long").alias("tie"))
     return regular_grid(moves.unionAll(marks), key, session, cell, session_length)
+
+
+def volume_counter(tape: DataFrame) -> DataFrame:
+    """(contract, t, counter): the volume that each contract had traded in its session (a
+    date) at each instant with a print, a counter that begins again every date.
+
+    Prints without contract, ts or vol are no reading. Prints of one instant are one
+    reading. Running sums use windows over one hour of a contract, and one row per hour.
+    """
+    rows = tape.where("ts is not null and vol is not null").select(contract_key("contract").alias("contract"), F.col("ts").alias("t"), F.col("vol").cast("long").alias("vol"))
+    rows = rows.where("contract is not null").groupBy("contract", "t").agg(F.sum("vol").alias("vol"))
+    rows = rows.withColumn("day", F.floor(F.col("t") / (86_400 * NET_SECOND))).withColumn("hour", F.floor(F.col("t") / (3_600 * NET_SECOND)))
+    return running_sum(rows, ["contract", "day"], "hour", "t", "vol").select("contract", "t", F.col("run").alias("counter"))
+
+
+def counter_tape_grid(tape: DataFrame, cell_seconds: int = 300) -> DataFrame:
+    """The session's volume counter on the grid: contract, slot_start, total (increments
+    between readings, spread over the slots in proportion to their overlap; what a counter
+    shows behind its reset was traded since the last reading), readings and covered.
+    Where ``tape_grid`` books a print where it happened, this uses the counter alone."""
+    out = counter_grid(volume_counter(tape), ["contract"], "t", "counter", "session", cell_seconds * NET_SECOND, 86_400 * NET_SECOND, 3_600 * NET_SECOND)
+    start = F.timestamp_seconds(F.col("slot") * cell_seconds - F.lit(NET_EPOCH // NET_SECOND))
+    return out.select("contract", F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss").alias("slot_start"), "total", "readings", "covered")

@@ -48,6 +48,10 @@ def p6_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.tape_grid(table(spark, d, "tape")).select("contract", "slot_start", "px", "vol", "readings", "covered")
 
 
+def p6_counter(spark: SparkSession, d: str) -> DataFrame:
+    return grid.counter_tape_grid(table(spark, d, "tape")).withColumn("total", F.round("total", 3))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     trades = merged_trades(table(spark, d, "trades"), "instrument", "entry_time")
     anchors = trades.select("trade_id", F.col("instrument").alias("contract"), net_ticks("entry_time").alias("at"))
@@ -56,7 +60,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_trades, p5_found, p5_rolling, p6_found, p6_grid, p7_found)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_trades, p5_found, p5_rolling, p6_found, p6_grid, p6_counter, p7_found)}
 
 
 #: Trades with their states merged, as the operators see them.
@@ -97,6 +101,18 @@ c AS (SELECT contract, unnest(generate_series(a, z)) AS slot FROM b)
 SELECT c.contract, strftime(make_timestamp(c.slot * 300000000), '%Y-%m-%dT%H:%M:%S') AS slot_start, s.px, coalesce(s.vol, 0) AS vol, coalesce(s.n, 0) AS readings, coalesce(s.n, 0) > 0 AS covered
 FROM c LEFT JOIN s ON s.contract = c.contract AND s.slot = c.slot"""
 
+#: Running volume of a contract's date, differenced and spread over the slots between two readings.
+P6_COUNTER = """WITH g AS (SELECT upper(trim(regexp_replace(contract, '[_\\s]+', ' ', 'g'))) AS contract, ts AS t, sum(vol) AS v FROM tape WHERE ts IS NOT NULL AND vol IS NOT NULL AND contract IS NOT NULL GROUP BY ALL),
+r AS (SELECT contract, t, sum(v) OVER (PARTITION BY contract, t // 864000000000 ORDER BY t ROWS UNBOUNDED PRECEDING) AS c FROM g),
+m AS (SELECT contract, lag(t) OVER w AS t0, t AS t1, CASE WHEN c >= lag(c) OVER w THEN c - lag(c) OVER w ELSE c END AS inc FROM r WINDOW w AS (PARTITION BY contract ORDER BY t)),
+x AS (SELECT *, unnest(generate_series(t0 // 3000000000, t1 // 3000000000)) AS slot FROM m WHERE t0 IS NOT NULL),
+s AS (SELECT contract, slot, sum(CAST(inc AS DOUBLE) * (CAST(least(t1, (slot + 1) * 3000000000) - greatest(t0, slot * 3000000000) AS DOUBLE) / CAST(t1 - t0 AS DOUBLE))) AS total FROM x GROUP BY ALL),
+k AS (SELECT contract, t // 3000000000 AS slot, count(*) AS n FROM r GROUP BY ALL),
+b AS (SELECT contract, slot // 288 AS day, min(slot) AS a, max(slot) AS z FROM k GROUP BY ALL),
+c AS (SELECT contract, unnest(generate_series(a, z)) AS slot FROM b)
+SELECT c.contract, strftime(make_timestamp(c.slot * 300000000 - 62135596800000000), '%Y-%m-%dT%H:%M:%S') AS slot_start, round(coalesce(s.total, 0), 3) AS total, coalesce(k.n, 0) AS readings, coalesce(k.n, 0) > 0 AS covered
+FROM c LEFT JOIN s ON s.contract = c.contract AND s.slot = c.slot LEFT JOIN k ON k.contract = c.contract AND k.slot = c.slot"""
+
 P7 = f"""WITH {MERGED}, a AS (
   SELECT trade_id, contract, epoch_us(entry_time) * 10 + 621355968000000000 AS moment FROM merged WHERE entry_time IS NOT NULL),
 t AS (SELECT tick_id, upper(trim(regexp_replace(contract, '[_\\s]+', ' ', 'g'))) AS contract, ts FROM tape WHERE ts IS NOT NULL)
@@ -110,5 +126,6 @@ def oracle_sql() -> dict[str, str]:
         "p5_rolling": _P5 + "SELECT account, strftime(d, '%Y-%m-%d') AS trade_day, total_7, total_30, round(total_7 / 7, 6) AS avg_7, round(total_30 / 30, 6) AS avg_30 FROM r",
         "p6_found": f"SELECT contract, slot_start FROM ({P6}) WHERE NOT covered",
         "p6_grid": P6,
+        "p6_counter": P6_COUNTER,
         "p7_found": P7,
     }
