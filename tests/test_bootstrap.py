@@ -49,3 +49,27 @@ def test_whole_bootstrap(spark):
     one = T.day_pool(trades.where("account = 1"))
     a, b = (sorted(map(tuple, P.bootstrap(one, R.RULE_SETS["eod"], paths=23, days=90, block=k).collect())) for k in (5_000, 7))
     assert a == b and len(a) == 23 and max(r[3] for r in a) > 60
+
+
+def walked(pnl, rules, mfe=None):
+    """Outcome, days and balance of one path of days with the given trades."""
+    width = np.array([len(d) for d in pnl])
+    flat = np.array([x for d in pnl for x in d], np.int64)
+    trades = {"pnl_c": flat, "mae_c": np.minimum(flat, 0), "mfe_c": np.maximum(flat, 0) if mfe is None else np.array(mfe), "fall_c": np.zeros(len(flat), np.int64)}
+    out = P.walk_paths(np.arange(len(pnl))[None, :], np.cumsum(width) - width, width, trades, rules)
+    return NAMES[out[0][0]], int(out[1][0]), int(out[2][0]) - rules["start"]
+
+
+def test_effects_of_the_consistency_share():
+    rules = R.BASE | {"target": 1_000, "max_dd": 100_000, "consistency": 0.5}
+    days = [[480, 400], [300], [250]]
+    assert walked(days, rules) == ("open", 3, 1_430)  # the first day won 880, so 1,760 are needed
+    assert walked(days, rules | {"effect": "inflates"}) == ("passed", 3, 1_030)  # no more that day behind 475
+    assert walked(days, rules | {"effect": "blocks"}) == ("passed", 3, 1_030)
+    assert walked([[900], [150], [800]], rules | {"effect": "blocks"}) == ("passed", 3, 1_850)  # 900 is no more than half of it then
+
+
+def test_day_that_ends_at_the_floor_of_unrealized_peaks():
+    rules = R.BASE | {"hwm": "intraday", "max_dd": 1_000, "lock": None, "target": 10_000}
+    # A peak of 1,200 inside a trade that closes at 150: 1,050 below it, while the trade's own fall is not known.
+    assert walked([[150], [10]], rules, [1_200, 10]) == ("busted", 0, 150)

@@ -3,7 +3,8 @@
 A rule set is a dict: start, target (None: none), max_dd, hwm ('none', 'eod' or
 'intraday'), breach ('intraday' or 'realized'), lock (floor limit above start, None),
 day_loss (None), soft (bool), min_days, consistency (share of the total that the
-best day may be, None). Money is in whole cents.
+best day may be, None), and optionally for the bootstrap effect: 'inflates' or 'blocks',
+what the consistency share does to the target or the pass of a trader who minds it. Money is in whole cents.
 """
 
 from __future__ import annotations
@@ -121,8 +122,11 @@ def draw_block(seed: int, lo: int, hi: int, days: int) -> np.ndarray:
 
 
 def walk_paths(drawn: np.ndarray, begin: np.ndarray, width: np.ndarray, trades: dict[str, np.ndarray], r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``Walk`` over many paths side by side: outcome (0 open, 1 passed, 2 busted), days
-    and balance of each row of ``drawn``, which holds a pool day per day of the path.
+    """Many paths side by side: outcome (0 open, 1 passed, 2 busted), days and balance of
+    each row of ``drawn``, which holds a pool day per day of the path. As ``Walk``; where
+    the rules name an effect, no more is traded on a day that has won 95 % of the
+    consistency share of the target. A day that ends at or below the floor of the
+    unrealized peaks is a bust too.
 
     Pool day i has the trades begin[i] .. begin[i] + width[i] - 1 of ``trades``.
     """
@@ -131,6 +135,8 @@ def walk_paths(drawn: np.ndarray, begin: np.ndarray, width: np.ndarray, trades:
     fall = np.maximum(trades["fall_c"], -low)
     strict, cap = r["breach"] == "intraday", np.inf if r["lock"] is None else r["start"] + r["lock"]
     floor = lambda h: np.full(len(h), -np.inf) if r["max_dd"] is None else np.minimum(h - r["max_dd"], cap)
+    bounded = r.get("effect") is not None and r["consistency"] is not None and r["target"] is not None
+    enough = 0.95 * r["consistency"] * r["target"] if bounded else np.inf
     bal, hwm = np.full(n, r["start"], np.int64), np.full(n, r["start"], np.int64)
     best, days, outcome = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int8)
     live = np.arange(n)
@@ -141,7 +147,7 @@ def walk_paths(drawn: np.ndarray, begin: np.ndarray, width: np.ndarray, trades:
         opened, b, h = bal[live], bal[live], hwm[live]
         bust, stopped = np.zeros(len(live), bool), np.zeros(len(live), bool)
         for k in range(int(size.max())):
-            at = np.flatnonzero((size > k) & ~bust & ~stopped)
+            at = np.flatnonzero((size > k) & ~bust & ~stopped & (b - opened < enough))
             t, now, top = first[at] + k, b[at], h[at]
             worst = now + low[t]
             if r["hwm"] != "intraday":
@@ -159,6 +165,7 @@ def walk_paths(drawn: np.ndarray, begin: np.ndarray, width: np.ndarray, trades:
                 else:
                     broken = broken | lost
             b[at], h[at], bust[at] = now, top, broken
+        bust |= b <= floor(h)
         ends = ~bust
         days[live[ends]] += 1
         if r["hwm"] == "eod":
@@ -166,8 +173,11 @@ def walk_paths(drawn: np.ndarray, begin: np.ndarray, width: np.ndarray, trades:
         best[live[ends]] = np.maximum(best[live], b - opened)[ends]
         bal[live], hwm[live], outcome[live[bust]] = b, h, 2
         if r["target"] is not None:
-            need = r["target"] if r["consistency"] is None else np.maximum(r["target"], best[live] / r["consistency"])
+            blocks = bounded and r["effect"] == "blocks"
+            need = r["target"] if r["consistency"] is None or blocks else np.maximum(r["target"], best[live] / r["consistency"])
             passed = ends & (b - r["start"] >= need) & (days[live] >= r["min_days"])
+            if blocks:
+                passed &= best[live] <= r["consistency"] * (b - r["start"])
             outcome[live[passed]] = 1
             ends = ends & ~passed
         live = live[ends]
