@@ -40,18 +40,37 @@ def run_summary(trades: DataFrame) -> DataFrame:
     return base.join(clustered_t(daily_pnl(trades)).select("account", "t_daily"), "account")
 
 
-def drawdown(trades: DataFrame) -> DataFrame:
-    """Deepest fall of the running total of each account below its peak (or zero)."""
-    run = running_sum(trades, ["account"], "d", "trade_no", "pnl_c")
-    return run.groupBy("account").agg(F.min(F.least(F.lit(0), F.col("run") - F.col("peak"))).alias("max_drawdown_c"))
+def drawdown(trades: DataFrame, key: tuple[str, ...] = ("account",)) -> DataFrame:
+    """Deepest fall of the running total of each key's trades below its peak (or zero)."""
+    run = running_sum(trades, [*key], "d", "trade_no", "pnl_c")
+    return run.groupBy(*key).agg(F.min(F.least(F.lit(0), F.col("run") - F.col("peak"))).alias("max_drawdown_c"))
+
 
+def streaks(trades: DataFrame, key: tuple[str, ...] = ("account",)) -> DataFrame:
+    """Longest runs of winning and of losing trades of each key; an even trade ends both."""
+    rows = trades.select(*key, "trade_no", F.signum(F.col("pnl_c").cast("double")).cast("int").alias("k"))
+    rows = bucketed_rank(rows, [*key], "trade_no", 65_536, "of_all")
+    rows = bucketed_rank(rows, [*key, "k"], "trade_no", 65_536, "of_kind").withColumn("island", F.col("of_all") - F.col("of_kind"))
+    runs = rows.groupBy(*key, "k", "island").agg(F.count(F.lit(1)).alias("n"))
+    return runs.groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("k") > 0, F.col("n"))), F.lit(0)).alias("max_wins"), F.coalesce(F.max(F.when(F.col("k") < 0, F.col("n"))), F.lit(0)).alias("max_losses"))
 
-def streaks(trades: DataFrame) -> DataFrame:
-    """Longest runs of winning and of losing trades of each account."""
-    rows = trades.select("account", "trade_no", F.signum(F.col("pnl_c").cast("double")).cast("int").alias("k"))
-    rows = bucketed_rank(rows, ["account", "k"], "trade_no", 65_536, "of_kind").withColumn("island", F.col("trade_no") - F.col("of_kind"))
-    runs = rows.groupBy("account", "k", "island").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy("account").agg(F.coalesce(F.max(F.when(F.col("k") > 0, F.col("n"))), F.lit(0)).alias("max_wins"), F.coalesce(F.max(F.when(F.col("k") < 0, F.col("n"))), F.lit(0)).alias("max_losses"))
+
+def _by_direction(trades: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Figures of each key's long, short and (direction 0) all trades: the trades are
+    aggregated once, by direction, and the whole is made of the two rows."""
+    g, p = F.col("pnl_c") + F.col("comm_c"), F.col("pnl_c")
+    when = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), F.lit(0))
+    part = trades.groupBy(*key, "direction").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(p).alias("net_c"), when(g > 0, g).alias("gross_profit_c"), when(g < 0, g).alias("gross_loss_c"), F.sum("comm_c").alias("commission_c"),
+        F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.count_if(p == 0).alias("evens"), when(p > 0, p).alias("_won"), when(p < 0, p).alias("_lost"),
+        F.max(p).alias("largest_win_c"), F.min(p).alias("largest_loss_c"), F.sum("mae_c").alias("_mae"), F.sum("mfe_c").alias("_mfe"), F.sum(fall_bound()).alias("_fall"), F.max(fall_bound()).alias("max_fall_c"))
+    least, most = ("largest_loss_c",), ("largest_win_c", "max_fall_c")
+    rest = [c for c in part.columns if c not in (*key, "direction", *least, *most)]
+    whole = part.withColumn("direction", F.explode(F.array(F.lit(0), F.col("direction").cast("int"))))
+    out = whole.groupBy(*key, "direction").agg(*[F.sum(c).alias(c) for c in rest], *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
+    ratio = lambda a, b: _r(F.try_divide(F.col(a), F.col(b)))
+    return out.withColumns({"avg_win_c": ratio("_won", "wins"), "avg_loss_c": ratio("_lost", "losses"), "avg_mae_c": ratio("_mae", "n"), "avg_mfe_c": ratio("_mfe", "n"), "avg_fall_c": ratio("_fall", "n"), "win_rate": ratio("wins", "n"),
+                            "profit_factor": F.when(F.col("gross_loss_c") < 0, _r(F.col("gross_profit_c") / -F.col("gross_loss_c")))})
 
 
 def performance(trades: DataFrame) -> DataFrame:
@@ -60,15 +79,26 @@ def performance(trades: DataFrame) -> DataFrame:
     Gross figures are split by the sign of the gross result, net ones by that of
     the net result. profit_factor is null without losses.
     """
-    gross = F.col("pnl_c") + F.col("comm_c")
-    when = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), F.lit(0))
-    rows = trades.withColumn("g", gross).withColumn("direction", F.explode(F.array(F.lit(0), F.col("direction"))))
-    out = rows.groupBy("direction").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("pnl_c").alias("net_c"), when(F.col("g") > 0, F.col("g")).alias("gross_profit_c"), when(F.col("g") < 0, F.col("g")).alias("gross_loss_c"), F.sum("comm_c").alias("commission_c"),
-        F.sum((F.col("pnl_c") > 0).cast("long")).alias("wins"), F.sum((F.col("pnl_c") < 0).cast("long")).alias("losses"), F.sum((F.col("pnl_c") == 0).cast("long")).alias("evens"),
-        _r(F.avg(F.when(F.col("pnl_c") > 0, F.col("pnl_c")))).alias("avg_win_c"), _r(F.avg(F.when(F.col("pnl_c") < 0, F.col("pnl_c")))).alias("avg_loss_c"),
-        F.max("pnl_c").alias("largest_win_c"), F.min("pnl_c").alias("largest_loss_c"), _r(F.avg("mae_c")).alias("avg_mae_c"), _r(F.avg("mfe_c")).alias("avg_mfe_c"), _r(F.avg(fall_bound())).alias("avg_fall_c"), F.max(fall_bound()).alias("max_fall_c"))
-    return out.withColumn("profit_factor", F.when(F.col("gross_loss_c") < 0, _r(F.col("gross_profit_c") / -F.col("gross_loss_c")))).withColumn("win_rate", _r(F.col("wins") / F.col("n")))
+    return _by_direction(trades, ()).drop("_won", "_lost", "_mae", "_mfe", "_fall")
+
+
+def performance_columns(trades: DataFrame) -> DataFrame:
+    """The whole performance column of each account's long, short and (direction 0) all
+    trades: with the deepest drawdown and the longest runs of the equity of those trades
+    alone, trades a day (of the account's days), the ratio of average win to average loss
+    (null without either), and no_losses where the profit factor is infinite. largest_win
+    is null without a win, largest_loss without a loss."""
+    base = _by_direction(trades, ("account",))
+    whole = trades.withColumn("direction", F.lit(0))
+    days = trades.groupBy("account").agg(F.count_distinct("d").alias("_days"))
+    key = ["account", "direction"]
+    both = lambda fn: fn(whole, tuple(key)).unionByName(fn(trades.withColumn("direction", F.col("direction").cast("int")), tuple(key)))
+    out = base.join(both(drawdown), key).join(both(streaks), key).join(days, "account")
+    won, lost = F.col("_won") / F.col("wins"), F.col("_lost") / F.col("losses")
+    out = out.withColumns({
+        "per_day": _r(F.col("n") / F.col("_days")), "win_loss_ratio": F.when((F.col("wins") > 0) & (F.col("losses") > 0), _r(F.abs(won / lost))), "no_losses": F.col("gross_loss_c") == 0,
+        "avg_trade_c": _r(F.col("net_c") / F.col("n")), "largest_win_c": F.when(F.col("wins") > 0, F.col("largest_win_c")), "largest_loss_c": F.when(F.col("losses") > 0, F.col("largest_loss_c"))})
+    return out.drop("_won", "_lost", "_mae", "_mfe", "_fall", "_days")
 
 
 def daily_rows(trades: DataFrame) -> DataFrame:
@@ -106,7 +136,10 @@ def histogram(values: DataFrame, column: str, bins: int = 28) -> DataFrame:
     return values.join(F.broadcast(lim)).withColumn("bin", F.when(F.col("z") > F.col("a"), b).otherwise(0)).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def account_summary(trades: DataFrame) -> DataFrame:
+def account_summary(trades: DataFrame, instrument: str | None = None) -> DataFrame:
+    """Totals of each account, and its different instruments in order of name where named."""
+    more = [F.sort_array(F.collect_set(instrument)).alias("instruments")] if instrument else []
     return trades.groupBy("account").agg(
+        *more,
         F.count(F.lit(1)).alias("n"), F.count_distinct("d").alias("days"), F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.sum("pnl_c").alias("pnl_c"),
         _r(F.avg((F.col("pnl_c") > 0).cast("int"))).alias("win_rate"), F.sum((F.col("direction") > 0).cast("long")).alias("longs"), F.sum((F.col("direction") < 0).cast("long")).alias("shorts"), F.sum("comm_c").alias("commission_c"))

@@ -18,6 +18,7 @@ from .operators import fills as X
 from .operators import indicators as I
 from .operators import matching as M
 from .operators import paths as P
+from .operators import selection as L
 from .operators import strategies as S
 from .operators import summary as T
 from .operators.drift import unified_records
@@ -82,7 +83,7 @@ def o06(spark, d):
 
 @query("o08_instrument_dim", "SELECT root, full_name, point_value, tick_size FROM instruments WHERE instrument_type = 0 AND point_value <> 0 AND tick_size <> 0 AND point_value IS NOT NULL AND tick_size IS NOT NULL")
 def o08(spark, d):
-    return table(spark, d, "instruments").where("instrument_type = 0 and point_value <> 0 and tick_size <> 0").select("root", "full_name", "point_value", "tick_size")
+    return L.futures(table(spark, d, "instruments"))
 
 
 @query("o14_file_day", "SELECT tick_id, strftime(try_strptime(left(file_hour, 10), '%Y%m%d%H') - INTERVAL 1 HOUR, '%Y%m%d') AS day FROM tape")
@@ -103,7 +104,7 @@ def o28(spark, d):
 
 @query("o33_filters", f"WITH {TRADES} SELECT account, count(*) AS n FROM trades_c WHERE contains(CAST(account AS VARCHAR), '7') AND direction = 1 GROUP BY account")
 def o33(spark, d):
-    return _trades(spark, d).where(F.col("account").cast("string").contains("7") & (F.col("direction") == 1)).groupBy("account").agg(F.count(F.lit(1)).alias("n"))
+    return L.of_account(_trades(spark, d), "7", 1).groupBy("account").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- bars and tick aggregates ------------------------------------------------------------
@@ -361,10 +362,15 @@ def o62(spark, d):
     return _text(T.account_summary(_trades(spark, d)), "first_day", "last_day")
 
 
-@query("o63_strategy_groups", """SELECT strategy_id, strategy, upper(trim(account)) AS account, is_replay, count(*) AS n FROM trades WHERE strategy_id IS NOT NULL AND strategy IS NOT NULL GROUP BY ALL""")
+@query("o63_strategy_groups", """SELECT strategy_id, strategy, upper(trim(account)) AS account, is_replay, count(*) AS n FROM trades WHERE strategy_id <> '' AND strategy <> 'AtmStrategy' GROUP BY ALL""")
 def o63(spark, d):
-    rows = table(spark, d, "trades").where("strategy_id is not null and strategy is not null")
-    return rows.groupBy("strategy_id", "strategy", F.upper(F.trim("account")).alias("account"), "is_replay").agg(F.count(F.lit(1)).alias("n"))
+    return L.strategy_groups(table(spark, d, "trades"))
+
+
+@query("o34_atm_exclusion", """SELECT strategy_id, strategy, upper(trim(account)) AS account, is_replay, count(*) AS n FROM (SELECT * REPLACE (CASE WHEN trade_id % 4 = 0 THEN 'AtmStrategy' ELSE strategy END AS strategy) FROM trades) WHERE strategy_id <> '' AND strategy <> 'AtmStrategy' GROUP BY ALL""")
+def o34(spark, d):
+    rows = table(spark, d, "trades")
+    return L.strategy_groups(rows.withColumn("strategy", F.when(F.pmod("trade_id", F.lit(4)) == 0, "AtmStrategy").otherwise(F.col("strategy"))))
 
 
 @query("o64_grid_all_long_short", f"""WITH {TRADES}, x AS (SELECT *, pnl_c + comm_c AS g, coalesce(fall_c, mfe_c - mae_c) AS fb FROM trades_c),
@@ -377,6 +383,22 @@ def o64(spark, d):
     return T.performance(_trades(spark, d))
 
 
+@query("o64_performance_columns", f"""WITH {TRADES}, x AS (SELECT *, pnl_c + comm_c AS g, coalesce(fall_c, mfe_c - mae_c) AS fb, sign(pnl_c) AS k FROM trades_c),
+y AS (SELECT * REPLACE (CAST(0 AS INT) AS direction) FROM x UNION ALL SELECT * FROM x),
+r AS (SELECT *, sum(pnl_c) OVER (PARTITION BY account, direction ORDER BY trade_no ROWS UNBOUNDED PRECEDING) AS run, row_number() OVER (PARTITION BY account, direction ORDER BY trade_no) - row_number() OVER (PARTITION BY account, direction, k ORDER BY trade_no) AS island FROM y),
+q AS (SELECT *, greatest(0, max(run) OVER (PARTITION BY account, direction ORDER BY trade_no ROWS UNBOUNDED PRECEDING)) AS peak FROM r),
+st AS (SELECT account, direction, max(n) FILTER (k > 0) AS mw, max(n) FILTER (k < 0) AS ml FROM (SELECT account, direction, k, island, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL),
+dy AS (SELECT account, count(DISTINCT d) AS days FROM trades_c GROUP BY account),
+a AS (SELECT account, direction, count(*) AS n, CAST(sum(pnl_c) AS BIGINT) AS net_c, CAST(coalesce(sum(g) FILTER (g > 0), 0) AS BIGINT) AS gross_profit_c, CAST(coalesce(sum(g) FILTER (g < 0), 0) AS BIGINT) AS gross_loss_c, CAST(sum(comm_c) AS BIGINT) AS commission_c,
+  count(*) FILTER (pnl_c > 0) AS wins, count(*) FILTER (pnl_c < 0) AS losses, count(*) FILTER (pnl_c = 0) AS evens, round(avg(pnl_c) FILTER (pnl_c > 0), 6) AS avg_win_c, round(avg(pnl_c) FILTER (pnl_c < 0), 6) AS avg_loss_c, round(avg(pnl_c), 6) AS avg_trade_c,
+  max(pnl_c) FILTER (pnl_c > 0) AS largest_win_c, min(pnl_c) FILTER (pnl_c < 0) AS largest_loss_c, round(avg(mae_c), 6) AS avg_mae_c, round(avg(mfe_c), 6) AS avg_mfe_c, round(avg(fb), 6) AS avg_fall_c, max(fb) AS max_fall_c,
+  round(abs(avg(pnl_c) FILTER (pnl_c > 0) / avg(pnl_c) FILTER (pnl_c < 0)), 6) AS win_loss_ratio, CAST(min(least(0, run - peak)) AS BIGINT) AS max_drawdown_c FROM q GROUP BY ALL)
+SELECT a.*, CASE WHEN gross_loss_c < 0 THEN round(gross_profit_c / -gross_loss_c, 6) END AS profit_factor, gross_loss_c = 0 AS no_losses, round(wins / n, 6) AS win_rate, round(n / days, 6) AS per_day, coalesce(mw, 0) AS max_wins, coalesce(ml, 0) AS max_losses
+FROM a JOIN st ON st.account = a.account AND st.direction = a.direction JOIN dy ON dy.account = a.account""")
+def o64_columns(spark, d):
+    return T.performance_columns(_trades(spark, d))
+
+
 RUN = f"""{TRADES}, ru AS (SELECT *, CAST(sum(pnl_c) OVER (PARTITION BY account ORDER BY trade_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM trades_c),
 pk AS (SELECT *, greatest(0, max(run) OVER (PARTITION BY account ORDER BY trade_no ROWS UNBOUNDED PRECEDING)) AS peak FROM ru)"""
 
@@ -501,10 +523,9 @@ def o118(spark, d):
     return P.parametric_trades(grid, 0.45, 2.0, 20_000, 500)
 
 
-@query("o36_thin_sample", "WITH a AS (SELECT upper(trim(account)) AS account, count(DISTINCT CAST(exit_time AS DATE)) AS days FROM trades GROUP BY 1) SELECT account, days, days < 10 AS withheld, days >= 60 AS meaningful FROM a")
+@query("o36_thin_sample", f"WITH {TRADES}, dy AS (SELECT account, d, sum(pnl_c) AS p FROM trades_c GROUP BY ALL), s AS (SELECT account, least(count(*), count(DISTINCT p)) AS sample FROM dy GROUP BY account) SELECT account, sample, sample < 10 AS withheld, sample >= 60 AS meaningful FROM s")
 def o36(spark, d):
-    rows = table(spark, d, "trades").groupBy(F.upper(F.trim("account")).alias("account")).agg(F.count_distinct(F.to_date("exit_time")).alias("days"))
-    return rows.select("account", "days", (F.col("days") < 10).alias("withheld"), (F.col("days") >= 60).alias("meaningful"))
+    return L.sample_gate(T.daily_pnl(_trades(spark, d)))
 
 
 # ---- joins on executions and runs --------------------------------------------------------
@@ -531,7 +552,7 @@ def o40_side(spark, d):
 def o37(spark, d):
     e = table(spark, d, "events").select("event_id", F.concat(F.lit("O"), F.pmod("event_id", F.lit(5000))).alias("order_id"))
     o = table(spark, d, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("order_id"), "o_orderkey", "o_orderstatus")
-    return e.join(o, "order_id").select("event_id", "o_orderkey", "o_orderstatus")
+    return L.with_orders(e, o).select("event_id", "o_orderkey", "o_orderstatus")
 
 
 @query("o38_strategy_attribution", f"""WITH {PAIRS}, br AS (SELECT event_id AS execution, concat('S', user_id % 9) AS strategy FROM events WHERE event_id % 3 = 0)
@@ -840,7 +861,18 @@ def o139(spark, d):
 
 @query("o99_contracts", "SELECT DISTINCT upper(trim(regexp_replace(contract, '[_\\s]+', ' ', 'g'))) AS contract FROM tape WHERE contract IS NOT NULL")
 def o99(spark, d):
-    return table(spark, d, "tape").select(contract_key("contract").alias("contract")).where("contract is not null").distinct()
+    return L.contracts(table(spark, d, "tape"))
+
+
+@query("o05_catalog", "WITH c AS (SELECT DISTINCT upper(trim(regexp_replace(contract, '[_\\s]+', ' ', 'g'))) AS contract FROM tape WHERE contract IS NOT NULL UNION SELECT 'ALL') SELECT row_number() OVER (ORDER BY contract <> 'ALL', contract) AS place, contract FROM c")
+def o05(spark, d):
+    tape = table(spark, d, "tape").select("contract")
+    return L.catalog(tape.unionByName(spark.createDataFrame([("ALL",)], "contract string")))
+
+
+@query("o94_first_rows", f"WITH {TRADES} SELECT account, trade_no, pnl_c FROM trades_c ORDER BY pnl_c DESC, account, trade_no LIMIT 25")
+def o94(spark, d):
+    return L.first_rows(_trades(spark, d), 25, F.col("pnl_c").desc(), F.col("account"), F.col("trade_no")).select("account", "trade_no", "pnl_c")
 
 
 def queries() -> dict[str, Query]:
