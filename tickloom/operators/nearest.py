@@ -98,8 +98,6 @@ def nearest_in_time(anchors: DataFrame, readings: DataFrame, entity: str, anchor
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows of a block lie together (hash partition, sorted); a block may straddle two batches.
-        rest: pd.DataFrame | None = None
-
         def closed(part: pd.DataFrame) -> pd.DataFrame:
             found: list[tuple[int, int, int]] = []
             e, b, t, isa = (part[c].to_numpy() for c in ("e", "b", "t", "is_anchor"))
@@ -112,16 +110,20 @@ def nearest_in_time(anchors: DataFrame, readings: DataFrame, entity: str, anchor
                     found += _match_block(asked, t[lo:hi][~ask].tolist(), ids[lo:hi][~ask].tolist(), bits, tolerance)
             return pd.DataFrame(found, columns=["aid", "distance", "rid"]).astype("int64")
 
+        held: list[pd.DataFrame] = []  # batches of the block that is not complete yet
         for batch in batches:
             if batch.empty:
                 continue
-            part = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            tail = (part["e"] == part["e"].iloc[-1]) & (part["b"] == part["b"].iloc[-1])
-            rest = part[tail]
-            if not tail.all():
-                yield closed(part[~tail])
-        if rest is not None:
-            yield closed(rest)
+            e, b = batch["e"].to_numpy(), batch["b"].to_numpy()
+            if held and (e[-1], b[-1]) == (held[-1]["e"].iloc[-1], held[-1]["b"].iloc[-1]) == (e[0], b[0]):
+                held.append(batch)
+                continue
+            tail = (e == e[-1]) & (b == b[-1])
+            if held or not tail.all():
+                yield closed(pd.concat([*held, batch[~tail]], ignore_index=True))
+            held = [batch[tail]]
+        if held:
+            yield closed(pd.concat(held, ignore_index=True))
 
     laid = both.repartition(F.col("e"), F.col("b")).sortWithinPartitions("e", "b", "t")
     found = laid.mapInPandas(match, "aid long, distance long, rid long")
