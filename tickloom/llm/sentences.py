@@ -142,6 +142,14 @@ KEYED = regex.compile(r"\s*[\p{Lu}\p{Lo}][\p{L}\p{M}.  ]{0,30}?\s*(?:[:=：]|\.
 OPENING = regex.compile(r"\s*(?:\p{L}+[ \u00a0]){0,2}\p{Lu}\p{L}*\s*[,:،，]?\s*$|\s*\p{Lu}\p{Ll}+(?: \p{Ll}+){0,2}\s*$")
 
 
+_CODED = regex.compile(r"[=(\[]|--")
+_OPEN_CODE = regex.compile(r"[;=<>(,+*-]$|//$")
+
+
+def _is_code(line: str) -> bool:
+    return _CODED.search(line) is not None and CODE.match(line) is not None
+
+
 def _ends_sentence(line: str) -> bool:
     line = _EMOJI_RUN.sub("", line).rstrip().rstrip(CLOSERS + "“ \u00a0")
     if not line or line[-1] not in TERMINAL + ";":
@@ -167,31 +175,34 @@ def units(text: str) -> list[tuple[int, int]]:
     if len(lines) < 2:
         return [(0, len(text))]
     first = next((i for i, x in enumerate(lines) if x[1]), 0)
+    # The shapes of each line, looked at once.
+    bodies = [body for _, body in lines]
+    strong = [next((k for k, p in enumerate(STRONG) if p.match(body)), None) if body else None for body in bodies]
+    keyed = [bool(body) and KEYED.match(body) is not None for body in bodies]
+    code = [bool(body) and _is_code(body) for body in bodies]
+    weak = [bool(body) and WEAK[0].match(body) is not None for body in bodies]
 
     def starts(i: int) -> bool:
-        body, prior = lines[i][1], lines[i - 1][1]
-        if any(p.match(body) for p in STRONG) or KEYED.match(body):
+        if strong[i] is not None or keyed[i]:
             return True
-        if CODE.match(body):
-            return _ends_sentence(prior) or (CODE.match(prior) is not None and not _rx(r"[;=<>(,+*-]$|//$|\b(?:target|out|from)$").search(prior))
-        if any(p.match(body) for p in WEAK):
-            return _ends_sentence(prior) or any(p.match(prior) for p in STRONG + WEAK) or KEYED.match(prior) is not None or CODE.match(prior) is not None or (i - 1 == first and OPENING.match(prior) is not None)
-        return False
+        prior = bodies[i - 1]
+        if code[i]:
+            return _ends_sentence(prior) or (code[i - 1] and not _OPEN_CODE.search(prior))
+        return weak[i] and (_ends_sentence(prior) or strong[i - 1] is not None or weak[i - 1] or keyed[i - 1] or code[i - 1] or (i - 1 == first and OPENING.match(prior) is not None))
 
     def whole(i: int) -> bool:
         """Whether the line is a unit, unless what follows carries it on in lower case."""
-        body = lines[i][1]
-        return (KEYED.match(body) is not None or any(p.match(body) for p in WHOLE)) and not lines[i + 1][1][:1].islower()
+        return (keyed[i] or strong[i] is not None and any(p.match(bodies[i]) for p in WHOLE)) and not bodies[i + 1][:1].islower()
 
     def shaped(i: int) -> bool:
         """Whether the shapes of the lines around this break divide them, however the text is laid out."""
-        body = lines[i][1]
-        if STRONG[0].match(body) and not LISTED.match(body):  # else a minus or plus in a wrapped sentence
-            return whole(i - 1) or _ends_sentence(lines[i - 1][1])
-        return whole(i - 1) or KEYED.match(body) is not None or LISTED.match(body) is not None or any(p.match(body) for p in STRONG[1:])
+        body = bodies[i]
+        if strong[i] == 0 and not LISTED.match(body):  # else a minus or plus in a wrapped sentence
+            return whole(i - 1) or _ends_sentence(bodies[i - 1])
+        return whole(i - 1) or keyed[i] or strong[i] is not None or LISTED.match(body) is not None
 
-    single = [i for i in range(1, len(lines)) if lines[i][1] and lines[i - 1][1]]
-    spaced = sum(any(p.match(lines[i][1]) for p in STRONG + WEAK) or bool(KEYED.match(lines[i][1]) or CODE.match(lines[i][1])) for i in range(first + 1, len(lines)) if lines[i][1] and not lines[i - 1][1])
+    single = [i for i in range(1, len(lines)) if bodies[i] and bodies[i - 1]]
+    spaced = sum(strong[i] is not None or weak[i] or keyed[i] or code[i] for i in range(first + 1, len(lines)) if bodies[i] and not bodies[i - 1])
     divided = sum(map(starts, single)) > spaced
     out: list[tuple[int, int]] = []
     begin = None
@@ -202,7 +213,7 @@ def units(text: str) -> list[tuple[int, int]]:
             begin = None
         elif begin is None:
             begin = at
-        elif divided or shaped(i) or (CODE.match(lines[i - 1][1]) and not CODE.match(body) and _rx(r"\p{Lu}\p{Ll}|\p{Lo}").match(body)) or (i - 1 == first and OPENING.match(lines[first][1]) and not body[0].islower() and body[0] not in "$€"):
+        elif divided or shaped(i) or (code[i - 1] and not code[i] and _rx(r"\p{Lu}\p{Ll}|\p{Lo}").match(body)) or (i - 1 == first and OPENING.match(lines[first][1]) and not body[0].islower() and body[0] not in "$€"):
             out.append((begin, at))
             begin = at
     if begin is not None:
@@ -364,6 +375,7 @@ def _of_word(language: str, style: str, word: str) -> list[tuple[regex.Pattern |
 
 _WORD = regex.compile(r"(?r)[\p{L}\p{M}](?:[\p{L}\p{M}.\-]*[\p{L}\p{M}])?", V1)
 _LETTERS = regex.compile(r"\p{L}+")
+_ITEM = regex.compile(r"[\s(]*\d[\s(\d]*\.")
 _FIRST = regex.compile(r"\p{L}")
 _FREQUENT = {w: [x for x in LATIN if w in FREQUENT[x].split()] for v in FREQUENT.values() for w in v.split()}
 _SCRIPTS = [(_x, regex.compile(rf"\p{{{_s}}}")) for _s, _x in _OTHER.items()]
@@ -390,7 +402,7 @@ def decide(text: str, start: int, mark: int, end: int, small: bool) -> bool:
     """Whether the sentence from ``start`` ends at ``end``, behind the mark and its closers."""
     word = ""
     if text[mark] == ".":
-        if not text[start:mark].strip("  (0123456789\n\r\t") and text[start:mark].strip("  (\n\r\t"):
+        if (m := _ITEM.match(text, start)) and m.end() == mark + 1:
             return False  # nothing but the item's number so far
         word = _word_before(text, mark, start)
         word = word if word in _KNOWN else ""
@@ -442,7 +454,6 @@ _NAMED = regex.compile(r"\w*[\d_.(=]")
 _LOWER = regex.compile(r"(?<=\p{L}{3})[.!?]\s+\p{Ll}")
 _THAI = regex.compile(r"\p{Thai}")
 _GREEK = regex.compile(r"\p{Greek}")
-_CODED = regex.compile(r"[=(\[]|--")
 _BLANKS = regex.compile(r"\s+")
 
 
@@ -462,7 +473,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for lo, hi in units(text):
         unit = text[lo:hi]
-        if _CODED.search(unit) and CODE.match(_BLANKS.sub(" ", unit)) or KEYED.match(unit.strip()):
+        if _CODED.search(unit) and _is_code(_BLANKS.sub(" ", unit)) or KEYED.match(unit.strip()):
             spans = [(0, len(unit))]
         else:
             spans = _within(unit)
