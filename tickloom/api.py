@@ -36,10 +36,10 @@ class Strategy:
 STRATEGIES: dict[str, Strategy] = {
     "ma_cross": Strategy(lambda t, b, s, p: S.ma_cross(b, int(p["fast"]), int(p["slow"]), int(p["stop_ticks"]), p["rr"]), {"fast": (20, 2, 200), "slow": (60, 5, 500), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0)}, grid=S.ma_cross_grid),
     "orb": Strategy(lambda t, b, s, p: S.orb(t, int(p["range_min"]), int(p["stop_ticks"]), p["rr"], bool(p["one_per_day"])), {"range_min": (15, 1, 120), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0), "one_per_day": (1, 0, 1)}),
-    "range_break": Strategy(lambda t, b, s, p: S.range_break(t, b, s, int(p["lookback"]), int(p["min_range_ticks"]), int(p["max_range_ticks"]), int(p["atr_period"]), p["atr_stop"], p["atr_target"], p["max_stop_ticks"], p["be_trigger_pct"], int(p["session_start"]), int(p["last_entry"]), bool(p["one_per_day"])),
+    "range_break": Strategy(lambda t, b, s, p: S.range_break(t, b, s, int(p["lookback"]), int(p["min_range_ticks"]), int(p["max_range_ticks"]), int(p.get("atr_period", 14)), p.get("atr_stop", 1.0), p.get("atr_target", 2.0), p.get("max_stop_ticks", 160), p.get("be_trigger_pct", 50), int(p.get("session_start", 570)), int(p.get("last_entry", 900)), bool(p.get("one_per_day", 0))),
                             {"lookback": (10, 2, 60), "min_range_ticks": (30, 1, 400), "max_range_ticks": (140, 10, 2000), "atr_period": (14, 2, 100), "atr_stop": (1.0, 0.1, 5.0), "atr_target": (2.0, 0.2, 10.0), "max_stop_ticks": (160, 8, 800), "be_trigger_pct": (50, 0, 100), "session_start": (570, 0, 1439), "last_entry": (900, 1, 1440), "one_per_day": (0, 0, 1)}),
     "sweep_follow": Strategy(lambda t, b, s, p: S.sweep_follow(t, int(p["min_volume"]), int(p["cluster_ms"]) * 1000, int(p["stop_ticks"]), p["rr"]), {"min_volume": (150, 10, 2000), "cluster_ms": (150, 10, 2000), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0), "cooldown_min": (5, 0, 60)}),
-    "fvg": Strategy(lambda t, b, s, p: S.fvg(t, b, s, int(p["min_ticks"]), int(p["expiry_bars"]), int(p["stop_ticks"]), p["rr"], bool(p["one_per_day"])), {"min_ticks": (8, 1, 200), "expiry_bars": (12, 1, 200), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0), "one_per_day": (0, 0, 1)}),
+    "fvg": Strategy(lambda t, b, s, p: S.fvg(t, b, s, int(p["min_ticks"]), int(p["expiry_bars"]), int(p["stop_ticks"]), p["rr"], bool(p.get("one_per_day", 0))), {"min_ticks": (8, 1, 200), "expiry_bars": (12, 1, 200), "stop_ticks": (40, 4, 200), "rr": (2.0, 0.5, 6.0), "one_per_day": (0, 0, 1)}),
     "vwap_revert": Strategy(lambda t, b, s, p: S.vwap_revert(b, int(p["stretch_ticks"]), int(p["min_bar"]), int(p["stop_ticks"]), p["rr"]), {"stretch_ticks": (60, 4, 400), "min_bar": (6, 0, 100), "stop_ticks": (40, 4, 200), "rr": (1.0, 0.5, 6.0), "cooldown_min": (15, 0, 240)}),
     "window_break": Strategy(lambda t, b, s, p: W.window_break(t, b, s, W.BreakRules(hold_s=int(p["hold_seconds"]), candle_s=int(p["candle_seconds"]), extension=p["extension"])), {"hold_seconds": (30, 0, 600), "candle_seconds": (30, 5, 600), "extension": (0.25, 0.0, 3.0)}, full_session=True),
 }
