@@ -14,7 +14,7 @@ from tickloom.operators import fills as X
 from tickloom.operators import matching as M
 from tickloom.operators import strategies as S
 from tickloom.operators import summary as T
-from tickloom.sources import mappings
+from tickloom.sources import files, mappings
 
 SF = "/root/testdata/sf0.001"
 
@@ -104,7 +104,7 @@ def test_grid_of_averages_is_each_one_alone(spark):
         assert {tuple(r)[1:] for r in got if r["combo_no"] == no} == alone
 
 
-def test_sweep_is_ranked(spark):
+def test_sweep_is_ranked(spark, tmp_path):
     ticks = mappings.ticks(spark.read.parquet(f"{SF}/events.parquet"))
     rules = X.FillRules(max_gap_s=20_000)
     out = api.sweep(ticks, "ma_cross", {"fast": [2.0, 3.0], "slow": [5.0]}, "1h", rules).orderBy("place").collect()
@@ -112,6 +112,11 @@ def test_sweep_is_ranked(spark):
     for r in out:
         alone = api.backtest(ticks, "ma_cross", "1h", {"fast": r["fast"], "slow": r["slow"]}, rules=rules).collect()
         assert r["n"] == len(alone) and abs(r["pnl"] - sum(x["pnl"] for x in alone)) < 1e-6
+    book = str(tmp_path / "trials.jsonl")
+    for _ in range(2):  # the same sweep twice is charged once
+        api.sweep(ticks, "ma_cross", {"fast": [2.0, 3.0], "slow": [5.0]}, "1h", rules, ledger=book)
+    api.sweep(ticks, "orb", {"range_min": [30.0, 60.0, 90.0]}, "1h", rules, ledger=book)
+    assert files.ledger_trials(book) == 5 and files.verify_ledger(book) is None
     fvg = api.sweep(ticks, "fvg", {"min_ticks": [4.0, 8.0]}, "1h", rules).collect()
     assert len(fvg) == 2
     with pytest.raises(ValueError):

@@ -15,6 +15,7 @@ from .operators import fills as X
 from .operators import strategies as S
 from .operators import summary as T
 from .operators import window_break as W
+from .sources import files
 
 #: A strategy makes candidates from (ticks, numbered bars, bar seconds, parameters).
 Builder = Callable[[DataFrame, DataFrame, int, dict], DataFrame]
@@ -105,22 +106,29 @@ def sweep_candidates(part: DataFrame, name: str, ranges: dict[str, list[float]],
     return cands, len(rows)
 
 
-def sweep(ticks: DataFrame, name: str, ranges: dict[str, list[float]], period: str | int = "5m", rules: X.FillRules = X.FillRules(), governor_day: Column | None = None) -> DataFrame:
+def sweep(ticks: DataFrame, name: str, ranges: dict[str, list[float]], period: str | int = "5m", rules: X.FillRules = X.FillRules(), governor_day: Column | None = None, ledger: str | None = None) -> DataFrame:
     """One row per combination, best first by ``place``: trades, result, sub-periods and
     verdict. The combination is a column of the candidates: the ticks are read and shuffled
-    once for all of them. A cooldown is the strategy's own and cannot be swept."""
+    once for all of them. A cooldown is the strategy's own and cannot be swept. With a
+    ``ledger`` the sweep is charged to it before anything is judged, and the noise ceiling
+    is that of all its trials."""
     s, seconds = STRATEGIES[name], B.parse_period(period)
     if "cooldown_min" in ranges:
         raise ValueError("cooldown_min is one for the whole sweep; set it in the rules")
     part = B.slice_range(ticks, rth=not s.full_session)
     cands, n = sweep_candidates(part, name, ranges, seconds)
+    trials = n
+    if ledger:
+        what = {"kind": "sweep", "strategy": name, "period": seconds, "ranges": ranges}
+        files.append_ledger(ledger, "sweep", strategy=name, fp=stats.fingerprint(what), n_trials=n, ranges=ranges)
+        trials = files.ledger_trials(ledger)
     done = X.resolve(part, cands, _rested(rules, {k: v[0] for k, v in s.params.items()}), governor_day)
     daily = done.groupBy("combo_no", "cal_day").agg(F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("n"))
     rows = daily.groupBy("combo_no").agg(F.sum("n").alias("n"), F.sum("pnl").alias("pnl"), F.count(F.lit(1)).alias("days"), F.avg("pnl").alias("m"), F.stddev_samp("pnl").alias("s"))
     t = F.when((F.col("days") >= 20) & (F.col("s") > 0), F.col("m") / (F.col("s") / F.sqrt("days")))
     rows = rows.withColumn("t_daily", t).drop("m", "s").join(T.subperiods(daily, "combo_no", "cal_day", "pnl"), "combo_no")
     rows = stats.grid(ticks.sparkSession, ranges).join(rows, "combo_no", "left").fillna(0, ["n", "pnl", "days", "positive"])
-    rows = rows.withColumn("verdict", stats.verdict(F.col("t_daily"), F.col("n"), F.col("positive"), stats.expected_max_t(n)))
+    rows = rows.withColumn("verdict", stats.verdict(F.col("t_daily"), F.col("n"), F.col("positive"), stats.expected_max_t(trials)))
     return stats.ranked(rows, "combo_no")
 
 

@@ -206,6 +206,19 @@ def append_ledger(path: str, kind: str, **fields: object) -> dict:
     return body
 
 
+def ledger_trials(path: str) -> int:
+    """Trials charged so far by backtests, imports and sweeps; a repeated fingerprint counts once."""
+    seen, total = set(), 0
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as lines:
+            for record in (json.loads(x) for x in lines if x.strip()):
+                fp = record.get("fp")
+                if record.get("kind") in ("backtest", "import", "sweep") and (fp is None or fp not in seen):
+                    seen.add(fp)
+                    total += record.get("n_trials") or 1
+    return total
+
+
 def verify_ledger(path: str) -> tuple[int, str] | None:
     """Position and reason of the first break of the chain, or None."""
     from ..functions.stats import canonical
