@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import unicodedata
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from typing import NamedTuple
@@ -374,10 +373,10 @@ def _of_word(language: str, style: str, word: str) -> list[tuple[regex.Pattern |
 
 
 _WORD = regex.compile(r"(?r)[\p{L}\p{M}](?:[\p{L}\p{M}.\-]*[\p{L}\p{M}])?", V1)
-_LETTERS = regex.compile(r"\p{L}+")
 _ITEM = regex.compile(r"[\s(]*\d[\s(\d]*\.")
 _FIRST = regex.compile(r"\p{L}")
 _FREQUENT = {w: [x for x in LATIN if w in FREQUENT[x].split()] for v in FREQUENT.values() for w in v.split()}
+_NOT_LATIN = regex.compile(r"[\p{Cyrillic}\p{Greek}\p{Devanagari}\p{Arabic}]")
 _SCRIPTS = [(_x, regex.compile(rf"\p{{{_s}}}")) for _s, _x in _OTHER.items()]
 
 
@@ -390,12 +389,15 @@ def _word_before(text: str, end: int, start: int = 0) -> str:
 def language_of(text: str) -> str:
     """Language whose table is asked first: that of the most letters' script, in Latin
     script that of the most frequent words; English where nothing tells."""
-    for x, script in _SCRIPTS:
-        if script.search(text):
-            if 2 * len(script.findall(text)) >= len(_rx(r"\p{Latin}").findall(text)):
+    if _NOT_LATIN.search(text):
+        for x, script in _SCRIPTS:
+            if 2 * len(script.findall(text)) >= len(_rx(r"\p{Latin}").findall(text)) and script.search(text):
                 return x
-    votes = Counter(x for w in _LETTERS.findall(text.lower()) for x in _FREQUENT.get(w, ()))
-    return max(LATIN, key=lambda x: (votes[x], -LATIN.index(x))) if votes else "en"
+    votes = dict.fromkeys(LATIN, 0)
+    for w in text.lower().split():
+        for x in _FREQUENT.get(w, ()):
+            votes[x] += 1
+    return max(LATIN, key=votes.__getitem__)
 
 
 def decide(text: str, start: int, mark: int, end: int, small: bool) -> bool:
@@ -521,7 +523,7 @@ def _within(unit: str) -> list[tuple[int, int]]:
                 if not greek or greek.start() > a:
                     continue
             elif end < len(unit):
-                last = a + len(_TERMINALS.match(unit[a:b]).group()) - 1
+                last = _TERMINALS.match(unit, a, b).end() - 1
                 if not decide(unit, start, last, b, small):
                     continue
         k = end
