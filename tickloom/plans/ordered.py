@@ -18,9 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 
 #: Finer bins of a bin that is larger than a chunk.
 PARTS = 4_096
+#: Large bins up to which their list is broadcast; more are joined.
+MOST_BROADCAST = 100_000
 
 
 def chunked(df: DataFrame, key: str, order: str, bin_width: int, target: int, halo: int) -> DataFrame:
@@ -29,12 +32,18 @@ def chunked(df: DataFrame, key: str, order: str, bin_width: int, target: int, ha
     in more than one chunk. ``target`` is the wished number of rows in a chunk.
     """
     rows = df.withColumn("_bin", F.floor(F.col(order) / F.lit(bin_width)).cast("long"))
-    # Few bins, mostly none, are large; rows of the others keep one bin of the coarse width.
-    large = rows.groupBy(key, "_bin").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > target).select(F.col(key).alias("_lk"), F.col("_bin").alias("_lb"))
-    rows = rows.join(large, (F.col(key) == F.col("_lk")) & (F.col("_bin") == F.col("_lb")), "left")
-    fine = F.floor(F.col(order) / F.lit(max(1, bin_width // PARTS))).cast("long")
-    rows = rows.withColumn("_fine", F.when(F.col("_lk").isNotNull(), fine).otherwise(F.lit(0).cast("long"))).drop("_lk", "_lb")
-    bins = rows.groupBy(key, "_bin", "_fine").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per bin, kept: the large bins are looked for among them, mostly in vain.
+    bins = checkpointed(rows.groupBy(key, "_bin").agg(F.count(F.lit(1)).alias("_n")))
+    large = bins.where(F.col("_n") > target).select(F.col(key).alias("_lk"), F.col("_bin").alias("_lb"))
+    found = large.limit(MOST_BROADCAST + 1).count()
+    if found:
+        large = F.broadcast(large) if found <= MOST_BROADCAST else large
+        rows = rows.join(large, (F.col(key) == F.col("_lk")) & (F.col("_bin") == F.col("_lb")), "left")
+        fine = F.floor(F.col(order) / F.lit(max(1, bin_width // PARTS))).cast("long")
+        rows = rows.withColumn("_fine", F.when(F.col("_lk").isNotNull(), fine).otherwise(F.lit(0).cast("long"))).drop("_lk", "_lb")
+        bins = rows.groupBy(key, "_bin", "_fine").agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        rows, bins = (x.withColumn("_fine", F.lit(0).cast("long")) for x in (rows, bins))
     running = Window.partitionBy(key).orderBy("_bin", "_fine").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(key)
     bins = bins.withColumn("_end", F.sum("_n").over(running)).withColumn("_total", F.sum("_n").over(whole))
