@@ -596,12 +596,25 @@ def o48(spark, d):
     return M.phase_chain(least)
 
 
-@query("o73_import_dedup", """WITH k AS (SELECT run_id, upper(trim(instrument)) AS ins, n_trades, perf_cum_profit AS p, lower(coalesce(strategy, 'unknown')) <> 'unknown' AS known FROM backtests),
-f AS (SELECT *, row_number() OVER (PARTITION BY ins, n_trades, p ORDER BY known DESC, run_id DESC) AS rn FROM k WHERE ins IS NOT NULL AND n_trades IS NOT NULL AND p IS NOT NULL)
-SELECT run_id FROM f WHERE rn = 1 UNION ALL SELECT run_id FROM k WHERE ins IS NULL OR n_trades IS NULL OR p IS NULL""")
+def _json_time(e: str) -> str:
+    """ISO time to the second of a JSON value: an object of day and time, a text, seconds or milliseconds since 1970."""
+    text = f"replace(trim({e}->>'$'), ' ', 'T')"
+    number = f"CAST({e} AS DOUBLE)"
+    return f"""CASE json_type({e}) WHEN 'OBJECT' THEN concat({e}->>'$.day', 'T', {e}->>'$.time') WHEN 'VARCHAR' THEN CASE WHEN length({text}) = 16 THEN {text} || ':00' ELSE left({text}, 19) END
+  ELSE strftime(make_timestamp(CAST({number} * CASE WHEN abs({number}) > 1e11 THEN 1e3 ELSE 1e6 END AS BIGINT)), '%Y-%m-%dT%H:%M:%S') END"""
+
+
+def _any_of(*names: str) -> str:
+    return "coalesce(" + ", ".join(f"json_extract(t, '$.{n}')" for n in names) + ")"
+
+
+@query("o73_import_dedup", f"""WITH r AS (SELECT run_id, unnest(json_extract(trades, '$[*]')) AS t FROM backtests), x AS (SELECT run_id, {_any_of("entry", "Entry", "EntryTime", "entry_time", "opened")} AS e, {_any_of("exit", "Exit", "ExitTime", "exit_time", "closed")} AS z FROM r),
+f1 AS (SELECT run_id, min({_json_time("e")}) AS fe FROM x WHERE json_type(e) <> 'NULL' AND json_type(z) <> 'NULL' GROUP BY run_id),
+k AS (SELECT run_id, upper(trim(instrument)) AS ins, n_trades, perf_cum_profit AS p, fe, NOT (source IS NOT DISTINCT FROM 'nt8-performance-metric' OR fill_resolution IS NULL) AS known FROM backtests LEFT JOIN f1 USING (run_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY ins, n_trades, p, fe ORDER BY known DESC, run_id DESC) AS rn FROM k WHERE ins IS NOT NULL AND n_trades IS NOT NULL AND p IS NOT NULL AND fe IS NOT NULL)
+SELECT run_id FROM f WHERE rn = 1 UNION ALL SELECT run_id FROM k WHERE ins IS NULL OR n_trades IS NULL OR p IS NULL OR fe IS NULL""")
 def o73(spark, d):
-    """The key holds the first entry time too, which the SQL leaves out; runs of a known
-    fidelity level go before those of an unknown one, which the SQL tells by the strategy."""
+    """One run of equal instrument, count, result and first entry, whose fills' configuration is recorded if any's is. The SQL knows the names of the test tables."""
     runs = table(spark, d, "backtests")
     first = M.first_entries(unified_records(runs, table(spark, d, "trade_fields")))
     keyed = runs.select("run_id", F.upper(F.trim("instrument")).alias("ins"), "n_trades", F.col("perf_cum_profit").alias("p"), M.capture_level().alias("level")).join(first, "run_id", "left")
