@@ -402,11 +402,12 @@ def language_of(text: str) -> str:
 
 def decide(text: str, start: int, mark: int, end: int, small: bool) -> bool:
     """Whether the sentence from ``start`` ends at ``end``, behind the mark and its closers."""
-    word = ""
+    word, long = "", False
     if text[mark] == ".":
         if (m := _ITEM.match(text, start)) and m.end() == mark + 1:
             return False  # nothing but the item's number so far
         word = _word_before(text, mark, start)
+        long = len(word) > 2 and word.isalpha()
         word = word if word in _KNOWN else ""
         if word and small and (first := _FIRST.search(text, start, end)) and first.group().isupper():
             small = False  # this sentence began with a capital, so will the next
@@ -418,6 +419,8 @@ def decide(text: str, start: int, mark: int, end: int, small: bool) -> bool:
         for before, after, ends in _of_word(language_of(text), style, word):
             if (before is None or before.match(text, end)) and (after is None or after.match(text, end)):
                 return ends
+    if long:
+        return True  # but for its last row, the last table is about words of one or two letters
     pattern, verdicts = _general(True, style)
     return verdicts[pattern.match(text, end).lastindex - 1]
 
@@ -503,13 +506,13 @@ def _within(unit: str) -> list[tuple[int, int]]:
     greek = _GREEK.search(unit)  # the first Greek letter of the sentence at hand, or behind it
     cuts: list[int] = []
     start, stop = 0, len(unit.rstrip())
-    points: list[tuple[int, str, int, int]] = [(e, "quote", s, e) for s, e in quotes]
-    for m in _MARKS.finditer(unit):
-        if not quoted(m.start()):
-            points.append((m.end(), "mark", m.start(), m.end()))
+    points = [(m.end(), "mark", m.start(), m.end()) for m in _MARKS.finditer(unit)]
+    if quotes:
+        points = [p for p in points if not quoted(p[2])] + [(e, "quote", s, e) for s, e in quotes]
     if _THAI.search(unit):
         points += [(m.start(), "thai", m.start(), m.start()) for m in _THAI_GAP.finditer(unit) if not quoted(m.start())]
-    for end, kind, a, b in sorted(points):
+    points.sort()
+    for end, kind, a, b in points:
         if end <= start:
             continue
         if kind == "quote":
