@@ -73,3 +73,36 @@ def test_day_that_ends_at_the_floor_of_unrealized_peaks():
     rules = R.BASE | {"hwm": "intraday", "max_dd": 1_000, "lock": None, "target": 10_000}
     # A peak of 1,200 inside a trade that closes at 150: 1,050 below it, while the trade's own fall is not known.
     assert walked([[150], [10]], rules, [1_200, 10]) == ("busted", 0, 150)
+
+
+@pytest.mark.parametrize("name", [k for k in R.RULE_SETS if P.flat_floor(R.RULE_SETS[k])] + ["no floor", "late"])
+def test_accounts_side_by_side_against_paths(name):
+    extra = {"no floor": R.BASE | {"max_dd": None, "lock": None}, "late": R.BASE | {"hwm": "eod", "lock": 0, "min_days": 9, "max_dd": 90_000, "target": 60_000}}
+    rules = R.RULE_SETS.get(name) or extra[name]
+    assert P.flat_floor(rules)
+    rng = np.random.default_rng(5)
+    account, d = np.repeat(np.arange(3), 90), np.tile(np.repeat(np.arange(30), 3), 3)
+    kept = rng.random(270) < 0.7
+    kept[::3] = True
+    account, d = account[kept], d[kept]
+    pnl = rng.integers(-60_000, 61_000, len(d))
+    trades = {"pnl_c": pnl, "mae_c": np.minimum(pnl, 0) - rng.integers(0, 20_000, len(d)), "mfe_c": np.maximum(pnl, 0), "fall_c": np.zeros(len(d), np.int64)}
+    for scale in (1, 10**9):  # the second needs eight bytes
+        big, r = {c: v * scale for c, v in trades.items()}, rules | {c: rules[c] * scale for c in ("start", "target", "max_dd", "lock") if rules[c] is not None}
+        pool, drawn = P.packed_days(account, d, big, r), P.draw_block(7, 0, 500, 40) % 30
+        got = P.walk_days(np.ascontiguousarray(drawn.T), pool, np.arange(3) * 30 + np.arange(30)[:, None], r, tile=123)
+        for a in range(3):
+            want = P.walk_paths(drawn, pool["first"][a * 30 : a * 30 + 30], pool["width"][a * 30 : a * 30 + 30], big, r)
+            assert all((x[:, a] == y).all() for x, y in zip(got, want))
+
+
+@pytest.mark.parametrize("name", ["eod", "close", "intra", "dll_soft"])
+def test_rollup_without_a_row_per_path(spark, name):
+    """Equal to the rolled up rows of paths, with one shuffle, whatever the blocks."""
+    listed = mappings.listed_trades(spark.read.parquet(f"{SF}/lineitem.parquet")).where("account < 12")
+    trades = mappings.trades(spark.read.parquet(f"{SF}/lineitem.parquet")).where("account < 12")
+    want = sorted(map(tuple, P.rollup(P.bootstrap(T.day_pool(trades), R.RULE_SETS[name], paths=301, days=90)).collect()), key=str)
+    for more in ({}, {"block": 100, "rows": 60}):
+        out = P.bootstrap_rollup(listed, R.RULE_SETS[name], paths=301, days=90, order=mappings.ORDER, **more)
+        assert out._jdf.queryExecution().toString().split("Physical Plan")[1].count("Exchange hashpartitioning") == 1
+        assert sorted(map(tuple, out.collect()), key=str) == want

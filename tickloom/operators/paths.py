@@ -209,6 +209,176 @@ def bootstrap(pool: DataFrame, rules: dict, paths: int, days: int, seed: int = 7
     return rows.groupBy("account", "block").applyInArrow(run, "account long, path int, outcome string, days long, balance_c long")
 
 
+def flat_floor(r: dict) -> bool:
+    """Whether the floor stands still within a day and nothing but it and the target ends
+    a path: then a day is known by its total and its deepest point."""
+    whole = all(isinstance(r[c], int) for c in ("start", "target", "max_dd", "lock") if r[c] is not None)
+    return whole and r["hwm"] != "intraday" and r["day_loss"] is None and (r["consistency"] is None or r["target"] is None)
+
+
+def packed_days(account: np.ndarray, d: np.ndarray, trades: dict[str, np.ndarray], r: dict) -> dict[str, np.ndarray]:
+    """Pool days of trades in order of account, d and trade: account, first trade, width,
+    total and deepest point (``low``) of each, and of each trade the result of its day up
+    to it (``deep`` at its worst, ``left`` where it breaks the floor)."""
+    first = np.flatnonzero(np.r_[True, (account[1:] != account[:-1]) | (d[1:] != d[:-1])])
+    width, pnl = np.diff(np.r_[first, len(d)]), trades["pnl_c"]
+    before = np.cumsum(pnl) - pnl
+    before -= np.repeat(before[first], width)
+    strict = r["breach"] == "intraday"
+    deep = before + (np.minimum(trades["mae_c"], pnl) if strict else pnl)
+    return {"account": account[first], "first": first, "width": width, "total": np.add.reduceat(pnl, first), "low": np.minimum.reduceat(deep, first), "deep": deep, "left": before if strict else before + pnl}
+
+
+def walk_days(drawn: np.ndarray, pool: dict[str, np.ndarray], rows: np.ndarray, r: dict, tile: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``walk_paths`` for accounts with equally many pool days, under rules with a
+    ``flat_floor``: outcome, days and balance with a row per path and a column per
+    account. ``drawn`` has a row per day of the path, ``rows`` a row per pool day with its
+    place in ``pool`` for each account. One look-up of a drawn day serves all accounts,
+    ``tile`` paths at a time."""
+    (days, n), a = drawn.shape, rows.shape[1]
+    dd, start = r["max_dd"] or 0, r["start"]
+    total, low = pool["total"][rows], pool["low"][rows]
+    most = days * int(np.abs(total).max()) + int(np.abs(low).max()) + 4 * (dd + abs(r["target"] or 0) + abs(r["lock"] or 0))
+    kind = np.int32 if most < 2**30 else np.int64
+    total, low = np.ascontiguousarray(total, kind), np.ascontiguousarray(low + dd, kind)
+    cap = kind(most if r["lock"] is None else r["lock"])
+    outcome, walked, balance = np.zeros((n, a), np.int8), np.full((n, a), days, np.int16 if days < 2**15 else np.int64), np.empty((n, a), np.int64)
+    tile = tile or 24_000 // a  # what a cache holds
+    for lo in range(0, n, tile):
+        shape = (min(n - lo, tile), a)
+        # Money above the floor that an equally high peak would give, the floor, both seen from the start.
+        c, floor = np.full(shape, -dd, kind), np.full(shape, min(kind(-dd), cap), kind)
+        m, bust, won, done = np.empty(shape, kind), np.zeros(shape, bool), np.zeros(shape, bool), np.zeros(shape, bool)
+        flat_c, flat_line, flat_done, flat_bust = c.ravel(), floor.ravel(), done.ravel(), bust.ravel()
+        ended, open_ = [], done.size
+        for day in range(days):
+            i = drawn[day, lo : lo + tile]
+            if r["max_dd"] is not None:
+                np.take(low, i, axis=0, out=m, mode="clip")
+                np.add(m, c, out=m)
+                np.less_equal(m, floor, out=bust)
+            np.take(total, i, axis=0, out=m, mode="clip")
+            np.add(c, m, out=c)
+            if r["target"] is not None and day + 1 >= r["min_days"]:
+                np.greater_equal(c, kind(r["target"] - dd), out=won)
+                np.logical_or(won, bust, out=won)
+            else:
+                won[:] = bust
+            np.greater(won, done, out=won)
+            at = np.flatnonzero(won)
+            if len(at):
+                ended.append((at, np.full(len(at), day), i[at // a], flat_c[at], flat_line[at], flat_bust[at]))
+                flat_done[at] = True
+                open_ -= len(at)
+                if not open_:
+                    break
+            if r["hwm"] == "eod":
+                np.minimum(c, cap, out=m)
+                np.maximum(floor, m, out=floor)
+        end = balance[lo : lo + tile].ravel()  # a tile of whole rows is one piece, so these are views
+        end[:] = flat_c
+        end += dd + start
+        if ended:
+            at, day, i, now, line, broke = (np.concatenate(x) for x in zip(*ended))
+            outcome[lo : lo + tile].ravel()[at] = np.where(broke, 2, 1)
+            walked[lo : lo + tile].ravel()[at] = np.where(broke, day, day + 1)
+            now = now.astype(np.int64) + dd
+            at_b, place, line = at[broke], rows[i[broke], at[broke] % a], line[broke].astype(np.int64)
+            held, t = now[broke] - pool["total"][place], pool["first"][place]
+            while True:  # to the trade that breaks the floor; the day has one
+                on = np.flatnonzero(held + pool["deep"][t] > line)
+                if not len(on):
+                    break
+                t[on] += 1
+            end[at] = now + start
+            end[at_b] = held + pool["left"][t] + start
+    return outcome, walked, balance
+
+
+@lru_cache(maxsize=16)
+def drawn_days(seed: int, lo: int, hi: int, days: int) -> np.ndarray:
+    """``draw_block`` with a row per day of the path."""
+    return np.ascontiguousarray(draw_block.__wrapped__(seed, lo, hi, days).T.astype(np.uint32))
+
+
+def shares_of(pool: dict[str, np.ndarray], trades: dict[str, np.ndarray], rules: dict, paths: int, days: int, seed: int, block: int) -> Iterator[tuple]:
+    """Of each account of the pool: account, paths, passed, busted, sum of days to the
+    pass, and percentiles 5, 50 and 95 of the balances."""
+    begin = np.flatnonzero(np.r_[True, pool["account"][1:] != pool["account"][:-1]])
+    held = np.diff(np.r_[begin, len(pool["account"])])
+    blocks = [(lo, min(paths, lo + block)) for lo in range(0, paths, block)]
+    flat = flat_floor(rules)
+    for n in np.unique(held):
+        of, drawn = np.flatnonzero(held == n), {}
+        while len(of):
+            a = next(k for k in (8, 4, 2, 1) if k <= len(of)) if flat else 1
+            mine, of = of[:a], of[a:]
+            parts = []
+            for lo, hi in blocks:
+                if flat:
+                    if lo not in drawn:
+                        u = drawn_days(seed, lo, hi, days)
+                        drawn = {lo: (u - u // np.uint32(n) * np.uint32(n)).astype(np.intp)}
+                    parts.append(walk_days(drawn[lo], pool, begin[mine] + np.arange(n)[:, None], rules))
+                else:
+                    at = slice(begin[mine[0]], begin[mine[0]] + n)
+                    parts.append(tuple(x[:, None] for x in walk_paths(draw_block(seed, lo, hi, days) % n, pool["first"][at], pool["width"][at], trades, rules)))
+            outcome, walked, bal = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*parts))
+            passed = outcome == 1
+            spots = [(paths - 1) * (q / 100) for q in (5, 50, 95)]
+            bal = np.partition(np.ascontiguousarray(bal.T), sorted({k for s in spots for k in (int(np.floor(s)), int(np.ceil(s)))}), axis=1)
+            for j, k in enumerate(mine):
+                mid = []
+                for s in spots:
+                    l, h = int(np.floor(s)), int(np.ceil(s))
+                    x, y = int(bal[j, l]), int(bal[j, h])
+                    mid.append(float(x) if l == h or x == y else (h - s) * x + (s - l) * y)
+                yield int(pool["account"][begin[k]]), paths, int(passed[:, j].sum()), int((outcome[:, j] == 2).sum()), int(walked[:, j][passed[:, j]].sum(dtype=np.int64)), *mid
+
+
+def bootstrap_rollup(trades: DataFrame, rules: dict, paths: int, days: int, seed: int = 7, order: tuple[str, ...] = ("trade_no",), block: int = 20_000, rows: int = 1_000_000) -> DataFrame:
+    """The ``rollup`` of the ``bootstrap`` of the trades' day pool, without a row per path.
+
+    ``order`` orders the trades of an account and date. The trades are shuffled once, by
+    account; a task packs the accounts of about ``rows`` trades at a time and walks those
+    with equally many days side by side, ``block`` paths at a time. An account's trades
+    and the balances of its paths are in one task.
+    """
+    used = ["pnl_c", "mae_c", *["mfe_c", "fall_c"] * (not flat_floor(rules))]
+    names = ["account", "n_paths", "passed", "busted", "pass_days", "balance_p5", "balance_p50", "balance_p95"]
+
+    def summed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        account, d, *money = (np.concatenate(x) for x in zip(*held))
+        trades = dict(zip(used, money)) | {c: np.zeros(0, np.int64) for c in ("mfe_c", "fall_c") if c not in used}
+        out = zip(*shares_of(packed_days(account, d, trades, rules), trades, rules, paths, days, seed, block))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k < 5 else pa.float64()) for k, x in enumerate(out)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            if n + cut >= rows and (cut or held[-1][0][-1] != now[0][0]):
+                yield summed([*held, [c[:cut] for c in now]])
+                held, n, now = [], 0, [c[cut:] for c in now]
+            held, n = [*held, now], n + len(now[0])
+        if held:
+            yield summed(held)
+
+    day = F.coalesce(F.unix_date("d"), F.lit(2**31 - 1)).alias("_d")
+    money = {"fall_c": fall_bound().alias("fall_c")}
+    listed = trades.where("account is not null").select(F.col("account").cast("long").alias("account"), day, *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)], *[money.get(c, F.col(c)) for c in used])
+    # By number: a partition is hours of walking where it is few bytes, so it is not for the adaptive plan to merge.
+    parts = listed.repartition(int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")), "account").sortWithinPartitions("account", "_d", *[f"_o{k}" for k in range(len(order))])
+    got = parts.select("account", "_d", *used).mapInArrow(run, ", ".join(f"{c} {'long' if k < 5 else 'double'}" for k, c in enumerate(names)))
+    share = lambda c: F.round(F.col(c) / F.col("n_paths"), 6)
+    return got.select(
+        "account", "n_paths", share("passed").alias("p_pass"), share("busted").alias("p_bust"), F.round((F.col("n_paths") - F.col("passed") - F.col("busted")) / F.col("n_paths"), 6).alias("p_open"),
+        F.round(F.try_divide("pass_days", "passed"), 6).alias("mean_pass_day"), *[F.round(c, 2).alias(c) for c in names[5:]])
+
+
 def rollup(paths: DataFrame) -> DataFrame:
     """Shares of outcomes, mean days and balance percentiles of each account's paths."""
     share = lambda o: F.round(F.avg((F.col("outcome") == o).cast("int")), 6)

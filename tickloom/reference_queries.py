@@ -52,6 +52,10 @@ def _trades(spark: SparkSession, d: str) -> DataFrame:
     return mappings.trades(table(spark, d, "lineitem"))
 
 
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    return mappings.listed_trades(table(spark, d, "lineitem"))
+
+
 def _bars(spark: SparkSession, d: str, period: int = HOUR) -> DataFrame:
     return B.numbered(B.build_bars(_ticks(spark, d), period))
 
@@ -497,7 +501,7 @@ for _name in RULE_SETS:
 
 @query("o115_bootstrap")
 def o115(spark, d):
-    return P.rollup(P.bootstrap(T.day_pool(_trades(spark, d)), RULE_SETS["eod"], paths=20_000, days=90))
+    return P.bootstrap_rollup(_listed(spark, d), RULE_SETS["eod"], paths=20_000, days=90, order=mappings.ORDER)
 
 
 @query("o119_day_draw", """SELECT p AS path, y AS day, CAST(('0x' || substr(md5(concat_ws(':', '7', p, y)), 1, 8)) AS BIGINT) % 540 AS i FROM (SELECT unnest(range(200)) AS p) a, (SELECT unnest(range(90)) AS y) b""")

@@ -39,24 +39,33 @@ TICKS = """ticks AS (
   FROM events)"""
 
 
-def trades(lineitem: DataFrame) -> DataFrame:
-    """account, d, trade_no, direction and money in whole cents of ``lineitem``.
+#: Order of the trades of an account in ``listed_trades``.
+ORDER = ("d", "o_order", "o_part", "o_line")
+
+
+def listed_trades(lineitem: DataFrame) -> DataFrame:
+    """account, d, direction and money in whole cents of ``lineitem``, in ORDER instead of
+    by a trade_no, for operators that sort the trades themselves.
 
-    trade_no orders the trades of an account and date; ``fall_c`` is the deepest
-    fall inside the trade where the path is known, else null.
+    ``fall_c`` is the deepest fall inside the trade where the path is known, else null.
     """
     x = (F.pmod(F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(60_001)) - 30_000)
     t = lineitem.select(
         F.col("l_suppkey").alias("account"), F.to_date("l_shipdate").alias("d"),
-        F.struct("l_orderkey", "l_partkey", "l_linenumber").alias("o"),
+        F.col("l_orderkey").alias("o_order"), F.col("l_partkey").alias("o_part"), F.col("l_linenumber").alias("o_line"),
         F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", -1).when(F.pmod("l_linenumber", F.lit(2)) == 1, 1).otherwise(-1).alias("direction"),
         x.alias("pnl_c"), F.lit(500).cast("long").alias("comm_c"),
         (F.least(x, F.lit(0)) - F.pmod(F.col("l_partkey") * 37, F.lit(20_000))).alias("mae_c"),
         (F.greatest(x, F.lit(0)) + F.pmod(F.col("l_suppkey") * 53 + F.col("l_linenumber") * 997, F.lit(20_000))).alias("mfe_c"),
-        (F.col("l_linestatus") == "O").alias("path_known"), F.col("l_linenumber").alias("ln"))
-    fall = F.greatest(-F.col("mae_c"), div((F.col("mfe_c") - F.col("mae_c")) * (1 + F.pmod("ln", F.lit(3))), 3))
-    t = t.withColumn("fall_c", F.when(F.col("path_known"), fall)).withColumn("day_no", F.unix_date("d"))
-    return bucketed_rank(t, ["account"], "day_no", 7, "trade_no", ties=("o",)).drop("o", "ln", "day_no")
+        (F.col("l_linestatus") == "O").alias("path_known"))
+    fall = F.greatest(-F.col("mae_c"), div((F.col("mfe_c") - F.col("mae_c")) * (1 + F.pmod("o_line", F.lit(3))), 3))
+    return t.withColumn("fall_c", F.when(F.col("path_known"), fall))
+
+
+def trades(lineitem: DataFrame) -> DataFrame:
+    """``listed_trades`` with the trade_no that orders the trades of an account."""
+    t = listed_trades(lineitem).withColumn("day_no", F.unix_date("d"))
+    return bucketed_rank(t, ["account"], "day_no", 7, "trade_no", ties=ORDER[1:]).drop(*ORDER[1:], "day_no")
 
 
 TRADES = """trades_c AS (
