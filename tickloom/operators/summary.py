@@ -55,24 +55,39 @@ def streaks(trades: DataFrame, key: tuple[str, ...] = ("account",)) -> DataFrame
     return runs.groupBy(*key).agg(F.coalesce(F.max(F.when(F.col("k") > 0, F.col("n"))), F.lit(0)).alias("max_wins"), F.coalesce(F.max(F.when(F.col("k") < 0, F.col("n"))), F.lit(0)).alias("max_losses"))
 
 
-def _by_direction(trades: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """Figures of each key's long, short and (direction 0) all trades: the trades are
-    aggregated once, by direction, and the whole is made of the two rows."""
+def _figures() -> list[Column]:
+    """Aggregates of trades from which ``_merged`` and ``_ratios`` make the figures of a side."""
     g, p = F.col("pnl_c") + F.col("comm_c"), F.col("pnl_c")
     when = lambda cond, v: F.coalesce(F.sum(F.when(cond, v)), F.lit(0))
-    part = trades.groupBy(*key, "direction").agg(
+    return [
         F.count(F.lit(1)).alias("n"), F.sum(p).alias("net_c"), when(g > 0, g).alias("gross_profit_c"), when(g < 0, g).alias("gross_loss_c"), F.sum("comm_c").alias("commission_c"),
         F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.count_if(p == 0).alias("evens"), when(p > 0, p).alias("_won"), when(p < 0, p).alias("_lost"),
-        F.max(p).alias("largest_win_c"), F.min(p).alias("largest_loss_c"), F.sum("mae_c").alias("_mae"), F.sum("mfe_c").alias("_mfe"), F.sum(fall_bound()).alias("_fall"), F.max(fall_bound()).alias("max_fall_c"))
-    least, most = ("largest_loss_c",), ("largest_win_c", "max_fall_c")
-    rest = [c for c in part.columns if c not in (*key, "direction", *least, *most)]
-    whole = part.withColumn("direction", F.explode(F.array(F.lit(0), F.col("direction").cast("int"))))
-    out = whole.groupBy(*key, "direction").agg(*[F.sum(c).alias(c) for c in rest], *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
+        F.max(p).alias("largest_win_c"), F.min(p).alias("largest_loss_c"), F.sum("mae_c").alias("_mae"), F.sum("mfe_c").alias("_mfe"), F.sum(fall_bound()).alias("_fall"), F.max(fall_bound()).alias("max_fall_c")]
+
+
+#: Figures of which parts are added, or the least or the most of them is taken.
+ADDED = ("n", "net_c", "gross_profit_c", "gross_loss_c", "commission_c", "wins", "losses", "evens", "_won", "_lost", "_mae", "_mfe", "_fall")
+LEAST, MOST = ("largest_loss_c",), ("largest_win_c", "max_fall_c")
+
+
+def _merged() -> list[Column]:
+    return [*[F.sum(c).alias(c) for c in ADDED], *[F.min(c).alias(c) for c in LEAST], *[F.max(c).alias(c) for c in MOST]]
+
+
+def _ratios(out: DataFrame) -> DataFrame:
     ratio = lambda a, b: _r(F.try_divide(F.col(a), F.col(b)))
     return out.withColumns({"avg_win_c": ratio("_won", "wins"), "avg_loss_c": ratio("_lost", "losses"), "avg_mae_c": ratio("_mae", "n"), "avg_mfe_c": ratio("_mfe", "n"), "avg_fall_c": ratio("_fall", "n"), "win_rate": ratio("wins", "n"),
                             "profit_factor": F.when(F.col("gross_loss_c") < 0, _r(F.col("gross_profit_c") / -F.col("gross_loss_c")))})
 
 
+def _by_direction(trades: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """Figures of each key's long, short and (direction 0) all trades: the trades are
+    aggregated once, by direction, and the whole is made of the two rows."""
+    part = trades.groupBy(*key, "direction").agg(*_figures())
+    whole = part.withColumn("direction", F.explode(F.array(F.lit(0), F.col("direction").cast("int"))))
+    return _ratios(whole.groupBy(*key, "direction").agg(*_merged()))
+
+
 def performance(trades: DataFrame) -> DataFrame:
     """Performance by direction and in all (direction 0).
 
@@ -82,21 +97,43 @@ def performance(trades: DataFrame) -> DataFrame:
     return _by_direction(trades, ()).drop("_won", "_lost", "_mae", "_mfe", "_fall")
 
 
-def performance_columns(trades: DataFrame) -> DataFrame:
+def performance_columns(trades: DataFrame, order: tuple[str, ...] = ("trade_no",), width: int = 256) -> DataFrame:
     """The whole performance column of each account's long, short and (direction 0) all
     trades: with the deepest drawdown and the longest runs of the equity of those trades
     alone, trades a day (of the account's days), the ratio of average win to average loss
     (null without either), and no_losses where the profit factor is infinite. largest_win
-    is null without a win, largest_loss without a loss."""
-    base = _by_direction(trades, ("account",))
-    whole = trades.withColumn("direction", F.lit(0))
-    days = trades.groupBy("account").agg(F.count_distinct("d").alias("_days"))
-    key = ["account", "direction"]
-    both = lambda fn: fn(whole, tuple(key)).unionByName(fn(trades.withColumn("direction", F.col("direction").cast("int")), tuple(key)))
-    out = base.join(both(drawdown), key).join(both(streaks), key).join(days, "account")
-    won, lost = F.col("_won") / F.col("wins"), F.col("_lost") / F.col("losses")
+    is null without a win, largest_loss without a loss.
+
+    ``order`` orders an account's trades; d never falls along it. The trades are shuffled
+    once, by account and ``width`` days; of each such part come its figures, its running
+    total's course and its runs, and windows over the parts put them together.
+    """
+    side, pnl = ["account", "direction"], F.col("pnl_c")
+    parts = trades.where("account is not null").withColumn("_part", F.floor(F.unix_date("d") / F.lit(width)).cast("long"))
+    parts = parts.select("account", "_part", "d", *[c for c in order if c != "d"], F.col("direction").cast("int").alias("direction"), "pnl_c", "comm_c", "mae_c", "mfe_c", "fall_c").repartition("account", "_part")
+    rows = parts.withColumn("direction", F.explode(F.array(F.lit(0), "direction"))).where("direction is not null")
+    by = Window.partitionBy(*side, "_part").orderBy(*order)
+    inner = by.rowsBetween(Window.unboundedPreceding, 0)
+    won, lost = F.coalesce(pnl > 0, F.lit(False)), F.coalesce(pnl < 0, F.lit(False))
+    rows = rows.withColumns({"_run": F.coalesce(F.sum("pnl_c").over(inner), F.lit(0)), "_w": F.count_if(won).over(inner), "_l": F.count_if(lost).over(inner), "_new": F.col("d").isNotNull() & ~F.col("d").eqNullSafe(F.lag("d").over(by))})
+    # Of a run of wins, ``_w`` counts the wins so far and ``_w0`` those before the run; likewise of losses.
+    rows = rows.withColumns({"_peak": F.max("_run").over(inner), "_w0": F.max(F.when(~won, F.col("_w"))).over(inner), "_l0": F.max(F.when(~lost, F.col("_l"))).over(inner)})
+    course = [F.max("_run").alias("_top"), F.min("_run").alias("_bottom"), F.min(F.col("_run") - F.col("_peak")).alias("_dip"), F.count_if("_new").alias("_days")]
+    for c, ends in (("_w", ~won), ("_l", ~lost)):
+        at = F.when(ends, F.col(c))
+        course += [F.min(at).alias(f"{c}_first"), F.max(at).alias(f"{c}_last"), F.max(F.col(c) - F.col(f"{c}0")).alias(f"{c}_in")]
+    part = rows.groupBy(*side, "_part").agg(*_figures(), *course)
+
+    before = Window.partitionBy(*side).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    part = part.withColumns({"_base": so_far("net_c"), "_w_base": so_far("wins"), "_l_base": so_far("losses")})
+    part = part.withColumns({"_high": F.greatest(F.lit(0), F.max(F.col("_base") + F.col("_top")).over(before)), **{f"{c}_end": F.coalesce(F.max(F.col(f"{c}_base") + F.col(f"{c}_last")).over(before), F.lit(0)) for c in ("_w", "_l")}})
+    longest = lambda c, n: F.max(F.greatest(F.lit(0), F.col(f"{c}_in"), F.col(f"{c}_base") + F.coalesce(F.col(f"{c}_first"), F.col(n)) - F.col(f"{c}_end")))
+    out = part.groupBy(*side).agg(*_merged(), F.min(F.least(F.lit(0), F.col("_dip"), F.col("_base") + F.col("_bottom") - F.col("_high"))).alias("max_drawdown_c"), longest("_w", "wins").alias("max_wins"), longest("_l", "losses").alias("max_losses"), F.sum("_days").alias("_days"))
+    out = _ratios(out).withColumn("_days", F.max(F.when(F.col("direction") == 0, F.col("_days"))).over(Window.partitionBy("account")))
+    mean_won, mean_lost = F.col("_won") / F.col("wins"), F.col("_lost") / F.col("losses")
     out = out.withColumns({
-        "per_day": _r(F.col("n") / F.col("_days")), "win_loss_ratio": F.when((F.col("wins") > 0) & (F.col("losses") > 0), _r(F.abs(won / lost))), "no_losses": F.col("gross_loss_c") == 0,
+        "per_day": _r(F.try_divide("n", "_days")), "win_loss_ratio": F.when((F.col("wins") > 0) & (F.col("losses") > 0), _r(F.abs(mean_won / mean_lost))), "no_losses": F.col("gross_loss_c") == 0,
         "avg_trade_c": _r(F.col("net_c") / F.col("n")), "largest_win_c": F.when(F.col("wins") > 0, F.col("largest_win_c")), "largest_loss_c": F.when(F.col("losses") > 0, F.col("largest_loss_c"))})
     return out.drop("_won", "_lost", "_mae", "_mfe", "_fall", "_days")
 

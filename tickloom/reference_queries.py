@@ -400,7 +400,7 @@ a AS (SELECT account, direction, count(*) AS n, CAST(sum(pnl_c) AS BIGINT) AS ne
 SELECT a.*, CASE WHEN gross_loss_c < 0 THEN round(gross_profit_c / -gross_loss_c, 6) END AS profit_factor, gross_loss_c = 0 AS no_losses, round(wins / n, 6) AS win_rate, round(n / days, 6) AS per_day, coalesce(mw, 0) AS max_wins, coalesce(ml, 0) AS max_losses
 FROM a JOIN st ON st.account = a.account AND st.direction = a.direction JOIN dy ON dy.account = a.account""")
 def o64_columns(spark, d):
-    return T.performance_columns(_trades(spark, d))
+    return T.performance_columns(_listed(spark, d), mappings.ORDER)
 
 
 RUN = f"""{TRADES}, ru AS (SELECT *, CAST(sum(pnl_c) OVER (PARTITION BY account ORDER BY trade_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM trades_c),
